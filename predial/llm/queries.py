@@ -1,8 +1,10 @@
 """The operators' queries with production parameters, over whole tables."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import decontamination, jaccard, language, language_model, licenses, packing, quality, token_files
+from .shared import write_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,8 +28,41 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(segments).drop("part", "seq")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scores, _ = write_table(quality.add_scores(docs.select("doc_id", "text"), model).drop("text"), "quality")
+    return scores.withColumn("kept", F.col("gumbel_key") >= quality.resample(scores))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
+    "op6_language_id": op6_language_id,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_importance_resampling": op8_importance_resampling,
+    "op9_decontamination": op9_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {}
