@@ -1,7 +1,7 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Features are a text's words, its tokens' shapes (letters' case, digits, the punctuation itself) alone and in pairs, and
-whether tokens repeat; each counts once a document. A feature weighs the log of its ratio between the target model and
+the share of tokens that repeat the one before (in fifths); each counts once a document. A feature weighs the log of its ratio between the target model and
 the raw model where the two differ beyond chance, else nothing, so that ordinary text of any length weighs zero.
 """
 
@@ -9,15 +9,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import ALNUM, BASE, CHUNK, SPACE, _powers, all_words, mix, seeded, text_bytes, words
 
-BITS = 18
+BUCKETS = 1 << 18
+SLICES = 32
+GROUPS = 64
 STRETCH = 1 << 18
 TEMPERATURE = 0.05
-ACCEPTED = -1.0
+ACCEPTED = -2.0
+SURE = 3.0
 LABELLED = 200_000
 _CLASS = np.arange(256)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 65, 97, 48, 97
@@ -25,12 +29,19 @@ _SHAPE = seeded(256, 53)[_CLASS]
 
 
 class Model(NamedTuple):
+    """For each of the two hashings' buckets: the weight, and how many documents have the bucket."""
+
     weight: np.ndarray
+    count: np.ndarray
     seed: int
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs of a stretch of texts, by row."""
+    """Distinct (row, feature) pairs of a stretch of texts, by row; a feature is its buckets in two hashings.
+
+    The second column's buckets come after the first's. Of the two, the one that fewer documents have is the less
+    mixed with other features and speaks for the feature.
+    """
     data, _ = text_bytes(column)
     h, rows = words(column, ALNUM)
     parts = [(np.searchsorted(rows, np.arange(len(h)), "right") - 1, h)]
@@ -40,13 +51,20 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         row = np.searchsorted(found.rows, np.arange(n), "right") - 1
         shape = _shapes(data, found.start, found.end)
         two = np.flatnonzero(row[1:] == row[:-1])
-        again = two[found.hash[two] == found.hash[two + 1]]
+        again = np.bincount(row[two], found.hash[two] == found.hash[two + 1], len(rows) - 1)
+        often = np.flatnonzero(again)
+        share = np.ceil(5 * again[often] / np.diff(found.rows)[often]).astype(np.uint64)
         a, b = seeded(2, 59)
-        parts += [(row, shape * a), (row[two], shape[two] * a + shape[two + 1] * b), (row[again], np.ones(len(again), np.uint64))]
+        parts += [(row, shape * a), (row[two], shape[two] * a + shape[two + 1] * b), (often, share)]
     row = np.concatenate([x for x, _ in parts])
-    key = np.concatenate([(mix(k + np.uint64(i)) >> np.uint64(64 - BITS)).astype(np.int64) for i, (_, k) in enumerate(parts)])
-    pairs = np.unique(row * (1 << BITS) + key)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    key = np.concatenate([mix(k + np.uint64(i)) for i, (_, k) in enumerate(parts)])
+    salted = key ^ (row.astype(np.uint64) << np.uint64(48))
+    _, first = np.unique(salted, return_index=True)
+    first = first[np.argsort(row[first], kind="stable")]
+    key = key[first]
+    two = np.stack([key & np.uint64(BUCKETS - 1), (key >> np.uint64(24)) & np.uint64(BUCKETS - 1)], axis=1).astype(np.int64)
+    two[:, 1] += BUCKETS
+    return row[first], two
 
 
 def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -71,23 +89,36 @@ def _stretches(column: pa.Array):
         at = end
 
 
-def _counts(texts: DataFrame, of: str) -> np.ndarray:
-    """How many texts have each feature: 2**BITS numbers."""
+def _counts(texts: DataFrame, of: str) -> tuple[np.ndarray, int]:
+    """How many texts have each bucket, and how many there are.
+
+    Each task's counts go out in slices, which are summed in groups of tasks and then over the groups.
+    """
 
     def count(batches):
-        total, n = np.zeros(1 << BITS, np.int64), 0
+        total, n = np.zeros(2 * BUCKETS, np.int64), 0
         for batch in batches:
             for a, b, column in _stretches(batch.column(0)):
-                total += np.bincount(features(column)[1], minlength=1 << BITS)
+                total += np.bincount(features(column)[1].reshape(-1), minlength=2 * BUCKETS)
                 n += b - a
         if n:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["feature", "n"])
+            group = TaskContext.get().partitionId() % GROUPS
+            parts = [p.tobytes() for p in np.split(total, SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array(parts, pa.binary()), pa.array([n] + [0] * (SLICES - 1), pa.int64())], ["slice", "grp", "counts", "n"])
 
-    found = texts.select(F.col(of).alias("t")).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((1 << BITS) + 1, np.int64)
-    out[found.column("feature").to_numpy()] = found.column("n").to_numpy()
-    return out
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(2 * BUCKETS // SLICES, np.int64)
+        for part in table.column("counts"):
+            total += np.frombuffer(part.as_py(), np.int64)
+        return pa.table([table.column("slice")[:1], table.column("grp")[:1], pa.array([total.tobytes()], pa.binary()), pa.array([sum(table.column("n").to_pylist())], pa.int64())], ["slice", "grp", "counts", "n"])
+
+    schema = "slice int, grp int, counts binary, n long"
+    found = texts.select(F.col(of).alias("t")).mapInArrow(count, schema)
+    table = found.groupBy("slice", "grp").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema).toArrow()
+    total, n = np.zeros((SLICES, 2 * BUCKETS // SLICES), np.int64), 0
+    for at, counts, more in zip(*(table.column(c).to_pylist() for c in ("slice", "counts", "n"))):
+        total[at], n = np.frombuffer(counts, np.int64), n + more
+    return total.reshape(-1), n
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, seed: int = 17) -> Model:
@@ -99,15 +130,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col).alias("__key")).distinct()
     bound = F.broadcast(good.orderBy(F.xxhash64(F.lit(seed), "__key")).limit(labelled))
     target = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).join(bound, "__key", "left_semi")
-    t, r = _counts(target, "__text"), _counts(docs, text_col)
-    t_docs, r_docs = t[-1], r[-1]
-    t, r = t[:-1], r[:-1]
+    (t, t_docs), (r, r_docs) = _counts(target, "__text"), _counts(docs, text_col)
     if not t_docs or not r_docs:
-        return Model(np.zeros(1 << BITS, np.float32), seed)
-    expected = r * (t_docs / r_docs)
-    ratio = np.log((t + 0.5) / (expected + 0.5))
-    sure = (np.abs(t - expected) >= 4 * np.sqrt(expected + 1)) & (np.abs(ratio) >= np.log(1.5))
-    return Model(np.where(sure, ratio, 0).astype(np.float32), seed)
+        return Model(np.zeros(2 * BUCKETS, np.float32), r.astype(np.float32), seed)
+    return Model(weights(t, r, t_docs / r_docs), r.astype(np.float32), seed)
+
+
+def weights(t: np.ndarray, r: np.ndarray, share: float) -> np.ndarray:
+    """The log ratio of target and raw model where they differ beyond chance, else 0."""
+    expected = r * share
+    ratio = np.log((t + 1) / (expected + 1))
+    sure = (np.abs(t - expected) >= SURE * np.sqrt(expected + 1)) & (np.abs(ratio) >= np.log(1.5))
+    return np.where(sure, ratio, 0).astype(np.float32)
+
+
+def log_ratios(model: Model, row: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
+    purer = two[np.arange(len(two)), np.argmin(model.count[two], axis=1)] if len(two) else two.reshape(-1)
+    return np.bincount(row, model.weight[purer], n)
 
 
 def add_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,15 +156,13 @@ def add_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
     base = docs.drop("log_ratio", "gumbel_key")
     at = base.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model.weight)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        weight = shared.value
         for batch in batches:
             total = np.zeros(batch.num_rows)
             for a, b, column in _stretches(batch.column(at)):
-                row, key = features(column)
-                total[a:b] = np.bincount(row, weight[key], b - a)
+                total[a:b] = log_ratios(shared.value, *features(column), b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], [*batch.schema.names, "log_ratio"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
