@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .hashing import ALNUM, BASE, CHUNK, SPACE, _powers, all_words, mix, seeded, text_bytes, words
 
 BUCKETS = 1 << 18
-SLICES = 32
+SLICES = 64
 GROUPS = 64
 STRETCH = 1 << 18
 TEMPERATURE = 0.05
@@ -57,14 +57,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         a, b = seeded(2, 59)
         parts += [(row, shape * a), (row[two], shape[two] * a + shape[two + 1] * b), (often, share)]
     row = np.concatenate([x for x, _ in parts])
-    key = np.concatenate([mix(k + np.uint64(i)) for i, (_, k) in enumerate(parts)])
-    salted = key ^ (row.astype(np.uint64) << np.uint64(48))
-    _, first = np.unique(salted, return_index=True)
-    first = first[np.argsort(row[first], kind="stable")]
-    key = key[first]
-    two = np.stack([key & np.uint64(BUCKETS - 1), (key >> np.uint64(24)) & np.uint64(BUCKETS - 1)], axis=1).astype(np.int64)
+    key = np.concatenate([mix(k + np.uint64(i)) >> np.uint64(16) for i, (_, k) in enumerate(parts)])
+    both = np.sort(row.astype(np.uint64) << np.uint64(48) | key)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    two = np.stack([both & np.uint64(BUCKETS - 1), (both >> np.uint64(24)) & np.uint64(BUCKETS - 1)], axis=1).astype(np.int64)
     two[:, 1] += BUCKETS
-    return row[first], two
+    return (both >> np.uint64(48)).astype(np.int64), two
 
 
 def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -84,41 +82,44 @@ def _stretches(column: pa.Array):
     _, offsets = text_bytes(column)
     at, n = 0, len(offsets) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH, "right")) - 1)
+        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH, "right")) - 1), at + (1 << 15))
         yield at, end, column.slice(at, end - at)
         at = end
 
 
-def _counts(texts: DataFrame, of: str) -> tuple[np.ndarray, int]:
-    """How many texts have each bucket, and how many there are.
+def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """How many target texts and how many texts have each bucket, and how many there are; texts: (text, is target).
 
     Each task's counts go out in slices, which are summed in groups of tasks and then over the groups.
     """
 
     def count(batches):
-        total, n = np.zeros(2 * BUCKETS, np.int64), 0
+        total, n = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
+            target = np.array(batch.column(1).to_pylist(), bool)
             for a, b, column in _stretches(batch.column(0)):
-                total += np.bincount(features(column)[1].reshape(-1), minlength=2 * BUCKETS)
-                n += b - a
-        if n:
+                row, two = features(column)
+                total[1] += np.bincount(two.reshape(-1), minlength=2 * BUCKETS)
+                total[0] += np.bincount(two[target[a:b][row]].reshape(-1), minlength=2 * BUCKETS)
+                n += [target[a:b].sum(), b - a]
+        if n[1]:
             group = TaskContext.get().partitionId() % GROUPS
-            parts = [p.tobytes() for p in np.split(total, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([group] * SLICES, pa.int32()), pa.array(parts, pa.binary()), pa.array([n] + [0] * (SLICES - 1), pa.int64())], ["slice", "grp", "counts", "n"])
+            parts = [p.tobytes() for p in np.split(total.reshape(-1), SLICES)] + [n.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([group] * (SLICES + 1), pa.int32()), pa.array(parts, pa.binary())], ["slice", "grp", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(2 * BUCKETS // SLICES, np.int64)
-        for part in table.column("counts"):
-            total += np.frombuffer(part.as_py(), np.int64)
-        return pa.table([table.column("slice")[:1], table.column("grp")[:1], pa.array([total.tobytes()], pa.binary()), pa.array([sum(table.column("n").to_pylist())], pa.int64())], ["slice", "grp", "counts", "n"])
+        total = sum(np.frombuffer(part.as_py(), np.int64) for part in table.column("counts"))
+        return pa.table([table.column("slice").slice(0, 1), table.column("grp").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["slice", "grp", "counts"])
 
-    schema = "slice int, grp int, counts binary, n long"
-    found = texts.select(F.col(of).alias("t")).mapInArrow(count, schema)
+    schema = "slice int, grp int, counts binary"
+    found = texts.mapInArrow(count, schema)
     table = found.groupBy("slice", "grp").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema).toArrow()
-    total, n = np.zeros((SLICES, 2 * BUCKETS // SLICES), np.int64), 0
-    for at, counts, more in zip(*(table.column(c).to_pylist() for c in ("slice", "counts", "n"))):
-        total[at], n = np.frombuffer(counts, np.int64), n + more
-    return total.reshape(-1), n
+    parts = dict(zip(table.column("slice").to_pylist(), table.column("counts").to_pylist()))
+    if not parts:
+        return np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), 0, 0
+    total = np.concatenate([np.frombuffer(parts[i], np.int64) for i in range(SLICES)]).reshape(2, -1)
+    n = np.frombuffer(parts[SLICES], np.int64)
+    return total[0], total[1], int(n[0]), int(n[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, seed: int = 17) -> Model:
@@ -128,10 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels, teach nothing. Without any target document every weight is 0.
     """
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col).alias("__key")).distinct()
-    bound = F.broadcast(good.orderBy(F.xxhash64(F.lit(seed), "__key")).limit(labelled))
-    target = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text")).join(bound, "__key", "left_semi")
-    (t, t_docs), (r, r_docs) = _counts(target, "__text"), _counts(docs, text_col)
-    if not t_docs or not r_docs:
+    bound = F.broadcast(good.orderBy(F.xxhash64(F.lit(seed), "__key")).limit(labelled).withColumn("__good", F.lit(True)))
+    keyed = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
+    marked = keyed.join(bound, "__key", "left").select("__text", F.coalesce("__good", F.lit(False)))
+    t, r, t_docs, r_docs = _counts(marked)
+    if not t_docs:
         return Model(np.zeros(2 * BUCKETS, np.float32), r.astype(np.float32), seed)
     return Model(weights(t, r, t_docs / r_docs), r.astype(np.float32), seed)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, language_model, licenses, packing, quality, token_files
+from . import decontamination, jaccard, language, language_model, licenses, packing, quality, token_files, vectors
 from .shared import write_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -56,6 +60,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vector_near_duplicates": op1_vector_near_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
