@@ -91,7 +91,7 @@ def densest(same: np.ndarray) -> tuple[int, int, int]:
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
     low = np.minimum.accumulate(score)
     end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
+    start = int(np.flatnonzero(score[: end + 1] == low[end])[0])
     return int(same[start:end].sum()), start, end - 1
 
 

@@ -24,7 +24,9 @@ from .shared import write_table
 SIZES = "ref long, batch long, place int, doc_id long, n_shingles long, set_a long, set_b long"
 CLASSES = "ref long, n int, m int, prefix binary, shingles binary"
 VERIFY_COST = 10
+#: Leader turns at most, and the pairs per posting from which on a turn is worth its cost.
 ROUNDS = 6
+FEW_PAIRS = 16
 SLOT = 16
 
 
@@ -137,38 +139,46 @@ def _fits(percent: int):
 
 
 def similar_classes(classes: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the classes that are linked with others."""
+    """(node, component) of the classes that are linked with others.
+
+    A turn matches each posting list's classes to one leader; the last turn joins all pairs of a list that are of
+    different components. It comes as soon as those pairs are few for the postings that they come from.
+    """
     postings = _postings(classes)
-    links, tried, component = None, None, None
+    links = tried = component = None
     for turn in range(ROUNDS + 1):
         live = postings.withColumn("component", F.col("ref"))
         if component is not None:
             live = postings.join(component.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-        spread = live.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct(F.xxhash64(F.lit(turn), "ref").alias("rank"), "ref", "n", "m", "component")).alias("lead"))
-        open_lists, _ = write_table(spread.where("c0 <> c1").select("token", F.col("lead.ref").alias("other"), F.col("lead.n").alias("other_n"), F.col("lead.m").alias("other_m"), F.col("lead.component").alias("other_component")), "lists")
+        per = live.groupBy("token", "component").agg(F.count("*").alias("of"), F.min(F.struct(F.xxhash64(F.lit(turn), "ref").alias("rank"), "ref", "n", "m")).alias("lead"))
+        lists = per.groupBy("token").agg(F.sum("of").alias("size"), F.sum(F.col("of") * F.col("of")).alias("squares"), F.count("*").alias("parts"), F.min(F.struct("lead", "component")).alias("first"))
+        open_lists, _ = write_table(lists.where("parts > 1").select("token", "size", "squares", F.col("first.lead.ref").alias("other"), F.col("first.lead.n").alias("other_n"), F.col("first.component").alias("other_component")), "lists")
+        size = open_lists.agg(F.sum("size").alias("postings"), F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs")).first()
+        if not size.postings:
+            break
+        last = turn == ROUNDS or size.pairs <= FEW_PAIRS * size.postings
         live, _ = write_table(live.join(open_lists.select("token"), "token", "left_semi"), "live")
-        if turn < ROUNDS:
-            met = live.join(open_lists, "token").where(F.col("component") != F.col("other_component")).where(_fits(percent))
-            counted = met.groupBy("ref", "other").agg(F.count("*").alias("shared"))
-            pairs = counted.groupBy("ref").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-        else:
+        if last:
             right = live.select("token", F.col("ref").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("component").alias("other_component"))
             met = live.join(right, "token").where(F.col("ref") < F.col("other")).where(F.col("component") != F.col("other_component")).where(_fits(percent))
             counted = met.groupBy("ref", "other").agg(F.count("*").alias("shared"), F.min(F.least("m", "other_m")).alias("asked"))
-            pairs = counted.where("shared >= asked")
-        pairs = pairs.select(F.greatest("ref", "other").alias("a"), F.least("ref", "other").alias("b")).distinct()
+            pairs = counted.where("shared >= asked").select("ref", "other")
+        else:
+            met = live.join(open_lists.drop("size", "squares"), "token").where(F.col("component") != F.col("other_component")).where(_fits(percent))
+            counted = met.groupBy("ref", "other").agg(F.count("*").alias("shared"))
+            pairs = counted.groupBy("ref").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+        pairs = pairs.select(F.greatest("ref", "other").alias("a"), F.least("ref", "other").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = write_table(pairs, "pairs")
+        pairs, _ = write_table(pairs if last else pairs.distinct(), "pairs")
         new, _ = write_table(_verified(pairs, classes, percent), "similar")
-        links = new if links is None else links.unionAll(new)
         tried = pairs if tried is None else tried.unionAll(pairs)
-        found, n_pairs, n_open = new.count(), pairs.count(), open_lists.count()
-        if found:
+        if not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
             component, _ = write_table(connected(links, "a", "b"), "components")
-        if turn == ROUNDS or not n_open:
+        if last:
             break
-    return links.sparkSession.createDataFrame([], "node long, component long") if component is None else component
+    return classes.sparkSession.createDataFrame([], "node long, component long") if component is None else component
 
 
 def _members(sizes: DataFrame) -> DataFrame:

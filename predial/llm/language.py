@@ -19,7 +19,7 @@ ROUNDS = 12
 UNDECIDED = "und"
 #: Words of letters alone: no digits, punctuation or white space; non-ASCII counts as letters.
 LETTERS: Rule = _rule(bytes([*range(65), *range(91, 97), *range(123, 128)]))
-SCORED = "lang_pred string, score double, languages string"
+SCORED = ("lang_pred", "score", "languages")
 
 
 class Model(NamedTuple):
@@ -151,19 +151,19 @@ _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def add_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def add_language(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = SCORED) -> DataFrame:
     """The documents with lang_pred, score (its proportion of the text's words) and languages ('en:0.81,fr:0.19').
 
     A text that is null or has no letter, or a model of no language, gives 'und' with score 0. Columns of these names
     are replaced.
     """
-    base = docs.drop("lang_pred", "score", "languages")
+    base = docs.drop(*names)
     at = base.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         model = shared.value
-        names = np.array([*model.languages, UNDECIDED], object)
+        known = np.array([*model.languages, UNDECIDED], object)
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
             found = [identify(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in _stretches(offsets)]
@@ -172,12 +172,12 @@ def add_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
             lead, share, all_shares = (np.concatenate(x) for x in zip(*found))
             sets = [",".join(f"{model.languages[j]}:{row[j]:.2f}" for j in np.flatnonzero(row >= 0.005)) for row in all_shares]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names[lead].tolist(), pa.string()), pa.array(share), pa.array(sets, pa.string())],
-                [*batch.schema.names, "lang_pred", "score", "languages"],
+                [*batch.columns, pa.array(known[lead].tolist(), pa.string()), pa.array(share), pa.array(sets, pa.string())],
+                [*batch.schema.names, *names],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(score, f"{fields}, {SCORED}")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
+    return base.mapInArrow(score, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double", f"`{names[2]}` string"]))
 
 
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

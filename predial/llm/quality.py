@@ -151,12 +151,15 @@ def log_ratios(model: Model, row: np.ndarray, two: np.ndarray, n: int) -> np.nda
     return np.bincount(row, model.weight[purer], n)
 
 
-def add_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+SCORES = ("log_ratio", "gumbel_key")
+
+
+def add_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = SCORES) -> DataFrame:
     """The documents with log_ratio (0 for a null or empty text) and gumbel_key, its sampling key in fixed point.
 
     The noise is a hash of id, so that a row has the same key in every run; columns of these names are replaced.
     """
-    base = docs.drop("log_ratio", "gumbel_key")
+    base = docs.drop(*names)
     at = base.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,13 +168,13 @@ def add_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             total = np.zeros(batch.num_rows)
             for a, b, column in _stretches(batch.column(at)):
                 total[a:b] = log_ratios(shared.value, *features(column), b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], [*batch.schema.names, "log_ratio"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], [*batch.schema.names, names[0]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    scored = base.mapInArrow(score, f"{fields}, log_ratio double")
+    scored = base.mapInArrow(score, f"{fields}, `{names[0]}` double")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(model.seed), F.col(id_col)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    noisy = F.col("log_ratio") / F.lit(TEMPERATURE) - F.log(-F.log(uniform))
-    return scored.withColumn("gumbel_key", F.round(F.greatest(F.least(noisy, F.lit(1e9)), F.lit(-1e9)) * (1 << 16)).cast("long"))
+    noisy = F.col(names[0]) / F.lit(TEMPERATURE) - F.log(-F.log(uniform))
+    return scored.withColumn(names[1], F.round(F.greatest(F.least(noisy, F.lit(1e9)), F.lit(-1e9)) * (1 << 16)).cast("long"))
 
 
 def threshold(keys: DataFrame, key: str, k: int) -> int | None:
