@@ -16,15 +16,15 @@ LEADING = 0.5
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts of which no language holds half of the words."""
-    scored = language.add_language(docs, language.train(docs))
-    return scored.where((F.col("lang_pred") != language.UNDECIDED) & (F.col("score") >= LEADING)).select(docs.columns)
+    scored = language.add_language(docs, language.train(docs), names=("__lang", "__share", "__languages"))
+    return scored.where((F.col("__lang") != language.UNDECIDED) & (F.col("__share") >= LEADING)).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that importance resampling leaves out."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keys, _ = write_table(quality.add_scores(docs.select("doc_id", "text"), model).drop("text"), "quality")
-    return quality.add_scores(docs, model).where(F.col("gumbel_key") >= quality.resample(keys)).select(docs.columns)
+    return quality.add_scores(docs, model, names=("__ratio", "__key")).where(F.col("__key") >= quality.resample(keys)).select(docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
