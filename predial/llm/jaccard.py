@@ -4,11 +4,13 @@ Texts with equal shingle sets are one class. A class's shingles are ordered from
 corpus-wide document counts. Two similar sets share at least m shingles within the prefixes that leave out all but
 (required overlap - m) of their shingles; each class takes the m of least estimated cost (its prefix's postings, and
 the verifications they may lead to), and a pair is verified where it shares the smaller m of the two. Shingles of one
-document can't match, so a class with too few others has no partner and drops out before any posting is made.
+document can't match, so a class with too few others has no partner and drops out before any posting is made, and
+what is left of a set bounds the sizes of its partners.
 
-Classes of one component need no more links, so postings are first matched to one leader each, round by round; only
-pairs of different components that are left are then joined. Large groups of near copies thus cost their size, not
-its square.
+First each posting list's classes are matched to the list's most central class, which joins most groups of near
+copies in as many steps as they have members. What is then left to compare lies between components: lists of up to
+HOT classes are joined, and the classes of longer lists are compared in blocks under the list's centre, by a product of
+incidence matrices, so that the pairs of a large group never become rows.
 """
 
 import numpy as np
@@ -17,16 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .components import connected
+from .components import connected, spanning
 from .hashing import SPACE, mix, shingles
 from .shared import write_table
 
 SIZES = "ref long, batch long, place int, doc_id long, n_shingles long, set_a long, set_b long"
-CLASSES = "ref long, n int, m int, prefix binary, shingles binary"
+CLASSES = "ref long, n int, s int, m int, prefix binary, shingles binary"
 VERIFY_COST = 10
-#: Leader turns at most, and the pairs per posting from which on a turn is worth its cost.
-ROUNDS = 6
-FEW_PAIRS = 16
+#: Classes of a list from which on its pairs are compared in blocks, and the classes of a block.
+HOT = 48
+BLOCK = 384
+SLICE = 8192
 SLOT = 16
 
 
@@ -98,21 +101,23 @@ def _candidates(found: DataFrame, members: DataFrame, k: int, percent: int) -> D
             order = np.lexsort((own, often))
             m = prefix_matches(often[order], int(need[i]))
             prefix = order[: n[i] - need[i] + m]
-            out.append(((number << SLOT) + i, int(n[i]), m, own[prefix[often[prefix] > 1]].tobytes(), own.tobytes()))
+            out.append(((number << SLOT) + i, int(n[i]), int((often > 1).sum()), m, own[prefix[often[prefix] > 1]].tobytes(), own.tobytes()))
         return out
 
     return write_table(exchange.with_rows(found, replies.select("batch", "kind", "bucket", "totals").unionAll(copies), use, CLASSES), "classes", "uncompressed")[0]
 
 
 def _postings(classes: DataFrame) -> DataFrame:
+    names = ["ref", "n", "s", "m"]
+
     def spread(records):
         for record in records:
-            lists = [np.frombuffer(p.as_py(), np.int64) for p in record.column(3)]
+            lists = [np.frombuffer(p.as_py(), np.int64) for p in record.column(4)]
             many = [len(x) for x in lists]
-            each = [pa.array(np.repeat(record.column(i).to_numpy(), many)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), *each], ["token", "ref", "n", "m"])
+            each = [pa.array(np.repeat(record.column(i).to_numpy(), many)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), *each], ["token", *names])
 
-    return write_table(classes.select("ref", "n", "m", "prefix").mapInArrow(spread, "token long, ref long, n int, m int"), "postings")[0]
+    return write_table(classes.select(*names, "prefix").mapInArrow(spread, "token long, ref long, n int, s int, m int"), "postings")[0]
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -135,50 +140,94 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _fits(percent: int):
-    return (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
+    """Whether the sizes allow similarity: the overlap is at most what either set shares with anyone at all."""
+    most = F.least("s", "other_s", "n", "other_n")
+    return 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
 
 
-def similar_classes(classes: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the classes that are linked with others.
+def _central(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links of classes with the most central class (the fewest unshared shingles) of a list, that of most shared lists."""
+    centre = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("apart"), F.xxhash64("ref").alias("rank"), "ref", "n", "s")).alias("c")
+    lists = postings.groupBy("token").agg(F.count("*").alias("size"), centre).where("size > 1")
+    lists, _ = write_table(lists.select("token", F.col("c.ref").alias("other"), F.col("c.n").alias("other_n"), F.col("c.s").alias("other_s")), "centres")
+    met = postings.join(lists, "token").where("ref <> other").where(_fits(percent))
+    best = met.groupBy("ref", "other").agg(F.count("*").alias("shared")).groupBy("ref").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+    pairs, _ = write_table(best.select(F.col("ref").alias("a"), F.col("other").alias("b")), "pairs")
+    return write_table(_verified(pairs, classes, percent), "similar")[0]
+
 
-    A turn matches each posting list's classes to one leader; the last turn joins all pairs of a list that are of
-    different components. It comes as soon as those pairs are few for the postings that they come from.
+def _short_lists(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links across components within lists of up to HOT classes: pairs that share enough of their prefixes, verified.
+
+    A pair that meets in a long list too is compared there, whatever it shares here.
     """
+    right = live.select("token", F.col("ref").alias("other"), F.col("n").alias("other_n"), F.col("s").alias("other_s"), F.col("m").alias("other_m"), F.col("component").alias("other_component"))
+    met = live.join(right, "token").where((F.col("ref") < F.col("other")) & (F.col("component") != F.col("other_component"))).where(_fits(percent))
+    counted = met.groupBy("ref", "other").agg(F.count("*").alias("shared"), F.min(F.least("m", "other_m")).alias("asked"))
+    pairs, _ = write_table(counted.where("shared >= asked").select(F.col("ref").alias("a"), F.col("other").alias("b")), "pairs")
+    return _verified(pairs, classes, percent)
+
+
+def _long_lists(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Spanning links across components of the classes that meet in a long list; members: (centre, ref, component)."""
+    counts, _ = write_table(members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    placed = members.join(counts, "centre").withColumn("at", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int"))
+    sets = classes.select("ref", "shingles")
+    full, _ = write_table(placed.join(sets, "ref").select("centre", "blocks", "at", "ref", "component", "shingles"), "members", "uncompressed")
+    left = full.select("centre", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("j"), "ref", "component", "shingles")
+    right = full.select("centre", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), "ref", "component", "shingles")
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        a, b = one.column("ref").to_numpy(), two.column("ref").to_numpy()
+        x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in t.column("shingles")] for t in (one, two))
+        links: list[tuple[int, int]] = []
+        parts = {*one.column("component").to_pylist(), *two.column("component").to_pylist()}
+        if len(a) and len(b) and len(parts) > 1:
+            both = overlaps(x, y)
+            union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y]) - both
+            apart = one.column("component").to_numpy()[:, None] != two.column("component").to_numpy()
+            i, j = np.nonzero((100 * both >= percent * union) & apart)
+            links = spanning(a, b, i, j)
+        return pa.table([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["a", "b"])
+
+    key = ["centre", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all sets of y."""
+    tokens, back = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    known = np.flatnonzero(np.bincount(back, minlength=len(tokens)) > 1)
+    place = np.full(len(tokens), -1)
+    place[known] = np.arange(len(known))
+    row, column = row[place[back] >= 0], place[back][place[back] >= 0]
+    total = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, len(known), SLICE):
+        wide = np.zeros((len(x) + len(y), min(SLICE, len(known) - at)), np.float32)
+        mine = (column >= at) & (column < at + SLICE)
+        wide[row[mine], column[mine] - at] = 1
+        total += (wide[: len(x)] @ wide[len(x) :].T).astype(np.int64)
+    return total
+
+
+def similar_classes(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that are linked with others."""
     postings = _postings(classes)
-    links = tried = component = None
-    for turn in range(ROUNDS + 1):
-        live = postings.withColumn("component", F.col("ref"))
-        if component is not None:
-            live = postings.join(component.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-        per = live.groupBy("token", "component").agg(F.count("*").alias("of"), F.min(F.struct(F.xxhash64(F.lit(turn), "ref").alias("rank"), "ref", "n", "m")).alias("lead"))
-        lists = per.groupBy("token").agg(F.sum("of").alias("size"), F.sum(F.col("of") * F.col("of")).alias("squares"), F.count("*").alias("parts"), F.min(F.struct("lead", "component")).alias("first"))
-        open_lists, _ = write_table(lists.where("parts > 1").select("token", "size", "squares", F.col("first.lead.ref").alias("other"), F.col("first.lead.n").alias("other_n"), F.col("first.component").alias("other_component")), "lists")
-        size = open_lists.agg(F.sum("size").alias("postings"), F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs")).first()
-        if not size.postings:
-            break
-        last = turn == ROUNDS or size.pairs <= FEW_PAIRS * size.postings
-        live, _ = write_table(live.join(open_lists.select("token"), "token", "left_semi"), "live")
-        if last:
-            right = live.select("token", F.col("ref").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("component").alias("other_component"))
-            met = live.join(right, "token").where(F.col("ref") < F.col("other")).where(F.col("component") != F.col("other_component")).where(_fits(percent))
-            counted = met.groupBy("ref", "other").agg(F.count("*").alias("shared"), F.min(F.least("m", "other_m")).alias("asked"))
-            pairs = counted.where("shared >= asked").select("ref", "other")
-        else:
-            met = live.join(open_lists.drop("size", "squares"), "token").where(F.col("component") != F.col("other_component")).where(_fits(percent))
-            counted = met.groupBy("ref", "other").agg(F.count("*").alias("shared"))
-            pairs = counted.groupBy("ref").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-        pairs = pairs.select(F.greatest("ref", "other").alias("a"), F.least("ref", "other").alias("b"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = write_table(pairs if last else pairs.distinct(), "pairs")
-        new, _ = write_table(_verified(pairs, classes, percent), "similar")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            component, _ = write_table(connected(links, "a", "b"), "components")
-        if last:
-            break
-    return classes.sparkSession.createDataFrame([], "node long, component long") if component is None else component
+    links = _central(postings, classes, percent)
+    component, _ = write_table(connected(links, "a", "b"), "components")
+    live = postings.join(component.withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
+    centre = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("apart"), F.xxhash64("ref").alias("rank"), "ref")).alias("c")
+    lists = live.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"), centre).where("c0 <> c1")
+    lists, _ = write_table(lists.select("token", "size", F.col("c.ref").alias("centre")), "lists")
+    live, _ = write_table(live.join(lists, "token"), "live")
+    members, _ = write_table(live.where(F.col("size") > HOT).select("centre", "ref", "component").distinct(), "long")
+    short = live.where(F.col("size") <= HOT).drop("size", "centre")
+    found = links.unionAll(_short_lists(short, classes, percent))
+    if not members.isEmpty():
+        found = found.unionAll(_long_lists(members, classes, percent))
+    found, _ = write_table(found, "links")
+    return connected(found, "a", "b")
 
 
 def _members(sizes: DataFrame) -> DataFrame:

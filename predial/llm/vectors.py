@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from .components import connected, spanning
 from .shared import write_table
 
 SAMPLE = 20_000
@@ -93,24 +93,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spanning(left: np.ndarray, right: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Links (node, smallest node) that join what the pairs join; left and right are the nodes' ids."""
-    nodes, back = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = back[: len(left)][pairs[0]], back[len(left) :][pairs[1]]
-    least = np.arange(len(nodes))
-    while True:
-        low = np.minimum(least[a], least[b])
-        new = least.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if np.array_equal(new, least):
-            break
-        least = new
-    touched = np.unique(np.concatenate([a, b]))
-    return [(int(nodes[i]), int(nodes[least[i]])) for i in touched.tolist() if least[i] != i]
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row; vectors of one label link at cosine >= threshold.
 

@@ -151,10 +151,11 @@ def brute_components(rows, percent=85):
     return Counter((row[0], len(sets[i]), least.get(root(i))) for i, row in enumerate(rows))
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_jaccard(monkeypatch, docs, empty, rounds):
-    monkeypatch.setattr(jaccard, "FEW_PAIRS", 16 if rounds == 0 else 0)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+@pytest.mark.parametrize("hot, block, part", [(48, 384, 8192), (1, 5, 7)])
+def test_jaccard(monkeypatch, docs, empty, hot, block, part):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SLICE", part)
     found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs).collect())
     assert found == brute_components(corpus())
     assert jaccard.components(empty).count() == 0
