@@ -171,7 +171,7 @@ def _links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
             i, j = i[exact], j[exact]
             links = np.bincount(i, right.column("copies").to_numpy()[j], len(a)).astype(np.int64)
             out = [(int(a[k]), None, int(links[k])) for k in np.flatnonzero(links).tolist()]
-            out += [(p, q, 0) for p, q in _spanning(a, b, (i, j))] if len(i) else []
+            out += [(p, q, 0) for p, q in spanning(a, b, i, j)]
         columns = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
 
