@@ -153,7 +153,7 @@ def a5_coverage(spark, sf_dir):
 
 
 def a6_price_outliers(spark, sf_dir):
-    return _round(quality.top_outliers(listings(spark, sf_dir)), 4)
+    return _round(quality.top_outliers(listings(spark, sf_dir)), 4, excess=2)
 
 
 def a7_comuna_coverage(spark, sf_dir):
