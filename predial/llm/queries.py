@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, language_model, licenses, packing, quality, token_files, vectors
+from . import chat, decontamination, jaccard, language, language_model, licenses, packing, quality, token_files, vectors
 from .shared import write_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(segments).drop("part", "seq")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_vector_near_duplicates": op1_vector_near_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_license_scan": op4_license_scan,
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
