@@ -1,8 +1,8 @@
 """Comparables: candidate pairs, scores, filters, weights and the value they give.
 
 Candidates are found by an equi-join on (commune, logarithmic area bucket): each target asks the few buckets that its
-area range spans, and the exact range is the residual condition. After the best ten per target are kept, everything
-works on one array a target.
+area range spans, and the exact range is the residual condition. After the best ten per target are kept, every
+step is a window over a target's rows.
 """
 
 import math
@@ -176,42 +176,6 @@ def without_iqr_outliers(df: DataFrame, comps: str = "comps") -> DataFrame:
     return out.withColumn(comps, _kept(F.col(comps), F.col("__q1") - 1.5 * iqr, F.col("__q3") + 1.5 * iqr, iqr > 0)).drop("__q1", "__q3")
 
 
-def weighted(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """comps with normalised weight: low weights leave, the best-scored of them return up to ``full_weights``."""
-    strong = F.filter("comps", lambda c: c["base"] >= cfg.min_weight)
-    weak = F.filter("comps", lambda c: c["base"] < cfg.min_weight)
-    need = F.greatest(F.lit(cfg.full_weights) - F.size(strong), F.lit(0))
-    chosen = F.when(F.size(strong) < cfg.full_weights, F.concat(strong, F.slice(weak, F.lit(1), need))).otherwise(strong)
-    out = df.withColumn("comps", chosen)
-    total = F.aggregate("comps", F.lit(0.0), lambda a, c: a + F.pow(c["base"], F.lit(cfg.weight_power)))
-    out = out.withColumn("__total", total)
-    share = lambda c: F.when(F.col("__total") > 0, F.pow(c["base"], F.lit(cfg.weight_power)) / F.col("__total")).otherwise(1.0 / F.size("comps"))
-    return out.withColumn("comps", F.transform("comps", lambda c: F.struct(c["price_m2"].alias("price_m2"), c["id"].alias("id"), share(c).alias("weight"), c["score"].alias("score"), c["price"].alias("price"), c["m2"].alias("m2"), c["comuna"].alias("comuna")))).drop("__total")
-
-
-def trimmed_mean(df: DataFrame) -> Column:
-    """Weighted mean price per m2; of five and more, a tenth (one at least) is cut from both ends if three remain."""
-    by_price = F.array_sort("comps")
-    n = F.size(by_price)
-    cut = F.greatest(F.floor(n * 0.1), F.lit(1)).cast("int")
-    kept = F.when((n >= 5) & (n - 2 * cut >= 3), F.slice(by_price, cut + 1, F.greatest(n - 2 * cut, F.lit(0)))).otherwise(by_price)
-    pair = F.aggregate(kept, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w")), lambda a, c: F.struct((a["x"] + F.when(c["weight"] > 0, c["price_m2"] * c["weight"]).otherwise(0.0)).alias("x"), (a["w"] + F.when(c["weight"] > 0, c["weight"]).otherwise(0.0)).alias("w")))
-    plain = F.aggregate(kept, F.lit(0.0), lambda a, c: a + c["price_m2"]) / F.size(kept)
-    return F.when(pair["w"] > 0, pair["x"] / pair["w"]).otherwise(plain)
-
-
-def weighted_percentile(p: float) -> Column:
-    """The first price (ascending) at which the running weight reaches p of the total."""
-    by_price = F.array_sort("comps")
-    total = F.aggregate(by_price, F.lit(0.0), lambda a, c: a + F.greatest(c["weight"], F.lit(0.0)))
-    walk = F.aggregate(
-        by_price,
-        F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("last")),
-        lambda a, c: F.struct((a["run"] + F.greatest(c["weight"], F.lit(0.0))).alias("run"), F.coalesce(a["at"], F.when(a["run"] + F.greatest(c["weight"], F.lit(0.0)) >= total * p, c["price_m2"])).alias("at"), c["price_m2"].alias("last")),
-    )
-    return F.when(total > 0, F.coalesce(walk["at"], walk["last"])).otherwise(percentile_of(_prices(F.col("comps")), p))
-
-
 def confidence(comps: Column = None, score: Column = None) -> Column:
     """Half the mean score, a quarter for the number and a quarter for little dispersion; 0 under three comparables."""
     comps = F.col("comps") if comps is None else comps
@@ -229,14 +193,48 @@ def confidence_label(score: Column, n: Column, lower: bool = False) -> Column:
     return F.when(label == "high", "medium").otherwise("low") if lower else label
 
 
-def priced(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """From best comparables to the estimate: outliers out, weights, trimmed mean, range and confidence."""
-    kept = without_iqr_outliers(without_median_outliers(df))
-    n = F.size("comps")
-    kept = kept.withColumn("comparable_count", n).withColumn("score_mean", F.aggregate("comps", F.lit(0.0), lambda a, c: a + c["score"]) / n)
-    out = weighted(kept, cfg)
-    out = out.withColumn("price_m2", trimmed_mean(out)).withColumn("p25", weighted_percentile(0.25)).withColumn("p75", weighted_percentile(0.75)).withColumn("comparable_count", F.size("comps"))
-    return out.withColumn("confidence_score", confidence(score=F.col("score_mean"))).withColumn("estimated_price", F.col("price_m2") * F.col("m2")).withColumn("min_price", F.col("p25") * F.col("m2")).withColumn("max_price", F.col("p75") * F.col("m2"))
+def top_rows(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The best ``top_k`` comparables of each target as rows, with their base weight."""
+    rank = F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("score"), "c_id"))
+    return pairs.withColumn("base", base_weight()).withColumn("__rank", rank).where(F.col("__rank") <= cfg.top_k).select("t_id", "t_m2_construidos", "n_valid", "c_id", "score", "price_m2", "base", "c_price", "c_m2_construidos", "c_comuna")
+
+
+def priced(rows: DataFrame, cfg: Config = DEFAULT, score_after: bool = True) -> DataFrame:
+    """From best comparables to the estimate: outliers out, weights, trimmed weighted mean, range and confidence.
+
+    Every step is a window over a target's ten rows, so all share one exchange. A filter that would leave under three
+    rows is not applied. Weights under the least leave, but the best-scored of them return up to ``full_weights``.
+    score_after says whether the mean score is that of the weighted rows or of those before.
+    """
+    own = Window.partitionBy("t_id")
+    size, price = F.count("*").over(own), F.col("price_m2")
+    r = rows.withColumn("n", size).withColumn("mid", F.percentile("price_m2", F.lit(0.5)).over(own))
+    r = r.withColumn("inside", price.between(F.col("mid") * 0.5, F.col("mid") * 1.5)).withColumn("k", F.count_if("inside").over(own))
+    r = r.where((F.col("n") < 3) | (F.col("mid") <= 0) | (F.col("k") < 3) | F.col("inside"))
+    r = r.withColumn("n", size).withColumn("q1", F.percentile("price_m2", F.lit(0.25)).over(own)).withColumn("q3", F.percentile("price_m2", F.lit(0.75)).over(own))
+    iqr = F.col("q3") - F.col("q1")
+    r = r.withColumn("inside", price.between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)).withColumn("k", F.count_if("inside").over(own))
+    r = r.where((F.col("n") < 3) | (iqr <= 0) | (F.col("k") < 3) | F.col("inside")).withColumn("n_filtered", size).withColumn("score_before", F.avg("score").over(own))
+    heavy = F.col("base") >= cfg.min_weight
+    again = F.row_number().over(Window.partitionBy("t_id", heavy).orderBy(F.desc("score"), "c_id"))
+    r = r.withColumn("strong", F.count_if(heavy).over(own)).withColumn("again", again).where(heavy | ((F.col("strong") < cfg.full_weights) & (F.col("again") <= cfg.full_weights - F.col("strong"))))
+    power = F.pow("base", F.lit(cfg.weight_power))
+    r = r.withColumn("n", size).withColumn("weight", F.when(F.sum(power).over(own) > 0, power / F.sum(power).over(own)).otherwise(1 / size))
+    ascending = Window.partitionBy("t_id").orderBy("price_m2", "c_id")
+    cut = F.greatest(F.floor(F.col("n") * 0.1), F.lit(1))
+    r = r.withColumn("at", F.row_number().over(ascending)).withColumn("run", F.sum("weight").over(ascending.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(own)).withColumn("cut", cut)
+    used = (F.col("n") < 5) | (F.col("n") - 2 * F.col("cut") < 3) | ((F.col("at") > F.col("cut")) & (F.col("at") <= F.col("n") - F.col("cut")))
+    comp = F.struct((-F.col("score")).alias("order"), F.col("c_id").alias("id"), "score", "price_m2", "weight", F.col("c_price").alias("price"), F.col("c_m2_construidos").alias("m2"), F.col("c_comuna").alias("comuna"))
+    reached = lambda p: F.min(F.when(F.col("run") >= F.col("total") * p, F.col("price_m2")))
+    out = r.groupBy("t_id").agg(
+        F.first("t_m2_construidos").alias("m2"), F.first("n_valid").alias("n_valid"), F.first("n_filtered").alias("n_filtered"), F.count("*").cast("int").alias("comparable_count"),
+        (F.avg("score") if score_after else F.first("score_before")).alias("score_mean"), F.coalesce(F.try_divide(F.sum(F.when(used, F.col("price_m2") * F.col("weight"))), F.sum(F.when(used, F.col("weight")))), F.avg(F.when(used, F.col("price_m2")))).alias("price_m2"),
+        reached(0.25).alias("p25"), reached(0.75).alias("p75"), F.avg("price_m2").alias("mean"), F.stddev_pop("price_m2").alias("spread"), F.array_sort(F.collect_list(comp)).alias("comps"))
+    even = F.when(F.col("mean") <= 0, 0.0).otherwise(F.greatest(1 - F.least(F.col("spread") / F.col("mean") / 0.35, F.lit(1.0)), F.lit(0.0)))
+    sure = F.col("score_mean") * 0.5 + F.least(F.col("comparable_count") / F.lit(10.0), F.lit(1.0)) * 0.25 + even * 0.25
+    out = out.withColumn("confidence_score", F.when(F.col("comparable_count") < 3, 0.0).otherwise(F.greatest(F.least(sure, F.lit(1.0)), F.lit(0.0))))
+    value = lambda c: F.col(c) * F.col("m2")
+    return out.withColumns({"estimated_price": value("price_m2"), "min_price": value("p25"), "max_price": value("p75")}).drop("mean", "spread", "p25", "p75")
 
 
 def level(pairs: DataFrame, cfg: Config, low_data: bool, least: int) -> DataFrame:
@@ -270,8 +268,7 @@ def market_values(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT
     valid = clustered(level(scored(pairs, cfg), cfg, low_data, least), cfg)
     off = (F.col("__mode") > 0) & F.col("t_dormitorios").isNotNull() & ~F.coalesce(F.col("c_dormitorios") == F.col("t_dormitorios"), F.lit(False))
     valid = valid.withColumn("score", F.when(off, F.col("score") * cfg.dorm_fallback).otherwise(F.col("score"))).where(F.col("n_valid") >= least)
-    out = best(valid, cfg)
-    kept = priced(out, cfg).where((F.col("comparable_count") >= least) & (F.col("confidence_score") >= cfg.min_market_confidence))
+    kept = priced(top_rows(valid, cfg), cfg).where((F.col("n_filtered") >= least) & (F.col("confidence_score") >= cfg.min_market_confidence))
     return kept.withColumnRenamed("t_id", "id")
 
 
@@ -284,7 +281,7 @@ def valuations(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, l
     pairs = pairs.where(F.when((F.col("__n1") < least) & (F.col("__n2") > F.col("__n1")), F.col("wide")).otherwise(F.col("strict")))
     pairs = pairs.withColumn("candidates", F.count("*").over(own))
     valid = clustered(level(scored(pairs.where(F.col("candidates") >= least), cfg), cfg, low_data, least), cfg)
-    done = priced(best(valid.where(F.col("n_valid") >= least), cfg), cfg).withColumnRenamed("t_id", "id")
+    done = priced(top_rows(valid.where(F.col("n_valid") >= least), cfg), cfg, score_after=False).withColumnRenamed("t_id", "id")
     counts = pairs.groupBy(F.col("t_id").alias("id")).agg(F.count("*").alias("candidates"))
     reached = valid.groupBy(F.col("t_id").alias("id")).agg(F.count("*").alias("n_found"))
     base = targets.select("id", F.col("m2_construidos").alias("target_m2")).join(counts, "id", "left").join(reached, "id", "left").join(done.drop("m2"), "id", "left")
@@ -293,7 +290,7 @@ def valuations(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, l
         F.when(~sane_m2(F.col("target_m2"), cfg), "subject surface area is missing or outside valid range")
         .when(n < least, "not enough comparable candidates")
         .when(found < least, "not enough reliable comparables after scoring")
-        .when(F.col("comparable_count") < least, "not enough reliable comparables after price filtering")
+        .when(F.col("n_filtered") < least, "not enough reliable comparables after price filtering")
         .when(F.lit(low_data) & (F.col("score_mean") < cfg.low_data_score), "borderline comparable quality under low data mode")
         .otherwise("market valuation based on reliable comparables")
     )

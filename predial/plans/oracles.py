@@ -82,12 +82,12 @@ w6 AS (SELECT * FROM w5 WHERE n_b < 3 OR q3 <= q1 OR inside_b < 3 OR price_m2 BE
 x0 AS (SELECT *, greatest(0, least(1 - abs(cm - tm) / tm * 1.2, 1)) * CASE WHEN cd IS NULL OR td IS NULL THEN 0.8 WHEN cd = td THEN 1 WHEN abs(cd - td) = 1 THEN 0.75 ELSE 0.4 END
     * CASE WHEN cb IS NULL OR tb IS NULL THEN 0.8 WHEN cb = tb THEN 1 WHEN abs(cb - tb) = 1 THEN 0.75 ELSE 0.4 END * greatest(score, 0.01)
     * least((CASE WHEN contains(lower(titulo), 'metro') THEN 1.03 ELSE 1 END) * (CASE WHEN contains(lower(titulo), 'plaza') THEN 1.02 ELSE 1 END) * (CASE WHEN contains(lower(titulo), 'avenida') THEN 1.01 ELSE 1 END) * (CASE WHEN contains(lower(titulo), 'centro') THEN 1.01 ELSE 1 END), 1.05) * penalty AS base,
-    count(*) OVER (PARTITION BY t_id) AS m, avg(score) OVER (PARTITION BY t_id) AS score_mean FROM w6),
+    count(*) OVER (PARTITION BY t_id) AS m FROM w6),
 x1 AS (SELECT *, count(*) FILTER (base >= 0.02) OVER (PARTITION BY t_id) AS strong, row_number() OVER (PARTITION BY t_id, base >= 0.02 ORDER BY score DESC, c_id) AS again FROM x0),
 x2 AS (SELECT * FROM x1 WHERE base >= 0.02 OR (strong < 5 AND again <= 5 - strong)),
 x3 AS (SELECT *, pow(base, 1.2) / sum(pow(base, 1.2)) OVER (PARTITION BY t_id) AS weight, count(*) OVER (PARTITION BY t_id) AS nx, row_number() OVER (PARTITION BY t_id ORDER BY price_m2, c_id) AS asc_rank FROM x2),
 x4 AS (SELECT *, sum(weight) OVER (PARTITION BY t_id ORDER BY asc_rank) AS run, sum(weight) OVER (PARTITION BY t_id) AS total, greatest(CAST(floor(nx * 0.1) AS INT), 1) AS cut FROM x3),
-x5 AS (SELECT t_id, any_value(tm) AS m2, any_value(nx) AS comparable_count, any_value(m) AS before, any_value(score_mean) AS score_mean,
+x5 AS (SELECT t_id, any_value(tm) AS m2, any_value(nx) AS comparable_count, any_value(m) AS before, avg(score) AS score_mean,
     sum(CASE WHEN nx < 5 OR nx - 2 * cut < 3 OR (asc_rank > cut AND asc_rank <= nx - cut) THEN price_m2 * weight END) / sum(CASE WHEN nx < 5 OR nx - 2 * cut < 3 OR (asc_rank > cut AND asc_rank <= nx - cut) THEN weight END) AS price_m2,
     min(CASE WHEN run >= total * 0.25 THEN price_m2 END) AS p25, min(CASE WHEN run >= total * 0.75 THEN price_m2 END) AS p75, avg(price_m2) AS mean, stddev_pop(price_m2) AS spread FROM x4 GROUP BY t_id),
 x6 AS (SELECT *, CASE WHEN comparable_count < 3 THEN 0 ELSE greatest(least(score_mean * 0.5 + least(comparable_count / 10.0, 1) * 0.25 + greatest(1 - least(spread / mean / 0.35, 1), 0) * 0.25, 1), 0) END AS confidence_score FROM x5)"""
@@ -127,5 +127,5 @@ ORACLES = {
     "a21_iteration_summary": _sql("SELECT *, CASE WHEN failed = sources THEN 'failed' WHEN failed + degraded > 0 THEN 'partial' ELSE 'success' END AS run_status, valid_rows = 0 AS stop_early FROM (SELECT run, CAST(sum(raw_rows) AS BIGINT) AS raw_rows, CAST(sum(valid_rows) AS BIGINT) AS valid_rows, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'DEGRADED') AS degraded, count(*) AS sources FROM h1 GROUP BY run)", HEALTH),
     "w2_price_signals": _sql(f"SELECT x.id, round(CASE WHEN ask > 0 AND f.price > ask THEN (f.price - ask) / f.price ELSE 0 END, 6) AS price_drop_pct, CAST(greatest(date_diff('day', coalesce(fecha_publicacion, f.day, fecha_captura), DATE '2001-12-01'), 0) AS INT) AS time_on_market_days FROM (SELECT *, {ASK} AS ask FROM listings) x LEFT JOIN f ON f.listing_id = x.id", FIRST),
     "w9_exact_links": _sql(f"SELECT k.id, count(h.listing_id) AS log_rows FROM (SELECT min(id) AS id, fuente, link FROM (SELECT id, fuente, {LINK} AS link FROM listings) GROUP BY fuente, link) k JOIN (SELECT id AS member, fuente, {LINK} AS link FROM listings) m ON m.fuente = k.fuente AND m.link = k.link LEFT JOIN history h ON h.listing_id = m.member GROUP BY k.id"),
-    "e4_market_values": _sql("SELECT t_id AS id, round(price_m2 * m2, 1) AS estimated_price, round(price_m2, 2) AS price_m2, round(p25 * m2, 1) AS min_price, round(p75 * m2, 1) AS max_price, round(confidence_score, 4) AS confidence_score, round(score_mean, 4) AS score_mean, CAST(comparable_count AS INT) AS comparable_count FROM x6 WHERE comparable_count >= 3 AND confidence_score >= 0.25", f"{BASE}, {PAIRS.format(targets=RADAR_TARGETS)}, {MARKET}"),
+    "e4_market_values": _sql("SELECT t_id AS id, round(price_m2 * m2, 1) AS estimated_price, round(price_m2, 2) AS price_m2, round(p25 * m2, 1) AS min_price, round(p75 * m2, 1) AS max_price, round(confidence_score, 4) AS confidence_score, round(score_mean, 4) AS score_mean, CAST(comparable_count AS INT) AS comparable_count FROM x6 WHERE before >= 3 AND confidence_score >= 0.25", f"{BASE}, {PAIRS.format(targets=RADAR_TARGETS)}, {MARKET}"),
 }
