@@ -40,7 +40,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs of a stretch of texts, by row; a feature is its buckets in two hashings.
 
     The second column's buckets come after the first's. Of the two, the one that fewer documents have is the less
-    mixed with other features and speaks for the feature.
+    mixed with other features; its weight is the feature's.
     """
     data, _ = text_bytes(column)
     h, rows = words(column, ALNUM)
@@ -147,8 +147,10 @@ def weights(t: np.ndarray, r: np.ndarray, share: float) -> np.ndarray:
 
 
 def log_ratios(model: Model, row: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
-    purer = two[np.arange(len(two)), np.argmin(model.count[two], axis=1)] if len(two) else two.reshape(-1)
-    return np.bincount(row, model.weight[purer], n)
+    """The summed weights of each row's features; a feature weighs something only if both its buckets do."""
+    purer = np.argmin(model.count[two], axis=1) if len(two) else two[:, 0]
+    weight = model.weight[two]
+    return np.bincount(row, np.where((weight != 0).all(axis=1), weight[np.arange(len(two)), purer], 0), n)
 
 
 SCORES = ("log_ratio", "gumbel_key")
