@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontamination, jaccard, language, language_model, licenses, packing, quality, token_files, vectors
-from .shared import write_table
+from .shared import small_batches, write_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,6 +16,7 @@ def _tokenizer() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,6 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python a thousand rows at a time, unless the session already asks for fewer.
+
+    Whole texts are wide: ten thousand of them, in the JVM, in Python and on the way back, are much of an executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def write_table(df: DataFrame, name: str, compression: str = "lz4") -> tuple[DataFrame, str]:
     """Write ``df`` under the shared folder and return it reread, with its path.
 
