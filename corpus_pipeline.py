@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predial.llm import decontamination, jaccard, language, packing, quality
-from predial.llm.shared import write_table
+from predial.llm.shared import small_batches, write_table
 
 #: A document whose leading language holds a smaller part of its words is rejected.
 LEADING = 0.5
@@ -16,12 +16,14 @@ LEADING = 0.5
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts of which no language holds half of the words."""
+    small_batches(spark)
     scored = language.add_language(docs, language.train(docs), names=("__lang", "__share", "__languages"))
     return scored.where((F.col("__lang") != language.UNDECIDED) & (F.col("__share") >= LEADING)).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the documents that importance resampling leaves out."""
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keys, _ = write_table(quality.add_scores(docs.select("doc_id", "text"), model).drop("text"), "quality")
     return quality.add_scores(docs, model, names=("__ratio", "__key")).where(F.col("__key") >= quality.resample(keys)).select(docs.columns)
@@ -29,9 +31,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies; rows of one id count as one document."""
+    small_batches(spark)
     found, _ = write_table(jaccard.components(docs).select("doc_id", "component_id"), "groups")
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    # A merge join at every size: the ids to drop grow with the corpus.
+    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti")
     repeated, _ = write_table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -41,11 +45,13 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a passage of the benchmark."""
+    small_batches(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
