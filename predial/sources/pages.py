@@ -14,10 +14,7 @@ CARDS = "page_id long, url string, link string, title string, price_text string,
 VOID = frozenset(("br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr"))
 #: Fields of a search result's attributes, in order of preference.
 ATTRIBUTES = {"m2_construidos": ("COVERED_AREA", "TOTAL_AREA"), "dormitorios": ("BEDROOMS", "ROOMS"), "banos": ("FULL_BATHROOMS", "BATHROOMS"), "estacionamientos": ("PARKING_LOTS",)}
-ITEM = (
-    "id string, title string, price double, currency_id string, permalink string, address struct<city_name:string>, location struct<latitude:double,longitude:double>, "
-    "attributes array<struct<id:string,value_name:string,value_struct:struct<number:double>>>"
-)
+ITEM = "id:string,title:string,price:double,currency_id:string,permalink:string,address:struct<city_name:string>,location:struct<latitude:double,longitude:double>,attributes:array<struct<id:string,value_name:string,value_struct:struct<number:double>>>"
 
 
 class _Tree(HTMLParser):
@@ -125,7 +122,7 @@ def card_rows(found: DataFrame) -> DataFrame:
 
 def search_rows(results: DataFrame, column: str = "json") -> DataFrame:
     """Listing rows of a search API's JSON: attribute priorities, currency, address and place."""
-    items = results.select(F.explode(F.from_json(column, f"results array<struct<{_struct(ITEM)}>>")["results"]).alias("i")).select("i.*")
+    items = results.select(F.explode(F.from_json(column, f"results array<struct<{ITEM}>>")["results"]).alias("i")).select("i.*")
     by_id = F.map_from_entries(F.transform(F.array_distinct(F.transform("attributes", lambda a: a["id"])), lambda k: F.struct(k, F.element_at(F.filter("attributes", lambda a: a["id"] == k), 1))))
     items = items.withColumn("__a", F.when(F.col("attributes").isNotNull(), by_id))
 
@@ -139,18 +136,3 @@ def search_rows(results: DataFrame, column: str = "json") -> DataFrame:
     uf = F.col("currency_id") == "CLF"
     columns = [number(names).cast("double" if field == "m2_construidos" else "int").alias(field) for field, names in ATTRIBUTES.items()]
     return items.select(F.col("id").alias("source_listing_id"), F.col("title").alias("titulo"), normal_url(F.col("permalink")).alias("link"), F.when(~uf, F.col("price")).cast("bigint").alias("precio_clp"), F.when(uf, F.col("price")).alias("precio_uf"), F.col("address.city_name").alias("comuna"), F.col("location.latitude").alias("lat"), F.col("location.longitude").alias("lon"), *columns)
-
-
-def _struct(ddl: str) -> str:
-    """'a string, b struct<...>' with colons after the names."""
-    out, depth, name = [], 0, True
-    for ch in ddl:
-        depth += (ch == "<") - (ch == ">")
-        if ch == " " and depth == 0 and name:
-            out.append(":")
-            name = False
-            continue
-        if ch == "," and depth == 0:
-            name = True
-        out.append(ch if not (ch == " " and out and out[-1] == ",") else "")
-    return "".join(out)
