@@ -12,6 +12,8 @@ from predial.llm.shared import small_batches, write_table
 
 #: A document whose leading language holds a smaller part of its words is rejected.
 LEADING = 0.5
+#: Near copies share this part (in per cent) of their shingles of so many words; op7 alone has its own rule.
+PERCENT, WORDS = 80, 5
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each group of near copies; rows of one id count as one document."""
     small_batches(spark)
-    found, _ = write_table(jaccard.components(docs).select("doc_id", "component_id"), "groups")
+    found, _ = write_table(jaccard.components(docs, percent=PERCENT, k=WORDS).select("doc_id", "component_id"), "groups")
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     # A merge join at every size: the ids to drop grow with the corpus.
     kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti")
