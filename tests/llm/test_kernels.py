@@ -154,3 +154,38 @@ def test_quality_features():
 
 def test_crc_mod():
     assert hashing.crc_mod(pa.array([5, None]), 3).tolist() == [zlib.crc32(b"5") % 3, -1]
+
+
+def _labels(scanner, text):
+    return {scanner.labels[n] for n, *_ in scanner.scan(licenses.normalise(text))[1]}
+
+
+def test_misspelt_phrases():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.PER_ERROR)
+    for text, label in {
+        "Released under the MIT Licence": "mit", "distributed under teh MIT license": "mit", "under the M.I.T. license": "mit", "Apache Licence, Version 2.0": "apache-2",
+        "released under the apache lisence version 2.0": "apache-2", "x cc bi nc": "cc-by-nc", "x cc bync y": "cc-by-nc",
+    }.items():
+        assert _labels(scanner, text) == {label}, text
+    for text in ("released under the MPL license", "under the site license", "apache license, version 1.1", "cc-by-nd", "cc by sa", "acc by nct", "thunder the mit licenses s"):
+        assert not _labels(scanner, text), text
+
+
+def test_phrases_with_random_edits():
+    rng, scanner = random.Random(5), licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.PER_ERROR)
+    for phrase, safe, k in (("under the mit license", (0, 10), 2), ("apache license version 2", (0, 22), 2), ("cc by nc", (0, 6), 1)):
+        for _ in range(300):
+            text = list(phrase)
+            for _ in range(rng.randint(1, k)):
+                at, letter = rng.randrange(1, safe[1] - 3), rng.choice("aeox")
+                text[at : at + rng.randint(0, 1)] = rng.choice(["", letter])
+            assert scanner.phrases[phrase] in _labels(scanner, f"released {''.join(text)} 0 by us"), text
+
+
+def test_hits_before_the_best():
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES, licenses.PER_ERROR)
+    text = licenses.normalise("licensed undr the mit licence licensed under the mit license licensed under teh mit license")
+    long = list(licenses.NOTICES).index("licensed under the mit license")
+    assert [e for n, _, _, e in scanner.scan(text)[1] if n == long] == [2, 0, 2]
+    short = [scanner.notices[n][0] for n, *_ in scanner.scan(text)[1]].count("under the mit license")
+    assert short == 3
