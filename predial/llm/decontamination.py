@@ -2,7 +2,7 @@
 
 Each fixed mask hashes some of the words in a window and ignores the others, so a hit survives substituted words. The
 hashes of benchmark and corpus are joined inside the scan of the corpus, and around each hit the two word sequences
-are compared place by place. The benchmark goes to the tasks in blocks of bounded size: a benchmark of any size takes
+are compared place by place: the longest stretch that is alike enough decides. The benchmark goes to the tasks in blocks of bounded size: a benchmark of any size takes
 as many passes as it has blocks, and no row of the corpus is ever shuffled.
 """
 
@@ -66,9 +66,12 @@ class Index:
         for row, item, by in found.T.tolist():
             a, b = int(self.rows[item]), int(self.rows[item + 1])
             low, high = max(a, int(rows[row]) - by), min(b, int(rows[row + 1]) - by)
-            matched, first, last = densest(self.h[low:high] == h[low + by : high + by])
+            same, least = self.h[low:high] == h[low + by : high + by], min(self.min_words, b - a)
+            matched, first, last = densest(same)
+            if last - first + 1 < least:
+                matched, first, last = longest(same)
             aligned = last - first + 1
-            if aligned >= min(self.min_words, b - a) and (matched, -first) > best.get((row, item), (0, 0))[:2]:
+            if aligned >= least and (matched, -first) > best.get((row, item), (0, 0))[:2]:
                 base = low + by - int(rows[row])
                 best[row, item] = (matched, -(base + first), aligned, base + last)
         return [(row, item, m, n, -first, last) for (row, item), (m, first, n, last) in best.items()]
@@ -95,6 +98,15 @@ def densest(same: np.ndarray) -> tuple[int, int, int]:
     return int(same[start:end].sum()), start, end - 1
 
 
+def longest(same: np.ndarray) -> tuple[int, int, int]:
+    """(matches, first, last) of the first longest stretch of which at least 75 % match."""
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
+    starts = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int(np.argmax(np.arange(len(score)) - starts))
+    start = int(starts[end])
+    return int(same[start:end].sum()), start, end - 1
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """The benchmark's rows in blocks of about BLOCK_BYTES, one at a time on the driver."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
@@ -108,8 +120,9 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str):
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item that share a stretch of at least ``min_words`` words (or the whole item).
 
-    Words are lower-cased runs of letters, digits and non-ASCII; over three quarters of the stretch's words are equal
-    place by place. Among equally good stretches the first counts. Items of fewer than SHORTEST words and null texts
+    Words are lower-cased runs of letters, digits and non-ASCII; at least three quarters of the stretch's words are
+    equal place by place. The densest stretch is reported where it is long enough, else the longest; among equally good
+    stretches the first counts. Items of fewer than SHORTEST words and null texts
     on either side match nothing; rows with a null id on either side are matched and carry that null; repeated rows
     are reported each; an empty table on either side gives none.
     """

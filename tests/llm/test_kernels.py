@@ -189,3 +189,32 @@ def test_hits_before_the_best():
     assert [e for n, _, _, e in scanner.scan(text)[1] if n == long] == [2, 0, 2]
     short = [scanner.notices[n][0] for n, *_ in scanner.scan(text)[1]].count("under the mit license")
     assert short == 3
+
+
+def test_longest_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        same = rng.random(rng.integers(1, 24)) < rng.choice([0.5, 0.75, 0.9])
+        spans = [(b - a, -a) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 4 * same[a:b].sum() >= 3 * (b - a)]
+        n, first = max(spans, default=(0, 0))
+        matched, start, end = decontamination.longest(same)
+        assert end - start + 1 == n and (n == 0 or (start == -first and matched == same[start : end + 1].sum()))
+
+
+def test_substituted_passages_against_brute_force():
+    """Wherever a seed hits, the passage counts if any stretch of 10 words or the whole item is alike in three quarters."""
+    rng, checked = random.Random(3), 0
+    for n, subs in [(16, 3), (16, 2), (20, 4), (13, 2), (12, 1), (10, 1), (8, 1)]:
+        for _ in range(100):
+            item, text = [f"w{i}" for i in range(n)], [f"w{i}" for i in range(n)]
+            for at in rng.sample(range(n), subs):
+                text[at] = "x"
+            same = [a == b for a, b in zip(item, text)]
+            if not any(all(same[at + i] for i in mask) for mask in decontamination.MASKS for at in range(n - mask[-1])):
+                continue
+            checked += 1
+            index = decontamination.Index([7], pa.array([" ".join(item)]), 10)
+            found = index.find(*hashing.words(pa.array([" ".join(text)]), hashing.ALNUM))
+            alike = any(4 * sum(same[a:b]) >= 3 * (b - a) for a in range(n) for b in range(a + min(10, n), n + 1))
+            assert bool(found) == alike, (same, found)
+    assert checked > 500
