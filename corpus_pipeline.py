@@ -32,17 +32,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies; rows of one id count as one document."""
+    """Keeps the row of smallest id of each group of near copies, the first of its rows where that id is repeated.
+
+    A null id counts as the greatest. Rows decide, not ids: differing texts of one id are documents of their own.
+    """
     small_batches(spark)
-    found, _ = write_table(jaccard.components(docs, percent=PERCENT, k=WORDS).select("doc_id", "component_id"), "groups")
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # A merge join at every size: the ids to drop grow with the corpus.
-    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti")
-    repeated, _ = write_table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return kept.select(docs.columns)
+    rows, _ = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.components(rows, percent=PERCENT, k=WORDS, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    placed, _ = write_table(found.hint("merge").join(rows.select("__row", "doc_id"), "__row"), "groups")
+    several = placed.groupBy("__group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__keep")).where("n > 1")
+    dropped, _ = write_table(placed.join(several.hint("merge"), "__group").where("__row <> __keep").select("__row"), "dropped")
+    # A merge join at every size: the rows to drop grow with the corpus.
+    return rows.join(dropped.hint("merge"), "__row", "left_anti").select(docs.columns)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,3 +13,10 @@ def test_near_duplicates_follow_the_pipeline_rule(spark):
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(other)), (4, " ".join([*other, *(f"u{i}" for i in range(20))])), (5, "apart from all")]
     kept = corpus_pipeline.keep_distinct(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
+
+
+def test_near_duplicates_decide_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (None, one), (None, "a null id of its own"), (None, "a null id of its own")]
+    kept = corpus_pipeline.keep_distinct(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(1, one), (2, two), (3, three), (0, "a null id of its own")])
