@@ -33,18 +33,34 @@ def collapse(batch: DataFrame, arrival: str = "arrival") -> DataFrame:
     return batch
 
 
-def match_identity(batch: DataFrame, listings: DataFrame) -> DataFrame:
-    """(arrival, id, hits): the listing with the row's link, else url, else source id; the smallest id of several."""
+def match_identity(batch: DataFrame, listings: DataFrame, others: bool = False) -> DataFrame:
+    """(arrival, id, hits): the listing with the row's link, else url, else source id; the smallest id of several.
+
+    With ``others`` arrival numbers are listing ids, and a row doesn't match the listing of its own id.
+    """
     out = batch.select("arrival", "fuente", "link", "url", "source_listing_id")
     for i, key in enumerate(("link", "url", "source_listing_id")):
-        side = listings.where(F.col(key).isNotNull()).groupBy("fuente", F.col(key).alias("__key")).agg(F.min("id").alias(f"__id{i}"), F.count("*").alias(f"__n{i}"))
+        named = listings.where(F.col(key).isNotNull()).select("id", "fuente", F.col(key).alias("__key"))
+        side = named.groupBy("fuente", "__key").agg(F.min("id").alias(f"__id{i}"), F.count("*").alias(f"__n{i}"))
+        if others:
+            second = named.join(side, ["fuente", "__key"]).where(F.col("id") > F.col(f"__id{i}")).groupBy("fuente", "__key").agg(F.min("id").alias("__second"))
+            side = side.join(second, ["fuente", "__key"], "left")
         out = out.join(side.withColumnRenamed("fuente", "__f"), (F.col("fuente") == F.col("__f")) & (F.col(key) == F.col("__key")), "left").drop("__f", "__key")
+        if others:
+            own = listings.select(F.col("id").alias("arrival"), F.col("fuente").alias("__f"), F.col(key).alias("__key"))
+            there = F.coalesce((F.col("__f") == F.col("fuente")) & (F.col("__key") == F.col(key)), F.lit(False))
+            left = F.when(there & (F.col("arrival") == F.col(f"__id{i}")), F.col("__second")).otherwise(F.col(f"__id{i}"))
+            many = F.when(left.isNotNull(), F.col(f"__n{i}") - there.cast("int"))
+            out = out.join(own, "arrival", "left").withColumns({f"__id{i}": left, f"__n{i}": many}).drop("__f", "__key", "__second")
     ids = F.coalesce("__id0", "__id1", "__id2")
     return out.select("arrival", ids.alias("id"), F.coalesce("__n0", "__n1", "__n2").alias("hits")).where("id is not null")
 
 
-def match_structure(batch: DataFrame, listings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(arrival, id): the best of the listings that look like the row's property (same fingerprint, or area within 12 %)."""
+def match_structure(batch: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, others: bool = False) -> DataFrame:
+    """(arrival, id): the best of the listings that look like the row's property (same fingerprint, or area within 12 %).
+
+    ``others`` as in match_identity().
+    """
     width = 0.12
     fields = ("m2_construidos", "dormitorios", "banos", "estacionamientos")
     keyed = lambda df: df.withColumn("__comuna", comuna_key(F.col("comuna"))).where("__comuna <> '' and m2_construidos > 0")
@@ -54,6 +70,8 @@ def match_structure(batch: DataFrame, listings: DataFrame, cfg: Config = DEFAULT
     m, o = F.col("a_m2_construidos"), F.col("b_m2_construidos")
     close = lambda c: F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= 1
     alike = (F.abs(m - o) <= F.greatest(m, o) * cfg.duplicate_m2) & close("dormitorios") & close("banos") & F.coalesce(close("estacionamientos"), F.lit(True))
+    if others:
+        alike &= F.col("arrival") != F.col("id")
     return a.join(b, ["__comuna", "__bucket"]).where(alike).groupBy("arrival").agg(F.max_by("id", F.struct("__points", -F.col("id"))).alias("id"))
 
 

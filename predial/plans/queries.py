@@ -100,13 +100,13 @@ def j2_duplicate_pairs(spark, sf_dir):
 
 def j3_identity_matches(spark, sf_dir):
     base = _linked(spark, sf_dir)
-    batch = base.where("id % 4 = 0").withColumn("arrival", F.col("id")).withColumn("url", F.col("link"))
-    return ingest.match_identity(batch, base.where("id % 3 <> 1")).select("arrival", "id", "hits")
+    batch = base.withColumn("arrival", F.col("id")).withColumn("url", F.col("link"))
+    return ingest.match_identity(batch, base, others=True).select("arrival", "id", "hits")
 
 
 def j4_structural_matches(spark, sf_dir):
     base = _linked(spark, sf_dir)
-    return ingest.match_structure(base.where("id % 50 = 0").withColumn("arrival", F.col("id")), base.where("id % 50 <> 0"))
+    return ingest.match_structure(base.withColumn("arrival", F.col("id")), base, others=True)
 
 
 def p3_pair_scores(spark, sf_dir):
@@ -210,19 +210,19 @@ def e1_cleaned_batch(spark, sf_dir):
 
 def e2_ingested(spark, sf_dir):
     base = _linked(spark, sf_dir)
-    batch = base.where("id % 5 = 0").withColumn("arrival", F.col("id")).withColumn("precio_clp", (F.col("precio_clp") * 1.05).cast("bigint"))
-    snapshot, log = ingest.upsert(base.where("id % 3 <> 1"), batch, AS_OF)
+    batch = base.withColumn("arrival", F.col("id")).withColumn("precio_clp", (F.col("precio_clp") * 1.05).cast("bigint"))
+    snapshot, log = ingest.upsert(base, batch, AS_OF)
     return snapshot.join(log.select(F.col("listing_id").alias("id"), "precio_clp_anterior", "precio_clp_nuevo"), "id", "left").select("id", "fuente", "precio_clp", "precio_clp_anterior", "precio_clp_nuevo", "status")
 
 
 def e3_valuations(spark, sf_dir):
     base = listings(spark, sf_dir)
-    return _round(valuation.valuations(base.where("id % 20 = 0"), base).drop("comps"), 2)
+    return _round(valuation.valuations(base, base).drop("comps"), 2)
 
 
 def a29_relaxed_estimates(spark, sf_dir):
     base = listings(spark, sf_dir)
-    return _round(valuation.relaxed_estimates(base.where("id % 20 = 0 and m2_construidos is not null"), base), 2)
+    return _round(valuation.relaxed_estimates(base.where("m2_construidos is not null"), base), 2)
 
 
 def e4_market_values(spark, sf_dir):
@@ -271,8 +271,7 @@ def e11_marked_duplicates(spark, sf_dir):
 def e14_portfolio(spark, sf_dir):
     base, log = listings(spark, sf_dir), price_history(spark, sf_dir)
     saved = base.where("id % 17 = 0").select(F.col("source_listing_id").alias("listing_id"), (ask_clp() * 1.05).alias("precio_guardado"), (F.col("id") % 100).cast("double").alias("score_guardado"), F.lit(AS_OF).alias("saved_at"))
-    none = base.limit(0).select("id", F.lit(0).alias("investment_score"))
-    found = portfolio.positions(saved, base, none, history.signals(base, log, AS_OF))
+    found = portfolio.positions(saved, base, radar.opportunities(base, log, AS_OF), history.signals(base, log, AS_OF))
     return _round(found.select("listing_id", "precio_guardado", "precio_actual", "delta_pct", "status", "action"), 4)
 
 
