@@ -60,6 +60,8 @@ def _rule(separators: bytes) -> Rule:
 SPACE = _rule(bytes([32, *range(9, 14)]))
 #: Lower-cased words of letters, digits and all non-ASCII: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing
 ALNUM = _rule(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+#: Runs of ASCII punctuation: what neither ALNUM's words nor white space and control characters take.
+PUNCTUATION = _rule(bytes([*range(33), *range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x7F, 0x100)]))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,165 +1,118 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Features are a text's words, its tokens' shapes (letters' case, digits, the punctuation itself) alone and in pairs, and
-the share of tokens that repeat the one before (in fifths); each counts once a document. A feature weighs the log of its ratio between the target model and
-the raw model where the two differ beyond chance, else nothing, so that ordinary text of any length weighs zero.
+Tokens are lower-cased words and runs of punctuation; a document's features are its tokens and its pairs of neighbouring
+tokens, each as often as it stands there, hashed into BUCKETS. Target and raw text are multinomial models of the buckets,
+a document's log weight is the sum of its features' log ratios, and the k documents of largest log weight plus Gumbel
+noise are a sample without replacement with odds in proportion to the weights.
 """
 
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import ALNUM, BASE, CHUNK, SPACE, _powers, all_words, mix, seeded, text_bytes, words
+from .hashing import ALNUM, PUNCTUATION, all_words, mix, seeded, text_bytes
 
-BUCKETS = 1 << 18
-SLICES = 64
-GROUPS = 64
-STRETCH = 1 << 18
-TEMPERATURE = 0.05
-ACCEPTED = -2.0
-SURE = 3.0
+BITS = 16
+BUCKETS = 1 << BITS
+STRETCH = 1 << 20
+#: Raw text's buckets count in the target model as so many features in all, spread as the raw model spreads them.
+PRIOR = float(BUCKETS)
+#: Labelled rows that the target model and the share are learnt from.
 LABELLED = 200_000
-_CLASS = np.arange(256)
-_CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 65, 97, 48, 97
-_SHAPE = seeded(256, 53)[_CLASS]
 
 
 class Model(NamedTuple):
-    """For each of the two hashings' buckets: the weight, and how many documents have the bucket."""
+    """Each bucket's log ratio of target and raw model, and the target's share among the labelled documents."""
 
     weight: np.ndarray
-    count: np.ndarray
+    share: float
     seed: int
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs of a stretch of texts, by row; a feature is its buckets in two hashings.
-
-    The second column's buckets come after the first's. Of the two, the one that fewer documents have is the less
-    mixed with other features; its weight is the feature's.
-    """
-    data, _ = text_bytes(column)
-    h, rows = words(column, ALNUM)
-    parts = [(np.searchsorted(rows, np.arange(len(h)), "right") - 1, h)]
-    found = all_words(column, SPACE)
-    n = len(found.hash)
-    if n:
-        row = np.searchsorted(found.rows, np.arange(n), "right") - 1
-        shape = _shapes(data, found.start, found.end)
-        two = np.flatnonzero(row[1:] == row[:-1])
-        again = np.bincount(row[two], found.hash[two] == found.hash[two + 1], len(rows) - 1)
-        often = np.flatnonzero(again)
-        share = np.ceil(5 * again[often] / np.diff(found.rows)[often]).astype(np.uint64)
-        a, b = seeded(2, 59)
-        parts += [(row, shape * a), (row[two], shape[two] * a + shape[two + 1] * b), (often, share)]
-    row = np.concatenate([x for x, _ in parts])
-    key = np.concatenate([mix(k + np.uint64(i)) >> np.uint64(16) for i, (_, k) in enumerate(parts)])
-    both = np.sort(row.astype(np.uint64) << np.uint64(48) | key)
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-    two = np.stack([both & np.uint64(BUCKETS - 1), (both >> np.uint64(24)) & np.uint64(BUCKETS - 1)], axis=1).astype(np.int64)
-    two[:, 1] += BUCKETS
-    return (both >> np.uint64(48)).astype(np.int64), two
-
-
-def _shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each token's shape: its bytes' classes with runs as one."""
-    kind = _CLASS[data]
-    new = np.concatenate([[True], kind[1:] != kind[:-1]])
-    new[start] = True
-    rank = np.cumsum(new)
-    up, down = _powers()
-    value = np.where(new, _SHAPE[data] * up[rank % CHUNK], np.uint64(0))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-    # Powers wrap after CHUNK; tokens that cross that edge, and no others, get a hash of their place in it too.
-    return mix((total[end] - total[start]) * down[rank[start] % CHUNK] * np.uint64(BASE))
+    """(row, bucket) of every token and of every pair of neighbouring tokens of a stretch of texts (null: none)."""
+    one, two = all_words(column, ALNUM), all_words(column, PUNCTUATION)
+    h = np.concatenate([one.hash, two.hash])[np.argsort(np.concatenate([one.start, two.start]), kind="stable")]
+    rows = one.rows + two.rows
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    at = np.flatnonzero(row[1:] == row[:-1])
+    a, b = seeded(2, 59)
+    key = np.concatenate([mix(h), mix(h[at] * a + h[at + 1] * b)])
+    return np.concatenate([row, row[at]]), (key >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _stretches(column: pa.Array):
     _, offsets = text_bytes(column)
     at, n = 0, len(offsets) - 1
     while at < n:
-        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH, "right")) - 1), at + (1 << 15))
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STRETCH, "right")) - 1)
         yield at, end, column.slice(at, end - at)
         at = end
 
 
 def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """How many target texts and how many texts have each bucket, and how many there are; texts: (text, is target).
+    """The buckets' counts in target and in all texts, and how many texts are good and labelled; texts: (text, mark).
 
-    Each task's counts go out in slices, which are summed in groups of tasks and then over the groups.
+    The mark is 3 for a target text, 2 for another good one, 1 for another labelled one, else 0. A task sends what it
+    has counted, at most BUCKETS rows; Spark adds them up, and one table of BUCKETS rows comes to the driver.
     """
 
     def count(batches):
-        total, n = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
+        total, seen = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            target = np.array(batch.column(1).to_pylist(), bool)
+            mark = batch.column(1).to_numpy(zero_copy_only=False)
+            seen += [(mark >= 2).sum(), (mark > 0).sum()]
             for a, b, column in _stretches(batch.column(0)):
-                row, two = features(column)
-                total[1] += np.bincount(two.reshape(-1), minlength=2 * BUCKETS)
-                total[0] += np.bincount(two[target[a:b][row]].reshape(-1), minlength=2 * BUCKETS)
-                n += [target[a:b].sum(), b - a]
-        if n[1]:
-            group = TaskContext.get().partitionId() % GROUPS
-            parts = [p.tobytes() for p in np.split(total.reshape(-1), SLICES)] + [n.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([group] * (SLICES + 1), pa.int32()), pa.array(parts, pa.binary())], ["slice", "grp", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(part.as_py(), np.int64) for part in table.column("counts"))
-        return pa.table([table.column("slice").slice(0, 1), table.column("grp").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["slice", "grp", "counts"])
-
-    schema = "slice int, grp int, counts binary"
-    found = texts.mapInArrow(count, schema)
-    table = found.groupBy("slice", "grp").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema).toArrow()
-    parts = dict(zip(table.column("slice").to_pylist(), table.column("counts").to_pylist()))
-    if not parts:
-        return np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS), 0, 0
-    total = np.concatenate([np.frombuffer(parts[i], np.int64) for i in range(SLICES)]).reshape(2, -1)
-    n = np.frombuffer(parts[SLICES], np.int64)
-    return total[0], total[1], int(n[0]), int(n[1])
-
+                row, bucket = features(column)
+                total[1] += np.bincount(bucket, minlength=BUCKETS)
+                total[0] += np.bincount(bucket[mark[a:b][row] == 3], minlength=BUCKETS)
+        at = np.flatnonzero(total[1])
+        columns = [np.append(at, -1), np.append(total[0][at], seen[0]), np.append(total[1][at], seen[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "target", "raw"])
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, seed: int = 17) -> Model:
-    """The target model from up to ``labelled`` labelled rows (quality 1, not toxic), the raw model from all documents.
+    table = texts.mapInArrow(count, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
+    bucket, target, raw = (table.column(c).to_numpy() for c in ("bucket", "target", "raw"))
+    t, r = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    real = bucket >= 0
+    t[bucket[real]], r[bucket[real]] = target[real], raw[real]
+    return t, r, int(target[~real].sum()), int(raw[~real].sum())
 
-    Labels beyond ``labelled`` are left out by the order of their id's hash. Labels without a document, and null
-    labels, teach nothing. Without any target document every weight is 0.
-    """
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col(id_col).alias("__key")).distinct()
-    bound = F.broadcast(good.orderBy(F.xxhash64(F.lit(seed), "__key")).limit(labelled).withColumn("__good", F.lit(True)))
-    keyed = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
-    marked = keyed.join(bound, "__key", "left").select("__text", F.coalesce("__good", F.lit(False)))
-    t, r, t_docs, r_docs = _counts(marked)
-    if not t_docs:
-        return Model(np.zeros(2 * BUCKETS, np.float32), r.astype(np.float32), seed)
-    return Model(weights(t, r, t_docs / r_docs), r.astype(np.float32), seed)
 
+def weights(t: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The buckets' log ratios of the target model, smoothed by PRIOR features of the raw model, and the raw model; 0 where raw text has nothing."""
+    raw = r / max(r.sum(), 1)
+    target = (t + PRIOR * raw) / (t.sum() + PRIOR)
+    return np.log(np.divide(target, raw, out=np.ones(BUCKETS), where=raw > 0))
 
-def weights(t: np.ndarray, r: np.ndarray, share: float) -> np.ndarray:
-    """The log ratio of target and raw model where they differ beyond chance, else 0."""
-    expected = r * share
-    ratio = np.log((t + 1) / (expected + 1))
-    sure = (np.abs(t - expected) >= SURE * np.sqrt(expected + 1)) & (np.abs(ratio) >= np.log(1.5))
-    return np.where(sure, ratio, 0).astype(np.float32)
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, seed: int = 17) -> Model:
+    """The target model from up to ``labelled`` labelled documents (quality 1, not toxic), the raw model from all documents.
 
-def log_ratios(model: Model, row: np.ndarray, two: np.ndarray, n: int) -> np.ndarray:
-    """The summed weights of each row's features; a feature weighs something only if both its buckets do."""
-    purer = np.argmin(model.count[two], axis=1) if len(two) else two[:, 0]
-    weight = model.weight[two]
-    return np.bincount(row, np.where((weight != 0).all(axis=1), weight[np.arange(len(two)), purer], 0), n)
+    Labels beyond ``labelled`` are left out by the order of their id's hash. Labels without a document and null labels
+    teach nothing; an id with several labels has its best one. The share is that of quality 1 among the labelled
+    documents. Without any target document every weight is 0; without any labelled one the share is 1.
+    """
+    good = F.col("quality") == 1
+    mark = F.when(good & (F.coalesce("toxic", F.lit(0)) == 0), 3).when(good, 2).when(F.col("quality").isNotNull(), 1)
+    known = labels.select(F.col(id_col).alias("__key"), mark.alias("__mark")).where("__key is not null and __mark is not null")
+    bound = F.broadcast(known.groupBy("__key").agg(F.max("__mark").alias("__mark")).orderBy(F.xxhash64(F.lit(seed), "__key")).limit(labelled))
+    keyed = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("__text"))
+    t, r, n_good, n_labelled = _counts(keyed.join(bound, "__key", "left").select("__text", F.coalesce("__mark", F.lit(0))))
+    share = n_good / n_labelled if n_labelled else 1.0
+    return Model(weights(t, r) if t.any() else np.zeros(BUCKETS), share, seed)
 
 
 SCORES = ("log_ratio", "gumbel_key")
 
 
 def add_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = SCORES) -> DataFrame:
-    """The documents with log_ratio (0 for a null or empty text) and gumbel_key, its sampling key in fixed point.
+    """The documents with log_ratio, their log weight (0 for a null or empty text), and gumbel_key, its sampling key in fixed point.
 
-    The noise is a hash of id, so that a row has the same key in every run; columns of these names are replaced.
+    The noise is a hash of id and text, so that a row has the same key in every run and equal rows share one; columns
+    of these names are replaced.
     """
     base = docs.drop(*names)
     at = base.columns.index(text_col)
@@ -169,13 +122,14 @@ def add_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in batches:
             total = np.zeros(batch.num_rows)
             for a, b, column in _stretches(batch.column(at)):
-                total[a:b] = log_ratios(shared.value, *features(column), b - a)
+                row, bucket = features(column)
+                total[a:b] = np.bincount(row, shared.value.weight[bucket], b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], [*batch.schema.names, names[0]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     scored = base.mapInArrow(score, f"{fields}, `{names[0]}` double")
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(model.seed), F.col(id_col)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    noisy = F.col(names[0]) / F.lit(TEMPERATURE) - F.log(-F.log(uniform))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(model.seed), F.col(id_col), F.col(text_col)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    noisy = F.col(names[0]) - F.log(-F.log(uniform))
     return scored.withColumn(names[1], F.round(F.greatest(F.least(noisy, F.lit(1e9)), F.lit(-1e9)) * (1 << 16)).cast("long"))
 
 
@@ -202,13 +156,7 @@ def threshold(keys: DataFrame, key: str, k: int) -> int | None:
     return base - (1 << 47)
 
 
-def resample(scores: DataFrame, share: float | None = None) -> int:
-    """The gumbel_key from which rows are kept; ties at it are all kept.
-
-    The sample's size is ``share`` of the rows, or by default the number of rows that the target model explains
-    about as well as the raw model (log_ratio of ACCEPTED or more).
-    """
-    row = scores.agg(F.count("*").alias("n"), F.count_if(F.col("log_ratio") >= ACCEPTED).alias("good")).first()
-    k = row.good if share is None else round(row.n * share)
-    found = threshold(scores, "gumbel_key", k)
+def resample(scores: DataFrame, share: float, key: str = SCORES[1]) -> int:
+    """The key from which rows are kept, so that ``share`` of them (Model.share by default use) are; ties at it all stay."""
+    found = threshold(scores, key, round(scores.count() * share))
     return (1 << 62) if found is None else found

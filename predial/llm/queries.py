@@ -53,7 +53,7 @@ def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scores, _ = write_table(quality.add_scores(docs.select("doc_id", "text"), model).drop("text"), "quality")
-    return scores.withColumn("kept", F.col("gumbel_key") >= quality.resample(scores))
+    return scores.withColumn("kept", F.col("gumbel_key") >= quality.resample(scores, model.share))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

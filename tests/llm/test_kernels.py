@@ -1,8 +1,10 @@
 """Kernels against brute force: hashing, Simple-8b, packing plans, tokenising, spaced seeds, prefixes."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -145,11 +147,30 @@ def test_prefix_matches():
 
 
 def test_quality_features():
-    row, two = quality.features(pa.array(["a b a", None, "A!! B!!", ""]))
-    assert set(row.tolist()) == {0, 2} and two.shape[1] == 2
-    same = quality.features(pa.array(["QQ!! ZZZZ!!"]))[1]
-    shape = quality.features(pa.array(["A!! B!!"]))[1]
-    assert {tuple(x) for x in same.tolist()} & {tuple(x) for x in shape.tolist()}
+    row, bucket = quality.features(pa.array(["A b, a", None, "a  ...b", "", "B,b"]))
+    found = [sorted(bucket[row == i].tolist()) for i in range(5)]
+    assert [len(x) for x in found] == [7, 0, 5, 0, 5]
+    one = {t: quality.features(pa.array([t]))[1].tolist()[0] for t in ("a", "b", ",", "...")}
+    assert {one["a"], one["b"], one[","]} <= set(found[0]) and found[0].count(one["a"]) == 2 and one["..."] in found[2]
+    # The same words in another order have the same tokens and other pairs.
+    left, right = (quality.features(pa.array([t]))[1].tolist() for t in ("x y z", "z y x"))
+    assert sorted(left[:3]) == sorted(right[:3]) and sorted(left) != sorted(right)
+
+
+def test_quality_models_by_brute_force():
+    texts = ["one two three.", "two two", "bad!! one", "", "bad!! bad!! two"]
+    column, good = pa.array(texts), [0, 1]
+    row, bucket = quality.features(column)
+    raw = Counter(bucket.tolist())
+    target = Counter(bucket[np.isin(row, good)].tolist())
+    count = lambda c: np.array([c[i] for i in range(quality.BUCKETS)])
+    w = quality.weights(count(target), count(raw))
+    n, m = sum(raw.values()), sum(target.values())
+    for i in raw:
+        p, q = raw[i] / n, (target[i] + quality.PRIOR * raw[i] / n) / (m + quality.PRIOR)
+        assert abs(w[i] - math.log(q / p)) < 1e-9
+    assert (w[[i for i in range(quality.BUCKETS) if i not in raw]] == 0).all()
+    assert abs(sum(raw[i] / n * math.exp(w[i]) for i in raw) - 1) < 1e-9
 
 
 def test_crc_mod():

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -231,26 +232,44 @@ def test_quality(spark, docs, empty):
     for i in range(600):
         bad = i % 5 == 0
         text = [rng.choice(words) for _ in range(30)]
-        rows.append((i, " ".join(f"{w.upper()}!!" for w in text) if bad else " ".join(text)))
+        rows.append((i, " ".join(f"{w.upper()}!!" for w in text) if bad else " ".join(text), "gumbel_key" if i else None))
         if i % 2:
             labels.append((i, 0 if bad else 1, 0))
-    rows += [(1000, None), (1001, ""), (None, "word1")]
-    texts = spark.createDataFrame(rows, "doc_id long, text string")
-    marks = spark.createDataFrame([*labels, (5000, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
-    scores = quality.add_scores(texts, quality.train(texts, marks)).cache()
-    bound = quality.resample(scores)
+    rows += [(1000, None, ""), (1001, "", ""), (None, "word1", ""), (7, rows[7][1], ""), (2000, "word2 " * 50_000, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, log_ratio string")
+    marks = spark.createDataFrame([*labels, (1, 0, 0), (5000, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    model = quality.train(texts, marks)
+    assert model.share == 241 / 301  # id 7 has two rows
+    scores = quality.add_scores(texts, model).cache()
+    bound = quality.resample(scores, model.share)
     kept = {r.doc_id for r in scores.where(F.col("gumbel_key") >= bound).collect()}
-    assert {i for i in range(600) if i % 5} <= kept and not kept & set(range(0, 600, 5))
-    assert all(r.log_ratio == 0 for r in scores.where("doc_id >= 1000").collect())
+    assert {i for i in range(600) if i % 5} <= kept and len(kept & set(range(0, 600, 5))) <= 3
+    assert all(r.log_ratio == 0 for r in scores.where("doc_id in (1000, 1001)").collect()) and scores.count() == len(rows)
+    whole, again = (quality.features(pa.array([t]))[1] for t in (rows[3][1], rows[5][1]))
+    for i, bucket in ((3, whole), (5, again)):
+        assert abs(scores.where(F.col("doc_id") == i).first().log_ratio - model.weight[bucket].sum()) < 1e-9
     keys = sorted((r.gumbel_key for r in scores.collect()), reverse=True)
     for k in (1, 10, 300, len(keys)):
         assert quality.threshold(scores, "gumbel_key", k) == keys[k - 1]
     assert quality.threshold(scores, "gumbel_key", len(keys) + 1) is None and quality.threshold(scores, "gumbel_key", 0) is None
-    none = quality.add_scores(texts, quality.train(texts, marks.limit(0)))
-    assert none.where("log_ratio <> 0").count() == 0
+    none = quality.train(texts, marks.limit(0))
+    assert none.share == 1 and quality.add_scores(texts, none).where("log_ratio <> 0").count() == 0
     assert quality.add_scores(empty, quality.train(empty, marks)).count() == 0
 
 
+def test_quality_samples_by_weight(spark):
+    """Of texts of two kinds, how many of each are drawn follows their weights' ratio; without noise one kind would be taken whole."""
+    weight = np.zeros(quality.BUCKETS)
+    weight[quality.features(pa.array(["b"]))[1][0]] = math.log(3)
+    rows = [(i, "b" if i % 2 else "a") for i in range(20_000)]
+    scores = quality.add_scores(spark.createDataFrame(rows, "doc_id long, text string"), quality.Model(weight, 1.0, 17)).cache()
+    bound = quality.resample(scores, 0.05)
+    drawn = Counter(r.text for r in scores.where(F.col("gumbel_key") >= bound).collect())
+    assert sum(drawn.values()) == 1000 and abs(drawn["b"] / 1000 - 0.75) < 0.05
+    other = quality.add_scores(scores.select("doc_id", "text"), quality.Model(weight, 1.0, 18))
+    assert scores.join(other, "doc_id").where(scores.gumbel_key == other.gumbel_key).count() == 0
+
+
 @pytest.mark.parametrize("block, listed", [(1500, 2000), (7, 10)])
 def test_vectors(monkeypatch, spark, block, listed):
     monkeypatch.setattr(vectors, "BLOCK", block)
