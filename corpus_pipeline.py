@@ -27,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Rejects the documents that importance resampling leaves out."""
     small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keys, _ = write_table(quality.add_scores(docs.select("doc_id", "text"), model).drop("text"), "quality")
-    return quality.add_scores(docs, model, names=("__ratio", "__key")).where(F.col("__key") >= quality.resample(keys)).select(docs.columns)
+    scored, _ = write_table(quality.add_scores(docs, model, names=("__ratio", "__key")), "quality")
+    return scored.where(F.col("__key") >= quality.resample(scored, model.share, "__key")).select(docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
