@@ -24,7 +24,7 @@ MOST_DOCS = 1 << 15
 LEAST_BITS = 8
 BUCKET_KEYS = 1 << 22
 BATCH = "batch long, n_docs long, n_words long, payload binary"
-SENT = "kind int, bucket int, batch long, sent binary, times binary"
+SENT = "kind int, bucket int, batch long, sent binary"
 ANSWER = "kind int, bucket int, batch long, totals binary, distinct long"
 
 
@@ -102,16 +102,20 @@ class Kind(NamedTuple):
     width: int
 
 
-def _pack(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
-    """Rows of ``width`` bytes: the hash without its bucket, most significant first."""
-    shifted = keys << np.uint64(bits)
-    return shifted.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
+def _pack(keys: np.ndarray, times: np.ndarray, bits: int, width: int) -> bytes:
+    """Sorted hashes of one bucket and their times, compressed: differences and times, byte place by byte place."""
+    short = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * width)
+    apart = np.diff(short, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    planes = np.concatenate([apart, times.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unpack(raw: bytes, width: int) -> np.ndarray:
-    wide = np.zeros((len(raw) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return wide.view(">u8").reshape(-1).astype(np.uint64)
+def _unpack(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes without their bucket's bits, and their times."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(width + 4, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :width] = planes[:width].T
+    return np.cumsum(wide.view("<u8").reshape(-1), dtype=np.uint64), np.ascontiguousarray(planes[width:].T).view("<u4").reshape(-1)
 
 
 def answers(found: DataFrame, kinds: list[Kind], bits: int, name: str) -> DataFrame:
@@ -128,20 +132,16 @@ def answers(found: DataFrame, kinds: list[Kind], bits: int, name: str) -> DataFr
                 for number, kind in enumerate(kinds):
                     keys, times = kind.keys(batch_rows)
                     cut = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
-                    packed, times = _pack(keys, bits, kind.width), times.astype("<u4")
                     some = [b for b in range(1 << bits) if cut[b + 1] > cut[b]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64())]
-                        + [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for x in (packed, times)],
-                        ["kind", "bucket", "batch", "sent", "times"],
-                    )
+                    sent = [_pack(keys[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]], bits, kind.width) for b in some]
+                    columns = [pa.array([number] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array(sent, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "batch", "sent"])
 
     def answer(group: pa.Table) -> pa.Table:
         kind = group.column("kind")[0].as_py()
-        keys = [_unpack(x.as_py(), widths[kind]) for x in group.column("sent")]
-        times = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group.column("times")])
+        keys, times = zip(*(_unpack(x.as_py(), widths[kind]) for x in group.column("sent")))
         known, back = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(back, times, len(known)).astype("<u8")
+        totals = np.bincount(back, np.concatenate(times), len(known)).astype("<u8")
         parts = np.split(totals[back], np.cumsum([len(k) for k in keys])[:-1])
         press = zstandard.ZstdCompressor(level=1)
         distinct = [0] * len(keys)

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from predial.llm import bpe, decontamination, hashing, jaccard, language, licenses, packing, quality, token_files
+from predial.llm import bpe, decontamination, exchange, hashing, jaccard, language, language_model, licenses, packing, quality, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a", "a b", "  The the  THE\n x", "é ü", "abc" * 200, "\t\n"]
@@ -173,6 +173,43 @@ def test_quality_models_by_brute_force():
     assert abs(sum(raw[i] / n * math.exp(w[i]) for i in raw) - 1) < 1e-9
 
 
+def test_exchange_packing():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) >> np.uint64(7))
+    times = rng.integers(0, 1 << 31, 1000)
+    for width in (4, 5, 7):
+        found, n = exchange._unpack(exchange._pack(keys, times, 8, width), width)
+        assert (n == times).all() and (found == ((keys << np.uint64(8)) >> np.uint64(64 - 8 * width))).all()
+
+
+def test_automaton_states():
+    """Arcs where training has seen the run of words, failure arcs elsewhere; the weights of every state sum to one."""
+    words = ["a", "b", "c", "new"]
+    h = {w: np.uint64(i * 1_000_003 + 5) for i, w in enumerate(words)}
+    texts = ["a b c", "a b a b c", "new a"]
+    flat = [w for t in texts for w in t.split()]
+    vocabulary, index = np.unique([h[w] for w in flat], return_inverse=True)
+    rows = np.cumsum([0, *(len(t.split()) for t in texts)])
+    batch = exchange.Batch([1, 2, 3], rows, vocabulary, index)
+    own = language_model.grams(batch)
+    learn = own.doc < 2
+    totals = [np.bincount(at[(at >= 0) & learn], minlength=len(k)) for at, k in zip(own.at, own.hashes)]
+    n, v = int(learn.sum()), int((totals[0] > 0).sum())
+    a = language_model.build(own, totals, n, v)
+    place = {w: int(np.searchsorted(own.hashes[0], h[w])) for w in words}
+    assert a.root_next[place["new"]] == 0 and a.root_next[place["a"]] == 1 + place["a"]
+    p = lambda s, w: 10 ** a.arc_weight[np.flatnonzero(a.arc_key == s * a.n_words + w)[0]] if (a.arc_key == s * a.n_words + w).any() else 10 ** a.root_weight[w] if s == 0 else 10 ** a.fail_weight[s] * p(int(a.fail_next[s]), w)
+    unseen = 0.1 / (n + 0.1 * (v + 1))
+    for s in range(len(a.fail_next)):
+        rest, at = 1.0, s
+        while at:
+            rest, at = rest * 10 ** a.fail_weight[at], int(a.fail_next[at])
+        known = [w for w in range(a.n_words) if w != place["new"]]
+        if s == 0 or (s <= a.n_words and totals[0][s - 1]) or (s > a.n_words and totals[1][s - 1 - a.n_words] and int(own.hashes[0][own.at[0][own.first[1][s - 1 - a.n_words]]]) != int(language_model.END)):
+            if s != 1 + int(np.searchsorted(own.hashes[0], language_model.END)):
+                assert abs(sum(p(s, w) for w in known) + rest * unseen - 1) < 1e-9
+
+
 def test_crc_mod():
     assert hashing.crc_mod(pa.array([5, None]), 3).tolist() == [zlib.crc32(b"5") % 3, -1]
 

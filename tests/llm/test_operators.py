@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from predial.llm import components, decontamination, jaccard, language, language_model, licenses, packing, quality, token_files, vectors
+from predial.llm import components, decontamination, hashing, jaccard, language, language_model, licenses, packing, quality, token_files, vectors
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, batch long, token int, score double, start string"
@@ -162,6 +162,38 @@ def test_jaccard(monkeypatch, docs, empty, hot, block, part):
     assert jaccard.components(empty).count() == 0
 
 
+def test_jaccard_candidates_share_what_is_asked(spark):
+    """Common stock passages make short prefixes dear: longer ones ask for more shared shingles, and lose no similar pair."""
+    rng = random.Random(4)
+    stock = [[f"s{k}x{i}" for i in range(30)] for k in range(6)]
+    texts = []
+    for i in range(150):
+        own = [f"d{i // 2}w{j}" for j in range(rng.choice([20, 60, 200]) if i % 2 == 0 else len(texts[-1][1]) - 60)] if i % 2 == 0 else list(texts[-1][0])
+        if i % 2:
+            own[rng.randrange(len(own))] = "changed"
+        parts = rng.sample(stock, 2) if i % 2 == 0 else texts[-1][2]
+        texts.append((own, [*parts[0], *own, *parts[1]], parts))
+    rows = [(i, " ".join(w)) for i, (_, w, _) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.exchange.batches(docs, hashing.SPACE, "doc_id", "text")
+    members = jaccard._members(jaccard._measure(found, 4))
+    classes = jaccard._candidates(found, members, 4, 85)
+    live = jaccard._postings(classes).withColumn("component", F.col("ref")).cache()
+    pairs = jaccard.candidate_pairs(live, 85).collect()
+    name = {r.ref: r.doc_id for r in members.collect()}
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for _, w, _ in texts]
+    similar = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    met = {tuple(sorted((name[r.a], name[r.b]))) for r in pairs}
+    assert similar and similar <= met and all(r.shared >= r.asked for r in pairs)
+    by_m = Counter(r.asked for r in pairs)
+    assert len(by_m) > 1 and max(by_m) > 1, by_m
+    right = live.select("token", F.col("ref").alias("other"))
+    once = live.join(right, "token").where("ref < other").select("ref", "other").distinct().count()
+    assert len(met) <= once
+    expected = Counter((i, len(sets[i]), min([i, *(a for a, b in similar if b == i)])) for i in range(150))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs).collect()) == expected
+
+
 def test_connected(spark):
     rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
@@ -180,21 +212,34 @@ def test_connected(spark):
     assert found == {x: root(x) for x in parent}
 
 
-def test_lm_scoring(docs, empty):
-    rows = corpus()
+def lm_by_recursion(rows):
+    """(id, held out, tokens, known, N, base, score) by the definition of the backed-off probability, text by text."""
     split = [re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower()) + [None] for r in rows]
-    learn = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 != 0 for r in rows]
-    one, two = Counter(), Counter()
-    for w, good in zip(split, learn):
-        if good:
-            one.update(w)
-            two.update(zip(w, w[1:]))
-    n, v, k = sum(one.values()), len(one), language_model.PRIOR
-    expected = []
-    for r, w in zip(rows, split):
-        p = [(one[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
-        score = math.log10(p[0]) + sum(math.log10((two[a, b] + k * q) / (one[a] + k)) for a, b, q in zip(w, w[1:], p[1:]))
-        expected.append((r[0], r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 == 0, len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, p)), score))
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
+    seen = Counter()
+    for r, w, out in zip(rows, split, held):
+        if r[0] is not None and not out:
+            for n in (1, 2, 3):
+                seen.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    one = {g: c for g, c in seen.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+
+    def p(word, context):
+        if not context:
+            return (seen[(word,)] + 0.1) / (n + 0.1 * (v + 1))
+        if not seen[context]:
+            return p(word, context[1:])
+        k = language_model.PRIORS[len(context)]
+        return (seen[(*context, word)] + k * p(word, context[1:])) / (seen[context] + k)
+
+    logs = [([math.log10(p(x, ())) for x in w], [math.log10(p(x, tuple(w[max(0, i - 2) : i]))) for i, x in enumerate(w)]) for w in split]
+    return [(r[0], out, len(w), sum(seen[(x,)] > 0 for x in w), n, sum(base), sum(full)) for r, w, out, (base, full) in zip(rows, split, held, logs)]
+
+
+@pytest.mark.parametrize("lane", [256, 4])
+def test_lm_scoring(monkeypatch, docs, empty, lane):
+    monkeypatch.setattr(language_model, "LANE", lane)
+    expected = lm_by_recursion(corpus())
     found = language_model.score_documents(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
     order = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
     for a, b in zip(sorted(map(tuple, found), key=order), sorted(expected, key=order), strict=True):
@@ -202,6 +247,14 @@ def test_lm_scoring(docs, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_lm_learns_nothing(spark):
+    """Every id is held out (crc32 mod 10 is 0) or null."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    rows = [(i, "a b a", None) for i in ids] + [(None, "a b", None), (None, None, None)]
+    found = language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string, score string")).collect()
+    assert all((r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0) for r in found) and len(found) == len(rows)
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(7)
     item = [f"w{rng.randrange(1000)}" for _ in range(40)]
