@@ -7,12 +7,15 @@ the verifications they may lead to), and a pair is verified where it shares the
 document can't match, so a class with too few others has no partner and drops out before any posting is made, and
 what is left of a set bounds the sizes of its partners.
 
-First each posting list's classes are matched to the list's most central class, which joins most groups of near
-copies in as many steps as they have members. What is then left to compare lies between components: lists of up to
-HOT classes are joined, and the classes of longer lists are compared in blocks under the list's centre, by a product of
-incidence matrices, so that the pairs of a large group never become rows.
+Pairs become candidates by that rule alone, in three places. First each class meets the most central class of the
+lists it is in, which joins most groups of near copies in as many steps as they have members. What is then left to
+compare lies between components: lists of up to HOT classes are joined, and the classes of longer lists are met in blocks
+under the list's centre, where a product of incidence matrices counts the shared prefix shingles, so that the pairs of a
+large group never become rows.
 """
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -147,53 +150,73 @@ def _fits(percent: int):
 
 def _central(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links of classes with the most central class (the fewest unshared shingles) of a list, that of most shared lists."""
-    centre = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("apart"), F.xxhash64("ref").alias("rank"), "ref", "n", "s")).alias("c")
+    centre = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("apart"), F.xxhash64("ref").alias("rank"), "ref", "n", "s", "m")).alias("c")
     lists = postings.groupBy("token").agg(F.count("*").alias("size"), centre).where("size > 1")
-    lists, _ = write_table(lists.select("token", F.col("c.ref").alias("other"), F.col("c.n").alias("other_n"), F.col("c.s").alias("other_s")), "centres")
+    lists, _ = write_table(lists.select("token", F.col("c.ref").alias("other"), F.col("c.n").alias("other_n"), F.col("c.s").alias("other_s"), F.col("c.m").alias("other_m")), "centres")
     met = postings.join(lists, "token").where("ref <> other").where(_fits(percent))
-    best = met.groupBy("ref", "other").agg(F.count("*").alias("shared")).groupBy("ref").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+    # The lists that have this centre are some of those that the two share, so no pair is taken for one that shares enough.
+    enough = met.groupBy("ref", "other").agg(F.count("*").alias("shared"), F.min(F.least("m", "other_m")).alias("asked")).where("shared >= asked")
+    best = enough.groupBy("ref").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
     pairs, _ = write_table(best.select(F.col("ref").alias("a"), F.col("other").alias("b")), "pairs")
     return write_table(_verified(pairs, classes, percent), "similar")[0]
 
 
-def _short_lists(live: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links across components within lists of up to HOT classes: pairs that share enough of their prefixes, verified.
+def candidate_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared, asked): pairs across components that share as many prefix shingles as the smaller m of the two asks.
 
-    A pair that meets in a long list too is compared there, whatever it shares here.
+    live: (token, ref, n, s, m, component). A pair that meets in a long list too is met there, whatever it shares here.
     """
     right = live.select("token", F.col("ref").alias("other"), F.col("n").alias("other_n"), F.col("s").alias("other_s"), F.col("m").alias("other_m"), F.col("component").alias("other_component"))
     met = live.join(right, "token").where((F.col("ref") < F.col("other")) & (F.col("component") != F.col("other_component"))).where(_fits(percent))
-    counted = met.groupBy("ref", "other").agg(F.count("*").alias("shared"), F.min(F.least("m", "other_m")).alias("asked"))
-    pairs, _ = write_table(counted.where("shared >= asked").select(F.col("ref").alias("a"), F.col("other").alias("b")), "pairs")
-    return _verified(pairs, classes, percent)
+    counted = met.groupBy(F.col("ref").alias("a"), F.col("other").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("m", "other_m")).alias("asked"))
+    return counted.where("shared >= asked")
 
 
 def _long_lists(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Spanning links across components of the classes that meet in a long list; members: (centre, ref, component)."""
     counts, _ = write_table(members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     placed = members.join(counts, "centre").withColumn("at", F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int"))
-    sets = classes.select("ref", "shingles")
-    full, _ = write_table(placed.join(sets, "ref").select("centre", "blocks", "at", "ref", "component", "shingles"), "members", "uncompressed")
-    left = full.select("centre", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("j"), "ref", "component", "shingles")
-    right = full.select("centre", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), "ref", "component", "shingles")
+    own = ["component", "m", "prefix", "shingles"]
+    full, _ = write_table(placed.join(classes.select("ref", "m", "prefix", "shingles"), "ref").select("centre", "blocks", "at", "ref", *own), "members", "uncompressed")
+    left = full.select("centre", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)).alias("j"), "ref", *own)
+    right = full.select("centre", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), "ref", *own)
 
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
-        a, b = one.column("ref").to_numpy(), two.column("ref").to_numpy()
-        x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in t.column("shingles")] for t in (one, two))
-        links: list[tuple[int, int]] = []
-        parts = {*one.column("component").to_pylist(), *two.column("component").to_pylist()}
-        if len(a) and len(b) and len(parts) > 1:
-            both = overlaps(x, y)
-            union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y]) - both
-            apart = one.column("component").to_numpy()[:, None] != two.column("component").to_numpy()
-            i, j = np.nonzero((100 * both >= percent * union) & apart)
-            links = spanning(a, b, i, j)
+        links = linked_in_block(_block(one), _block(two), percent)
         return pa.table([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["a", "b"])
 
     key = ["centre", "i", "j"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "a long, b long")
 
 
+class Block(NamedTuple):
+    ref: np.ndarray
+    component: np.ndarray
+    m: np.ndarray
+    prefix: list[np.ndarray]
+    shingles: list[np.ndarray]
+
+
+def _block(table: pa.Table) -> Block:
+    lists = ([np.frombuffer(v.as_py(), np.uint64) for v in table.column(c)] for c in ("prefix", "shingles"))
+    return Block(*(table.column(c).to_numpy() for c in ("ref", "component", "m")), *lists)
+
+
+def linked_in_block(one: Block, two: Block, percent: int) -> list[tuple[int, int]]:
+    """Spanning links of the pairs across components that share enough prefix shingles and are then similar enough."""
+    if not len(one.ref) or not len(two.ref) or len(np.union1d(one.component, two.component)) < 2:
+        return []
+    apart = one.component[:, None] != two.component
+    i, j = np.nonzero(apart & (overlaps(one.prefix, two.prefix) >= np.minimum(one.m[:, None], two.m)))
+    if not len(i):
+        return []
+    rows, columns = np.unique(i), np.unique(j)
+    both = overlaps([one.shingles[k] for k in rows], [two.shingles[k] for k in columns])[np.searchsorted(rows, i), np.searchsorted(columns, j)]
+    size = lambda sets, at: np.array([len(v) for v in sets])[at]
+    similar = 100 * both >= percent * (size(one.shingles, i) + size(two.shingles, j) - both)
+    return spanning(one.ref, two.ref, i[similar], j[similar])
+
+
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of x with all sets of y."""
     tokens, back = np.unique(np.concatenate([*x, *y]), return_inverse=True)
@@ -223,7 +246,8 @@ def similar_classes(classes: DataFrame, percent: int) -> DataFrame:
     live, _ = write_table(live.join(lists, "token"), "live")
     members, _ = write_table(live.where(F.col("size") > HOT).select("centre", "ref", "component").distinct(), "long")
     short = live.where(F.col("size") <= HOT).drop("size", "centre")
-    found = links.unionAll(_short_lists(short, classes, percent))
+    pairs, _ = write_table(candidate_pairs(short, percent).select("a", "b"), "pairs")
+    found = links.unionAll(_verified(pairs, classes, percent))
     if not members.isEmpty():
         found = found.unionAll(_long_lists(members, classes, percent))
     found, _ = write_table(found, "links")
