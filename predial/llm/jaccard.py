@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from .components import connected, spanning
 from .hashing import SPACE, mix, shingles
-from .shared import write_table
+from .shared import release, write_table
 
 SIZES = "ref long, batch long, place int, doc_id long, n_shingles long, set_a long, set_b long"
 CLASSES = "ref long, n int, s int, m int, prefix binary, shingles binary"
@@ -107,7 +107,9 @@ def _candidates(found: DataFrame, members: DataFrame, k: int, percent: int) -> D
             out.append(((number << SLOT) + i, int(n[i]), int((often > 1).sum()), m, own[prefix[often[prefix] > 1]].tobytes(), own.tobytes()))
         return out
 
-    return write_table(exchange.with_rows(found, replies.select("batch", "kind", "bucket", "totals").unionAll(copies), use, CLASSES), "classes", "uncompressed")[0]
+    classes, _ = write_table(exchange.with_rows(found, replies.select("batch", "kind", "bucket", "totals").unionAll(copies), use, CLASSES), "classes", "uncompressed")
+    release(replies)
+    return classes
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -158,7 +160,9 @@ def _central(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     enough = met.groupBy("ref", "other").agg(F.count("*").alias("shared"), F.min(F.least("m", "other_m")).alias("asked")).where("shared >= asked")
     best = enough.groupBy("ref").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
     pairs, _ = write_table(best.select(F.col("ref").alias("a"), F.col("other").alias("b")), "pairs")
-    return write_table(_verified(pairs, classes, percent), "similar")[0]
+    similar, _ = write_table(_verified(pairs, classes, percent), "similar")
+    release(lists, pairs)
+    return similar
 
 
 def candidate_pairs(live: DataFrame, percent: int) -> DataFrame:
@@ -251,6 +255,7 @@ def similar_classes(classes: DataFrame, percent: int) -> DataFrame:
     if not members.isEmpty():
         found = found.unionAll(_long_lists(members, classes, percent))
     found, _ = write_table(found, "links")
+    release(postings, links, component, lists, live, members, pairs)
     return connected(found, "a", "b")
 
 
@@ -261,7 +266,9 @@ def _members(sizes: DataFrame) -> DataFrame:
     first, _ = write_table(filled.groupBy(*key).agg(F.min("ref").alias("class"), F.min("doc_id").alias("least_id")), "sets")
     joined = filled.join(first, key).select("ref", "batch", "place", "doc_id", "n_shingles", "class", "least_id")
     empty = sizes.where("n_shingles = 0").select("ref", "batch", "place", "doc_id", "n_shingles", F.col("ref").alias("class"), F.col("doc_id").alias("least_id"))
-    return write_table(joined.unionAll(empty), "members")[0]
+    members, _ = write_table(joined.unionAll(empty), "members")
+    release(first, sizes)
+    return members
 
 
 def components(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +281,10 @@ def components(docs: DataFrame, percent: int = 85, k: int = 4, id_col: str = "do
     """
     found = exchange.batches(docs, SPACE, id_col, text_col)
     members = _members(_measure(found, k))
-    component = similar_classes(_candidates(found, members, k, percent), percent)
+    candidates = _candidates(found, members, k, percent)
+    release(found)
+    component = similar_classes(candidates, percent)
+    release(candidates)
     classes = members.where("ref = class").select("class", "least_id")
     named = classes.join(component, F.col("class") == F.col("node"), "left").select("class", "least_id", F.coalesce("component", "class").alias("component"))
     named, _ = write_table(named, "named")

@@ -2,16 +2,20 @@
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (local tests), a new folder that is then set."""
+    """The session's spark.checkpoint.dir; where a local session has none (tests), a new folder that is then set."""
     folder = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{KEY} must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(KEY, folder)
     return folder.rstrip("/")
@@ -35,7 +39,15 @@ def write_table(df: DataFrame, name: str, compression: str = "lz4") -> tuple[Dat
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table, path
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of write_table() that nothing reads any more."""
+    for table in tables:
+        drop_table(table.sparkSession, _PATHS.pop(table))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
