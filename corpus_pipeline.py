@@ -27,8 +27,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Rejects the documents that importance resampling leaves out."""
     small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored, _ = write_table(quality.add_scores(docs, model, names=("__ratio", "__key")), "quality")
-    return scored.where(F.col("__key") >= quality.resample(scored, model.share, "__key")).select(docs.columns)
+    scored = quality.add_scores(docs, model, names=("__ratio", "__key"))
+    # The keys alone are written for finding the bound; texts are scored anew rather than stored a second time.
+    keys, _ = write_table(scored.select("__key"), "quality")
+    return scored.where(F.col("__key") >= quality.resample(keys, model.share, "__key")).select(docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
