@@ -25,16 +25,24 @@ def quality_clp(cfg: Config = DEFAULT) -> Column:
     return F.coalesce(_positive(F.col("precio_clp")), _positive(F.col("precio_uf")) * F.lit(cfg.quality_uf_to_clp))
 
 
-def historical_clp(cfg: Config = DEFAULT) -> Column:
-    """The first positive of new CLP, CLP, new UF and UF of a price log's row."""
-    uf = lambda c: _positive(F.col(c)) * F.lit(cfg.uf_to_clp)
-    return F.coalesce(_positive(F.col("precio_clp_nuevo")), _positive(F.col("precio_clp")), uf("precio_uf_nuevo"), uf("precio_uf"))
+def historical_clp(columns: list[str], cfg: Config = DEFAULT) -> Column:
+    """The first positive of new CLP, CLP, new UF and UF of a price log's row, as far as it has these columns."""
+    rates = (("precio_clp_nuevo", 1.0), ("precio_clp", 1.0), ("precio_uf_nuevo", cfg.uf_to_clp), ("precio_uf", cfg.uf_to_clp))
+    return F.coalesce(*[_positive(F.col(c)) * F.lit(rate) for c, rate in rates if c in columns])
 
 
-def fill_currencies(cfg: Config = DEFAULT) -> dict[str, Column]:
-    """Each missing currency from the other one; CLP is cut to a whole number."""
-    clp, uf = F.col("precio_clp"), F.col("precio_uf")
-    return {"precio_clp": F.coalesce(clp, (uf * F.lit(cfg.uf_to_clp)).cast("bigint")), "precio_uf": F.coalesce(uf, clp / F.lit(cfg.uf_to_clp))}
+def uf_rate(live: Column, cached: Column, cfg: Config = DEFAULT) -> Column:
+    """The live rate if it is positive, else the cached one, else the fixed one."""
+    return F.coalesce(_positive(live), _positive(cached), F.lit(cfg.uf_to_clp))
+
+
+def fill_currencies(cfg: Config = DEFAULT, text: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Each missing currency from the other one, both from (CLP, UF) of a text where neither is known; CLP is cut to a whole number."""
+    clp, uf = _positive(F.col("precio_clp")), _positive(F.col("precio_uf"))
+    if text is not None:
+        none = clp.isNull() & uf.isNull()
+        clp, uf = F.when(none, text[0]).otherwise(clp), F.when(none, text[1]).otherwise(uf)
+    return {"precio_clp": F.coalesce(clp, uf * F.lit(cfg.uf_to_clp)).cast("bigint"), "precio_uf": F.coalesce(uf, clp / F.lit(cfg.uf_to_clp))}
 
 
 def segment(m2: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import comuna_key, fingerprint
+from ..functions.text import comuna_key, fingerprint, match_key
 from .components import smallest_linked
 from .valuation import area_bucket, area_buckets
 
@@ -27,7 +27,11 @@ def same_property(cfg: Config = DEFAULT) -> Column:
 
 def duplicate_pairs(listings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(a, b) with a < b of listings that look like one property; price plays no part."""
-    base, width = eligible(listings), cfg.duplicate_m2
+    return _pairs(eligible(listings), cfg)
+
+
+def _pairs(base: DataFrame, cfg: Config) -> DataFrame:
+    width = cfg.duplicate_m2
     side = lambda p, bucket: base.select("comuna_key", F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in FIELDS], bucket.alias("bucket"))
     m2 = F.col("m2_construidos")
     a = side("a", F.explode(area_buckets(m2, 1 - width, 1 / (1 - width), width)))
@@ -35,42 +39,61 @@ def duplicate_pairs(listings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return a.join(b, ["comuna_key", "bucket"]).where(F.col("a") < F.col("b")).where(same_property(cfg)).select("a", "b")
 
 
+def shapes(listings: DataFrame) -> DataFrame:
+    """Commune, area and rooms of the eligible rows, each once, with the smallest id; the matching looks at nothing else."""
+    return eligible(listings).groupBy("comuna_key", *FIELDS).agg(F.min("id").alias("id"))
+
+
+def _with_component(base: DataFrame, cfg: Config) -> DataFrame:
+    """Eligible rows with component, the smallest id of the rows that matches connect; found on the shapes."""
+    shape = shapes(base)
+    found = smallest_linked(_pairs(shape, cfg), "a", "b")
+    placed = shape.join(found, "id", "left").select(*[F.col(c).alias(f"s_{c}") for c in ("comuna_key", *FIELDS)], F.coalesce("component", "id").alias("component"))
+    same = F.lit(True)
+    for c in ("comuna_key", *FIELDS):
+        same &= F.col(c).eqNullSafe(F.col(f"s_{c}"))
+    return eligible(base).join(placed, same).drop(*[f"s_{c}" for c in ("comuna_key", *FIELDS)])
+
+
 def groups_by_components(listings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(id, group) with the smallest id of the linked rows as group; may join what greedy grouping leaves apart."""
-    found = smallest_linked(duplicate_pairs(listings, cfg), "a", "b")
-    return eligible(listings).select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+    return _with_component(listings, cfg).select("id", F.col("component").alias("group"))
 
 
 def groups_greedy(listings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(id, group): in order of area and id, a row joins the first group of its commune with a member that matches.
 
-    Order decides, so a commune's areas are cut where a gap wider than the tolerance parts them, and each stretch is
-    one task's; group is the id of its first row.
+    A group lies within one component, and order decides inside it, so a component's rows (id, area and rooms alone)
+    are one task's; there a group is kept as its distinct shapes, and a shape is looked up anew only after some group has
+    changed. Where a component outgrows a task, groups_by_components() is the way. group is the id of the first row.
     """
-    base = eligible(listings).select("id", "comuna_key", *FIELDS)
-    order = Window.partitionBy("comuna_key").orderBy("m2_construidos", "id")
-    gap = F.col("m2_construidos") * (1 - cfg.duplicate_m2) > F.lag("m2_construidos").over(order)
-    cut = base.withColumn("stretch", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order))
     tolerance = cfg.duplicate_m2
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[tuple[int, list[tuple]]] = []
+        rows = pdf.sort_values(["m2_construidos", "id"])
+        names, turn = rows["id"].tolist(), 0
+        groups: list[tuple[int, set]] = []
+        known: dict[tuple, tuple[int, int]] = {}
         out = []
-        for row in pdf.sort_values(["m2_construidos", "id"]).itertuples(index=False):
-            home = next((g for g in groups if any(_alike(row, other, tolerance) for other in reversed(g[1]))), None)
-            if home is None:
-                home = (row.id, [])
-                groups.append(home)
-            home[1].append(row)
-            out.append((row.id, home[0]))
-        return pd.DataFrame(out, columns=["id", "group"])
+        for name, shape in zip(names, zip(*(rows[c].astype(float).where(rows[c].notna(), -9.0).tolist() for c in FIELDS))):
+            if known.get(shape, (-1, 0))[0] != turn:
+                home = next((i for i, (_, members) in enumerate(groups) if any(_alike(shape, m, tolerance) for m in members)), len(groups))
+                if home == len(groups):
+                    groups.append((name, set()))
+                if shape not in groups[home][1]:
+                    groups[home][1].add(shape)
+                    turn += 1
+                known[shape] = turn, home
+            out.append(groups[known[shape][1]][0])
+        return pd.DataFrame({"id": names, "group": out})
 
-    return cut.groupBy("comuna_key", "stretch").applyInPandas(assign, "id long, group long")
+    return _with_component(listings, cfg).select("id", "component", *FIELDS).groupBy("component").applyInPandas(assign, "id long, group long")
 
 
-def _alike(a, b, tolerance: float) -> bool:
-    parking = pd.isna(a.estacionamientos) or pd.isna(b.estacionamientos) or abs(a.estacionamientos - b.estacionamientos) <= 1
-    return parking and abs(a.m2_construidos - b.m2_construidos) <= max(a.m2_construidos, b.m2_construidos) * tolerance and abs(a.dormitorios - b.dormitorios) <= 1 and abs(a.banos - b.banos) <= 1
+def _alike(a: tuple, b: tuple, tolerance: float) -> bool:
+    """same_property() of two shapes in the order of FIELDS; unknown parking is negative."""
+    parking = a[3] < 0 or b[3] < 0 or abs(a[3] - b[3]) <= 1
+    return parking and abs(a[0] - b[0]) <= max(a[0], b[0]) * tolerance and abs(a[1] - b[1]) <= 1 and abs(a[2] - b[2]) <= 1
 
 
 def representative_rank(df: DataFrame) -> list[Column]:
@@ -80,14 +103,28 @@ def representative_rank(df: DataFrame) -> list[Column]:
     return [F.desc(points), F.desc(F.col("source_listing_id").isNotNull()), F.desc(link.isNotNull()), F.col("last_seen").desc_nulls_last(), F.asc("id")]
 
 
-def mark_duplicates(listings: DataFrame, method: str = "components", cfg: Config = DEFAULT) -> DataFrame:
-    """The listings with property_fingerprint, is_duplicate and duplicate_group_id ('property-' and the kept id)."""
+def mark_duplicates(listings: DataFrame, method: str = "greedy", cfg: Config = DEFAULT) -> DataFrame:
+    """The listings with property_fingerprint, is_duplicate and duplicate_group_id ('property-' and the kept id).
+
+    Flags of active rows are set anew; those of other rows stay as they are.
+    """
     groups = groups_by_components(listings, cfg) if method == "components" else groups_greedy(listings, cfg)
+    old = [F.col(c) if c in listings.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("is_duplicate", "boolean"), ("duplicate_group_id", "string"))]
+    before = listings.select("id", *[c.alias(f"__old{i}") for i, c in enumerate(old)])
     base = listings.drop("property_fingerprint", "is_duplicate", "duplicate_group_id")
     member = base.join(groups, "id").withColumn("__rank", F.row_number().over(Window.partitionBy("group").orderBy(*representative_rank(base))))
     sizes = member.groupBy("group").agg(F.min(F.when(F.col("__rank") == 1, F.col("id"))).alias("keep"), F.count("*").alias("size")).where("size > 1")
     flags = member.join(sizes, "group").select("id", (F.col("__rank") > 1).alias("is_duplicate"), F.concat(F.lit("property-"), F.col("keep").cast("string")).alias("duplicate_group_id"))
-    return base.join(flags, "id", "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False))).withColumn("property_fingerprint", fingerprint())
+    done = base.join(flags, "id", "left").join(before, "id")
+    keep = F.col("status") != "active"
+    flag, group = F.when(keep, F.col("__old0")).otherwise(F.col("is_duplicate")), F.when(keep, F.col("__old1")).otherwise(F.col("duplicate_group_id"))
+    return done.withColumns({"is_duplicate": F.coalesce(flag, F.lit(False)), "duplicate_group_id": group, "property_fingerprint": fingerprint()}).drop("__old0", "__old1")
+
+
+def duplicate_totals(marked: DataFrame, before: DataFrame) -> DataFrame:
+    """One row: groups, duplicates, eligible and all rows of mark_duplicates(before)."""
+    found = marked.where("status = 'active'").agg(F.count_distinct("duplicate_group_id").alias("groups"), F.count_if("is_duplicate").alias("duplicates"))
+    return found.crossJoin(before.agg(F.count("*").alias("total"))).crossJoin(eligible(before).agg(F.count("*").alias("eligible")))
 
 
 def duplicate_counts(df: DataFrame, keys: list[str], least: int = 2, top: int = 20) -> DataFrame:
@@ -105,33 +142,41 @@ def exact_links(listings: DataFrame, history: DataFrame, link: str = "link") ->
     return pointed.where("id = keep").select(listings.columns), log
 
 
-def batch_dedup(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """One row per property of a batch: the first, its nulls filled from the ones it stands for (opt-in).
+#: The fields that a row of a batch is complete in.
+COMPLETE = ("url", "link", "titulo", "comuna", "precio_uf", "precio_clp", "m2_construidos", "dormitorios", "banos", "estacionamientos", "lat", "lon")
+
+
+def batch_dedup(rows: DataFrame, cfg: Config = DEFAULT, arrival: str = "arrival") -> DataFrame:
+    """One row per property of a scraped batch (opt-in): each row goes to the first kept one that it matches.
 
-    Rows go by source id, url and completeness; a null commune equals a null commune; parking plays no part. Order
-    decides, so each commune's stretch of areas is one task's, as in groups_greedy().
+    Rows with a source id come first, then rows with a url or link, then the more complete, then the first to arrive. A
+    row that is more complete than the kept one fills its nulls; any other is dropped. Unknown communes equal each
+    other, unknown areas and rooms match nothing; parking and price play no part. A commune of one batch is one task's.
     """
     columns = rows.columns
-    order = Window.partitionBy(F.coalesce("comuna", F.lit("\0"))).orderBy(F.col("m2_construidos").asc_nulls_first(), "id")
-    gap = F.col("m2_construidos") * (1 - cfg.duplicate_m2) > F.lag("m2_construidos").over(order)
-    cut = rows.withColumn("__key", F.coalesce("comuna", F.lit("\0"))).withColumn("__cut", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order))
-    filled = sum([F.col(c).isNotNull().cast("int") for c in columns], F.lit(0))
-    cut = cut.withColumn("__filled", filled)
+    full = sum([F.col(c).isNotNull().cast("int") for c in COMPLETE if c in columns], F.lit(0))
+    some = lambda *names: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names if c in columns]).isNotNull()
+    keyed = rows.withColumns({"__key": F.coalesce(match_key(F.col("comuna")), F.lit("")), "__rank": F.struct(~some("source_listing_id"), ~some("url", "link"), -full, F.col(arrival)), "__place": F.lit(0)})
+    keyed = keyed.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("__rank"))).drop("__rank")
     tolerance = cfg.duplicate_m2
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
-        for row in pdf.sort_values(["source_listing_id", "url", "__filled"], ascending=[True, True, False], na_position="last").to_dict("records"):
+        rest: list[dict] = []
+        for row in pdf.sort_values("__place")[columns].astype(object).to_dict("records"):
+            row = {c: None if pd.isna(v) else v for c, v in row.items()}
+            if any(row[c] is None for c in ("m2_construidos", "dormitorios", "banos")) or row["m2_construidos"] <= 0:
+                rest.append(row)
+                continue
             home = next((k for k in kept if _near(k, row, tolerance)), None)
             if home is None:
                 kept.append(row)
-            else:
-                home.update({c: row[c] for c in columns if pd.isna(home[c]) and not pd.isna(row[c])})
-        return pd.DataFrame(kept)[columns]
+            elif sum(row[c] is not None for c in COMPLETE if c in row) > sum(home[c] is not None for c in COMPLETE if c in home):
+                home.update({c: row[c] for c in columns if home[c] is None})
+        return pd.DataFrame(kept + rest, columns=columns)
 
-    return cut.groupBy("__key", "__cut").applyInPandas(merge, rows.schema)
+    return keyed.groupBy("__key").applyInPandas(merge, rows.schema)
 
 
 def _near(a: dict, b: dict, tolerance: float) -> bool:
-    known = all(not pd.isna(x[c]) for x in (a, b) for c in ("m2_construidos", "dormitorios", "banos"))
-    return known and abs(a["m2_construidos"] - b["m2_construidos"]) <= max(a["m2_construidos"], b["m2_construidos"]) * tolerance and abs(a["dormitorios"] - b["dormitorios"]) <= 1 and abs(a["banos"] - b["banos"]) <= 1
+    return abs(a["m2_construidos"] - b["m2_construidos"]) <= max(a["m2_construidos"], b["m2_construidos"]) * tolerance and abs(a["dormitorios"] - b["dormitorios"]) <= 1 and abs(a["banos"] - b["banos"]) <= 1

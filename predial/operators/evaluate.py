@@ -57,7 +57,7 @@ def held_out_predictions(rows: DataFrame, cfg: Config = DEFAULT, least: int = 5)
     test, train = rows.where("held_out"), rows.where("not held_out")
     pairs = candidates(test, train, cfg, by_rooms=False).where(F.col("t_comuna").isNotNull())
     extra = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), identities(d).alias(f"{p}_urls"), F.col("fuente").alias(f"{p}_source"), F.col("source_listing_id").alias(f"{p}_sid"))
-    pairs = pairs.drop("c_fuente").join(extra(test, "t"), "t_id").join(extra(train, "c"), "c_id")
+    pairs = pairs.join(extra(test, "t"), "t_id").join(extra(train, "c"), "c_id")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
     close = lambda c: F.abs(F.col(f"t_{c}") - F.col(f"c_{c}")) <= 1

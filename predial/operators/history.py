@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.prices import ask_clp
+from ..functions.prices import ask_clp, historical_clp
 
 #: Columns that order a listing's log within a day, as far as the log has them.
 TIES = ("id", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "precio_clp_nuevo")
@@ -15,12 +15,7 @@ def log_order(history: DataFrame) -> list[str]:
 
 
 def _price(history: DataFrame, cfg: Config) -> Column:
-    """The first positive of the log's price columns, in CLP."""
-    picks = []
-    for name, factor in (("precio_clp_nuevo", 1.0), ("precio_clp", 1.0), ("precio_uf_nuevo", cfg.uf_to_clp), ("precio_uf", cfg.uf_to_clp)):
-        if name in history.columns:
-            picks.append(F.when(F.col(name) > 0, F.col(name) * F.lit(factor)))
-    return F.coalesce(*picks)
+    return historical_clp(history.columns, cfg)
 
 
 def signals(listings: DataFrame, history: DataFrame, as_of: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -58,6 +53,12 @@ def evolution(listings: DataFrame, history: DataFrame, as_of: str, cfg: Config =
         F.greatest(F.datediff(today, F.least("fecha_publicacion", "first_day")), F.lit(0)).alias("days_on_market"))
 
 
+def ordered(history: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The log of every listing in its order: listing_id, step (from 1), day and price in CLP."""
+    step = F.row_number().over(Window.partitionBy("listing_id").orderBy(*log_order(history)))
+    return history.select("listing_id", step.alias("step"), "fecha_captura", _price(history, cfg).alias("price"))
+
+
 def chart_series(history: DataFrame) -> DataFrame:
     """The dated prices of each listing in order; rows without a price are dropped."""
     price = F.coalesce(*[F.col(c) for c in ("precio_clp_nuevo", "precio_clp") if c in history.columns])
@@ -72,16 +73,18 @@ def initial_rows(listings: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def append_changes(history: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows to append: incoming prices that differ from the latest logged ones, or come on another day.
+    """Rows to append for listings that are new or whose prices changed, null being equal to null.
 
-    incoming: listing_id, precio_clp_nuevo, precio_uf_nuevo, fecha_captura. Null equals null.
+    incoming: listing_id, precio_clp_anterior, precio_uf_anterior, precio_clp_nuevo, precio_uf_nuevo, fecha_captura,
+    was_created. Nothing is appended where the log's latest row has the same new prices and day.
     """
-    latest = history.withColumn("__rank", F.row_number().over(Window.partitionBy("listing_id").orderBy(*[F.desc(c) for c in log_order(history)]))).where("__rank = 1")
+    order = F.struct(*(["fecha_cambio"] if "fecha_cambio" in history.columns else []), *log_order(history))
     columns = ["precio_clp_nuevo", "precio_uf_nuevo", "fecha_captura"]
-    old = latest.select("listing_id", *[(F.col(c) if c in history.columns else F.lit(None).cast("double")).alias(f"__{c}") for c in columns])
-    joined = incoming.join(old, "listing_id", "left")
-    same = F.lit(True)
+    old = F.struct(*[(F.col(c) if c in history.columns else F.lit(None).cast("double")).alias(c) for c in columns])
+    latest = history.groupBy("listing_id").agg(F.max_by(old, order).alias("__last"))
+    changed = F.col("was_created") | ~F.col("precio_clp_anterior").eqNullSafe(F.col("precio_clp_nuevo")) | ~F.col("precio_uf_anterior").eqNullSafe(F.col("precio_uf_nuevo"))
+    joined = incoming.where(changed).join(latest, "listing_id", "left")
+    same = F.col("__last").isNotNull()
     for c in columns:
-        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-    changed = F.col("__fecha_captura").isNull() | ~same
-    return joined.where(changed).select("listing_id", *columns, F.col("__precio_clp_nuevo").alias("precio_clp_anterior"), F.col("__precio_uf_nuevo").alias("precio_uf_anterior"))
+        same &= F.col(c).eqNullSafe(F.col(f"__last.{c}"))
+    return joined.where(~same).select("listing_id", "precio_clp_anterior", "precio_uf_anterior", *columns)

@@ -4,10 +4,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.geo import CENTROIDS, centroid, longest_place
+from ..functions.geo import PLACES, centroid, place_position
 from ..functions.text import comuna_key, fingerprint, normal_url
+from .cleaning import clean
 from .components import checkpointed
-from .quality import ingest_valid
+from .dedup import exact_links, mark_duplicates
+from .history import append_changes, initial_rows
+from .quality import expire, ingest_valid, mark_invalid
+from .validation import validated
 from .valuation import area_bucket, area_buckets
 
 TAKEN = ("precio_clp", "precio_uf", "comuna", "lat", "lon", "m2_construidos", "dormitorios", "banos", "estacionamientos", "fecha_publicacion")
@@ -81,11 +85,12 @@ def _rank_values(df: DataFrame) -> list[Column]:
     return [points.alias("points"), F.col("source_listing_id").isNotNull().alias("source"), F.coalesce(*[F.col(c) for c in ("link", "url") if c in df.columns]).isNotNull().alias("link"), F.coalesce(F.col("last_seen").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("seen")]
 
 
-def upsert(listings: DataFrame, batch: DataFrame, as_of: str, cfg: Config = DEFAULT, keep_geocodes: bool = False) -> tuple[DataFrame, DataFrame]:
+def upsert(listings: DataFrame, batch: DataFrame, as_of: str, cfg: Config = DEFAULT, keep_geocodes: bool = False, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, price log rows): matched listings are overwritten, the others inserted with new ids.
 
     Area, rooms, coordinates and commune are overwritten even by null (keep_geocodes spares coordinates); title, urls
-    and source id only by something. Of several rows for one listing the last to arrive counts.
+    and source id only by something. Of several rows for one listing the last to arrive counts. With a history, nothing
+    is logged that its latest row says already.
     """
     batch = checkpointed(collapse(prepare(batch)))
     by_identity = match_identity(batch, listings).select("arrival", "id")
@@ -110,10 +115,32 @@ def upsert(listings: DataFrame, batch: DataFrame, as_of: str, cfg: Config = DEFA
     hit = F.col("u.__id").isNotNull()
     merged = both.select(*[F.when(hit, new[c].cast(listings.schema[c].dataType)).otherwise(F.col(f"l.{c}")).alias(c) if c in new else F.col(f"l.{c}") for c in listings.columns])
     added = fresh.select(*[{**stamp, "status": F.lit("active")}.get(c, F.col(c) if c in fresh.columns else F.lit(None)).cast(listings.schema[c].dataType).alias(c) for c in listings.columns])
-    changed = both.where(hit & ~(F.col("l.precio_clp").eqNullSafe(F.col("u.precio_clp")) & F.col("l.precio_uf").eqNullSafe(F.col("u.precio_uf"))))
-    log = changed.select(F.col("l.id").alias("listing_id"), F.col("l.precio_clp").alias("precio_clp_anterior"), F.col("l.precio_uf").alias("precio_uf_anterior"), F.col("u.precio_clp").cast("bigint").alias("precio_clp_nuevo"), F.col("u.precio_uf").alias("precio_uf_nuevo"), F.lit(as_of).cast("date").alias("fecha_captura"))
-    first = added.select(F.col("id").alias("listing_id"), F.lit(None).cast("bigint").alias("precio_clp_anterior"), F.lit(None).cast("double").alias("precio_uf_anterior"), F.col("precio_clp").cast("bigint").alias("precio_clp_nuevo"), F.col("precio_uf").alias("precio_uf_nuevo"), F.lit(as_of).cast("date").alias("fecha_captura"))
-    return merged.unionByName(added), log.unionByName(first)
+    prices = lambda clp, uf: [clp.cast("bigint").alias("precio_clp_anterior"), uf.cast("double").alias("precio_uf_anterior")]
+    now = lambda p: [F.col(f"{p}precio_clp").cast("bigint").alias("precio_clp_nuevo"), F.col(f"{p}precio_uf").cast("double").alias("precio_uf_nuevo"), F.lit(as_of).cast("date").alias("fecha_captura")]
+    updated = both.where(hit).select(F.col("l.id").alias("listing_id"), *prices(F.col("l.precio_clp"), F.col("l.precio_uf")), *now("u."), F.lit(False).alias("was_created"))
+    created = added.select(F.col("id").alias("listing_id"), *prices(F.lit(None), F.lit(None)), *now(""), F.lit(True).alias("was_created"))
+    log = history if history is not None else created.select("listing_id", "fecha_captura", "precio_clp_nuevo", "precio_uf_nuevo").limit(0)
+    return merged.unionByName(added), append_changes(log, updated.unionByName(created))
+
+
+def ingest(listings: DataFrame, history: DataFrame, batch: DataFrame, as_of: str, cfg: Config = DEFAULT, scraped: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole job on a scraped batch: (snapshot, price log rows, rejected rows).
+
+    Rows are cleaned and validated, merged into the snapshot, listings not seen for too long expire, and duplicates are
+    marked anew.
+    """
+    rejected = batch.limit(0).withColumn("validation_errors", F.array().cast("array<string>"))
+    if scraped:
+        batch, rejected = validated(clean(batch, cfg, outliers=False))
+    snapshot, log = upsert(listings, batch, as_of, cfg, history=history)
+    return mark_duplicates(expire(checkpointed(snapshot), as_of, cfg), cfg=cfg), log, rejected
+
+
+def maintain(listings: DataFrame, history: DataFrame, properties: DataFrame, columns: list[str], cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Table maintenance: (listings, price log) with links filled, one row a link, gaps filled from properties, zeros as nulls, bad rows marked, first prices logged."""
+    kept, log = exact_links(fill_links(listings), history)
+    done = mark_invalid(zeros_to_null(backfill(kept, properties, columns)), cfg)
+    return done, log.unionByName(initial_rows(done, log), allowMissingColumns=True)
 
 
 def find_properties(rows: DataFrame, properties: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,22 +181,26 @@ def backfill(listings: DataFrame, properties: DataFrame, columns: list[str]) ->
     return listings.join(side, F.col("property_id") == F.col("__pid"), "left").withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).select(listings.columns)
 
 
-def geocode(listings: DataFrame, places: dict[str, tuple[float, float]] | None = None, force: bool = False) -> DataFrame:
-    """Missing coordinates from a place in the title, else the commune's centroid; adds resolution."""
-    places = places or {}
-    at = longest_place(F.col("titulo"), places) if places else F.lit(None).cast("string")
-    by_place = F.lit(None).cast("struct<lat:double,lon:double>")
-    for name, (lat, lon) in places.items():
-        by_place = F.coalesce(F.when(at == name, F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))), by_place)
+def geocode(listings: DataFrame, places: dict[str, tuple[float, float]] = PLACES, force: bool = False) -> DataFrame:
+    """Missing coordinates from a place in the title, else the commune's centroid; adds resolution.
+
+    Rows with both coordinates keep them unless forced; rows without a commune stay as they are.
+    """
     have = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.lit(not force)
-    done = listings.withColumn("__place", by_place).withColumn("__centre", centroid(F.col("comuna"), CENTROIDS))
-    resolution = F.when(have, "kept").when(F.col("comuna").isNull(), "no_comuna").when(F.col("__place").isNotNull(), "place").when(F.col("__centre").isNotNull(), "centroid").otherwise("unresolved")
+    done = listings.withColumn("__place", place_position(F.col("titulo"), places)).withColumn("__centre", centroid(F.col("comuna")))
+    resolution = F.when(have, "kept").when(F.nullif(F.trim("comuna"), F.lit("")).isNull(), "no_comuna").when(F.col("__place").isNotNull(), "place").when(F.col("__centre").isNotNull(), "centroid").otherwise("unresolved")
     found = F.coalesce("__place", "__centre")
     done = done.withColumn("resolution", resolution)
     use = F.col("resolution").isin("place", "centroid")
     return done.withColumns({"lat": F.when(use, found["lat"]).otherwise(F.col("lat")), "lon": F.when(use, found["lon"]).otherwise(F.col("lon"))}).drop("__place", "__centre")
 
 
+def geocode_counts(geocoded: DataFrame) -> DataFrame:
+    """One row: rows updated, skipped (no commune) and failed (no position known); rows that keep theirs don't count."""
+    of = lambda *names: F.count_if(F.col("resolution").isin(*names))
+    return geocoded.agg(of("place", "centroid").alias("updated"), of("no_comuna").alias("skipped"), of("unresolved").alias("failed"))
+
+
 def update_coordinates(listings: DataFrame, updates: DataFrame) -> DataFrame:
     """Coordinates by id, where an update has both."""
     new = updates.where("lat is not null and lon is not null").groupBy("id").agg(F.max_by(F.struct("lat", "lon"), F.struct("lat", "lon")).alias("__new"))

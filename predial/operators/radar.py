@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.prices import ask_clp, short_price
+from .components import checkpointed
+from .dedup import mark_duplicates
 from .history import evolution, signals
 from .quality import data_sufficiency, representative
 from .valuation import market_values
@@ -65,14 +67,18 @@ def label(score: Column) -> Column:
 
 
 def legal_risk(n: Column, confidence: Column, missing_pct: Column) -> Column:
-    """struct(legal_risk_score, legal_risk_level, legal_flags): few comparables, low confidence and gaps add up from 30."""
+    """struct(legal_risk_score, legal_risk_level, legal_flags, legal_summary): few comparables, low confidence and gaps add up from 30."""
     sure = F.when(confidence <= 1, confidence * 100).otherwise(confidence)
     score = F.least(F.lit(30) + F.when(n < 3, 25).when(n < 6, 15).otherwise(0) + F.when(sure < 60, 20).when(sure < 75, 10).otherwise(0) + F.when(missing_pct > 30, 20).when(missing_pct > 15, 10).otherwise(0), F.lit(100))
     flags = F.array_compact(F.array(
         F.when(n < 3, "Muy pocos comparables").when(n < 6, "Pocos comparables"), F.when(sure < 60, "Baja confianza en datos"), F.when(missing_pct > 15, "Datos incompletos"),
         F.when((n < 3) & (sure < 60), "Alta incertidumbre en valorización"), F.when((missing_pct > 30) & (sure < 70), "Información insuficiente para evaluación confiable"),
         F.when((n >= 8) & (sure >= 80), "Buena base de comparables y alta confiabilidad")))
-    return F.struct(score.alias("legal_risk_score"), F.when(score < 40, "Bajo").when(score < 70, "Medio").otherwise("Alto").alias("legal_risk_level"), flags.alias("legal_flags"))
+    count = n.cast("string")
+    summary = F.when(score < 40, F.concat(F.lit("No se detectan riesgos estructurales. Basado en "), count, F.lit(" comparables con buena consistencia de datos."))).when(
+        score < 70, F.concat(F.lit("Información parcial ("), count, F.lit(" comparables). Se recomienda validación adicional antes de invertir."))
+    ).otherwise(F.concat(F.lit("Alta incertidumbre: solo "), count, F.lit(" comparables y datos incompletos. Validar exhaustivamente.")))
+    return F.struct(score.alias("legal_risk_score"), F.when(score < 40, "Bajo").when(score < 70, "Medio").otherwise("Alto").alias("legal_risk_level"), flags.alias("legal_flags"), summary.alias("legal_summary"))
 
 
 def appreciation(comuna: Column) -> Column:
@@ -131,17 +137,36 @@ def ranked(found: DataFrame, limit: int = 20) -> DataFrame:
     return found.orderBy("is_outlier", F.desc("ranking"), "id").limit(limit)
 
 
-def radar(listings: DataFrame, history: DataFrame, as_of: str, cfg: Config = DEFAULT, limit: int = 20, gate: bool = True) -> DataFrame:
-    """The top opportunities; none if the market has too few listings. Low data mode follows from the listings."""
-    state = data_sufficiency(listings, cfg).first()
-    low = bool(state.low_data_mode)
-    found = opportunities(listings, history, as_of, cfg, low)
+def radar(listings: DataFrame, history: DataFrame, as_of: str, cfg: Config = DEFAULT, limit: int = 20, gate: bool = True, mark: bool = True) -> DataFrame:
+    """The top opportunities; none if the market has too few listings. Low data mode follows from the listings.
+
+    Duplicates are marked first (unless ``mark`` is false), and only representatives take part.
+    """
+    base = checkpointed(mark_duplicates(listings, cfg=cfg)) if mark else listings
+    low = bool(data_sufficiency(base, cfg).first().low_data_mode)
+    found = opportunities(base, history, as_of, cfg, low)
     if gate:
-        found = found.where(F.lit(radar_candidates(listings).limit(cfg.low_data_active).count() >= (cfg.low_data_active if low else cfg.radar_dataset)))
+        found = found.where(F.lit(radar_candidates(base).limit(cfg.low_data_active).count() >= (cfg.low_data_active if low else cfg.radar_dataset)))
     return ranked(found, limit)
 
 
+def radar_result(found: DataFrame, ready: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One row of the radar's contract: status, counts, low_data_mode and a message where there is nothing to show."""
+    both = found.agg(F.count("*").alias("total_count")).crossJoin(ready.agg(F.count("*").alias("ready_count")))
+    return contract(both.withColumn("low_data_mode", F.col("ready_count") < cfg.radar_dataset))
+
+
+def contract(results: DataFrame) -> DataFrame:
+    """Result rows with all fields of the contract: absent and null counts are 0, low_data_mode false, the status follows from the count."""
+    has = lambda c, kind: F.col(c).try_cast(kind) if c in results.columns else F.lit(None).cast(kind)
+    total = F.coalesce(has("total_count", "bigint"), F.lit(0))
+    status = F.coalesce(has("status", "string"), F.when(total > 0, "ok").otherwise("insufficient_data"))
+    message = F.when(status == "insufficient_data", "No hay suficientes datos u oportunidades disponibles para el radar.")
+    return results.select(status.alias("status"), total.alias("total_count"), F.coalesce(has("ready_count", "bigint"), F.lit(0)).alias("ready_count"), F.coalesce(has("low_data_mode", "boolean"), F.lit(False)).alias("low_data_mode"), message.alias("message"))
+
+
 def with_evolution(found: DataFrame, history: DataFrame, as_of: str, cfg: Config = DEFAULT) -> DataFrame:
-    """Opportunities with their price evolution as a struct."""
+    """Opportunities with their price evolution as a struct; they are checkpointed, so that they are found once."""
+    found = checkpointed(found)
     part = evolution(found, history, as_of, cfg)
     return found.join(part.select("id", F.struct(*[c for c in part.columns if c != "id"]).alias("price_evolution")), "id", "left")

@@ -105,12 +105,23 @@ def confidence_title(value: Column) -> Column:
     return F.when(value > 75, "Alta confianza").when(value >= 50, "Confianza media").otherwise("Baja confianza")
 
 
+def dispersion() -> Column:
+    """An opportunity's spread of comparable prices against their mean, else of its own range against its price."""
+    of_comparables = F.when(F.col("comparables_mean") != 0, (F.col("comparables_max") - F.col("comparables_min")) / F.col("comparables_mean"))
+    return F.coalesce(of_comparables, F.when(F.col("m2_construidos") > 0, (F.col("max_price") - F.col("min_price")) / F.col("estimated_price")))
+
+
 def dashboard(found: DataFrame) -> DataFrame:
-    """One row over opportunities: mean discount and confidence, shares of outliers and weak ones, price spread, score."""
-    ppm2 = F.col("listing_price") / F.col("m2_construidos")
-    out = found.agg(F.count("*").alias("n"), F.avg("undervaluation").alias("mean_discount"), F.avg("confidence_score").alias("mean_confidence"), F.avg(F.col("is_outlier").cast("double")).alias("outlier_share"), F.avg((F.col("confidence_level") == "low").cast("double")).alias("low_confidence_share"), F.avg(ppm2).alias("mean_price_m2"), (F.stddev_pop(ppm2) / F.avg(ppm2)).alias("dispersion"))
-    score = F.least(F.greatest(F.col("mean_discount") / 0.30 * 40 + F.col("mean_confidence") * 40 + (1 - F.col("outlier_share")) * 20, F.lit(0.0)), F.lit(100.0))
-    return out.withColumn("score", score)
+    """One row over opportunities: mean discount and confidence, shares of outliers and weak ones, price per m2, spread, score, text."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    clamped = F.greatest(F.least(F.coalesce("confidence_score", F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    out = found.agg(
+        F.count("*").alias("n"), mean("undervaluation").alias("mean_discount"), mean(clamped).alias("mean_confidence"), mean(F.col("is_outlier").cast("double")).alias("outlier_share"),
+        mean((F.col("confidence_level") == "low").cast("double")).alias("low_confidence_share"), mean(F.when(F.col("m2_construidos") > 0, F.col("estimated_price") / F.col("m2_construidos"))).alias("mean_price_m2"), mean(dispersion()).alias("dispersion"))
+    score = F.col("mean_confidence") * 70 + F.least(F.col("mean_discount") / 0.30, F.lit(1.0)) * 30 - F.col("outlier_share") * 25
+    out = out.withColumn("score", F.greatest(F.least(score, F.lit(100.0)), F.lit(0.0)))
+    text = F.when((F.col("score") >= 75) & (F.col("outlier_share") < 0.20), "Mercado ineficiente con senales de alta calidad").when(F.col("score") >= 55, "Mercado moderadamente ineficiente - oportunidades selectivas").when(F.col("score") >= 35, "Mercado con senales mixtas - revisar riesgo").otherwise("Mercado poco concluyente - priorizar validacion")
+    return out.withColumn("interpretation", text)
 
 
 def scaled_points(comps: DataFrame, by: str, value: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.geo import distance_score, haversine_km
 from ..functions.prices import adjacent, ask_clp, sane_m2, sane_price_m2, segment
+from .components import checkpointed
 from .quality import representative, usable
 
 ROOMS = ("dormitorios", "banos", "estacionamientos")
@@ -46,7 +47,7 @@ def candidates(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, r
     ratio = cfg.m2_range if ratio is None else ratio
     t = targets.where(sane_m2(F.col("m2_construidos"), cfg)).select(*[F.col(c).alias(f"t_{c}") for c in TARGET], F.explode(area_buckets(F.col("m2_construidos"), 1 - ratio, 1 + ratio, cfg.m2_range)).alias("bucket"))
     pool = listings.where((F.col("status") == "active") & sane_m2(F.col("m2_construidos"), cfg) & (F.col("precio_clp").isNotNull() | F.col("precio_uf").isNotNull())).where(representative(listings))
-    c = pool.select(*[F.col(x).alias(f"c_{x}") for x in (*TARGET, "titulo", "fuente")], ask_clp(cfg).alias("c_price"), usable(cfg).alias("c_usable"), area_bucket(F.col("m2_construidos"), cfg.m2_range).alias("bucket"))
+    c = pool.select(*[F.col(x).alias(f"c_{x}") for x in TARGET], title_boost(F.col("titulo")).alias("c_boost"), ask_clp(cfg).alias("c_price"), usable(cfg).alias("c_usable"), area_bucket(F.col("m2_construidos"), cfg.m2_range).alias("bucket"))
     m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
     same = (F.col("t_comuna") == F.col("c_comuna")) if by_comuna else F.lit(True)
     where = (t.bucket == c.bucket) & same & (F.col("t_id") != F.col("c_id")) & o.between(m * (1 - ratio), m * (1 + ratio)) & adjacent(segment(m), segment(o))
@@ -57,12 +58,16 @@ def candidates(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, r
 
 
 def capped(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Adds strict and wide: usable pairs among the nearest ``max_candidates`` in area, of the segment or with the next."""
+    """The nearest ``max_candidates`` in area of a target's own segment and of the next, with flags strict and wide.
+
+    strict: a usable pair of the own segment; wide: a usable one among the nearest of both. Whoever is among the nearest
+    of all is among the nearest of its segment, so that limit comes first and acts before the rows are shuffled.
+    """
     near = [F.abs(F.col("c_m2_construidos") - F.col("t_m2_construidos")), F.col("c_id")]
     own = F.row_number().over(Window.partitionBy("t_id", "same_segment").orderBy(*near))
+    ranked = pairs.withColumn("__own", own).where(F.col("__own") <= cfg.max_candidates)
     every = F.row_number().over(Window.partitionBy("t_id").orderBy(*near))
-    ranked = pairs.withColumn("__own", own).withColumn("__all", every)
-    return ranked.select(*pairs.columns, (F.col("same_segment") & (F.col("__own") <= cfg.max_candidates) & F.col("c_usable")).alias("strict"), ((F.col("__all") <= cfg.max_candidates) & F.col("c_usable")).alias("wide"))
+    return ranked.select(*pairs.columns, every.alias("__all")).select(*pairs.columns, (F.col("same_segment") & F.col("c_usable")).alias("strict"), ((F.col("__all") <= cfg.max_candidates) & F.col("c_usable")).alias("wide"))
 
 
 def similarity(target: Column, other: Column) -> Column:
@@ -85,8 +90,8 @@ def comparable_score(cfg: Config = DEFAULT) -> Column:
     return F.when(total(weights) > 0, F.greatest(F.least(total(parts) / total(weights), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
 
 
-def scored(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Adds score (with penalties) and price_m2; pairs that can't be compared or priced are dropped."""
+def with_scores(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Adds score (with penalties), price_m2 and fit: whether the pair can be compared and its price be believed."""
     m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
     rooms = F.lit(True)
     for room in ("dormitorios", "banos"):
@@ -95,23 +100,30 @@ def scored(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     other_comuna = F.coalesce(F.col("c_comuna") != F.col("t_comuna"), F.lit(False))
     score = F.when(other_comuna, F.greatest(score - cfg.comuna_penalty, F.lit(0.0))).otherwise(score)
     score = F.when(segment(m) != segment(o), F.greatest(score - cfg.segment_penalty, F.lit(0.0))).otherwise(score)
-    fit = pairs.where((F.abs(o - m) / m <= cfg.similar_m2) & rooms & F.col("c_price").isNotNull())
-    return fit.withColumn("score", score).withColumn("price_m2", F.col("c_price") / o).where(sane_price_m2(F.col("price_m2"), cfg))
+    fit = (F.abs(o - m) / m <= cfg.similar_m2) & rooms & F.col("c_price").isNotNull()
+    return pairs.withColumn("score", score).withColumn("price_m2", F.col("c_price") / o).withColumn("fit", F.coalesce(fit, F.lit(False)) & sane_price_m2(F.col("price_m2"), cfg))
 
 
-def clustered(pairs: DataFrame, cfg: Config = DEFAULT, target_price_m2: Column | None = None) -> DataFrame:
+def scored(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Adds score and price_m2; pairs that can't be compared or priced are dropped."""
+    return with_scores(pairs, cfg).where("fit").drop("fit")
+
+
+def clustered(pairs: DataFrame, cfg: Config = DEFAULT, target_price_m2: Column | None = None, valid: Column | None = None) -> DataFrame:
     """Adds n_valid and cluster_penalty: terciles of a target's prices, and the distance to the target's own tercile.
 
-    The target's tercile is that of its price where given, else that of its best-scored comparable.
+    The target's tercile is that of its price where given, else that of its best-scored comparable. Of rows that are
+    not ``valid`` (default: all are) nothing is learnt.
     """
     own = Window.partitionBy("t_id")
-    third = lambda p: F.percentile("price_m2", F.lit(p)).over(own)
-    best = F.max_by("price_m2", F.struct("score", -F.col("c_id"))).over(own)
+    valid = F.lit(True) if valid is None else valid
+    third = lambda p: F.percentile(F.when(valid, F.col("price_m2")), F.lit(p)).over(own)
+    best = F.max_by("price_m2", F.when(valid, F.struct("score", -F.col("c_id")))).over(own)
     rank = lambda x: F.when(x <= F.col("__p33"), 0).when(x <= F.col("__p66"), 1).otherwise(2)
     reference = F.col("__best") if target_price_m2 is None else F.coalesce(target_price_m2, F.col("__best"))
     apart = F.abs(rank(F.col("price_m2")) - rank(reference))
     penalty = F.when((F.col("n_valid") < 3) | (apart == 0), 1.0).when(apart == 1, cfg.adjacent_cluster).otherwise(cfg.far_cluster)
-    out = pairs.withColumn("n_valid", F.count("*").over(own)).withColumn("__p33", third(0.33)).withColumn("__p66", third(0.66)).withColumn("__best", best)
+    out = pairs.withColumn("n_valid", F.count_if(valid).over(own)).withColumn("__p33", third(0.33)).withColumn("__p66", third(0.66)).withColumn("__best", best)
     return out.withColumn("cluster", F.when(F.col("n_valid") >= 3, rank(F.col("price_m2")))).withColumn("cluster_penalty", penalty).drop("__p33", "__p66", "__best")
 
 
@@ -132,7 +144,7 @@ def base_weight() -> Column:
         apart = F.abs(F.col(f"c_{name}") - F.col(f"t_{name}"))
         return F.when(apart.isNull(), 0.8).when(apart == 0, 1.0).when(apart == 1, 0.75).otherwise(0.4)
 
-    return area * comuna * room("dormitorios") * room("banos") * F.greatest(F.col("score"), F.lit(0.01)) * title_boost(F.col("c_titulo")) * F.col("cluster_penalty")
+    return area * comuna * room("dormitorios") * room("banos") * F.greatest(F.col("score"), F.lit(0.01)) * F.col("c_boost") * F.col("cluster_penalty")
 
 
 def best(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -193,10 +205,14 @@ def confidence_label(score: Column, n: Column, lower: bool = False) -> Column:
     return F.when(label == "high", "medium").otherwise("low") if lower else label
 
 
+#: What is kept of the best comparables.
+TOP = ("t_id", "t_m2_construidos", "n_valid", "c_id", "score", "price_m2", "base", "c_price", "c_m2_construidos", "c_comuna", "c_dormitorios", "c_banos")
+
+
 def top_rows(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The best ``top_k`` comparables of each target as rows, with their base weight."""
     rank = F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("score"), "c_id"))
-    return pairs.withColumn("base", base_weight()).withColumn("__rank", rank).where(F.col("__rank") <= cfg.top_k).select("t_id", "t_m2_construidos", "n_valid", "c_id", "score", "price_m2", "base", "c_price", "c_m2_construidos", "c_comuna")
+    return pairs.withColumn("__rank", rank).where(F.col("__rank") <= cfg.top_k).withColumn("base", base_weight()).select(*TOP)
 
 
 def priced(rows: DataFrame, cfg: Config = DEFAULT, score_after: bool = True) -> DataFrame:
@@ -224,7 +240,7 @@ def priced(rows: DataFrame, cfg: Config = DEFAULT, score_after: bool = True) ->
     cut = F.greatest(F.floor(F.col("n") * 0.1), F.lit(1))
     r = r.withColumn("at", F.row_number().over(ascending)).withColumn("run", F.sum("weight").over(ascending.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(own)).withColumn("cut", cut)
     used = (F.col("n") < 5) | (F.col("n") - 2 * F.col("cut") < 3) | ((F.col("at") > F.col("cut")) & (F.col("at") <= F.col("n") - F.col("cut")))
-    comp = F.struct((-F.col("score")).alias("order"), F.col("c_id").alias("id"), "score", "price_m2", "weight", F.col("c_price").alias("price"), F.col("c_m2_construidos").alias("m2"), F.col("c_comuna").alias("comuna"))
+    comp = F.struct((-F.col("score")).alias("order"), F.col("c_id").alias("id"), "score", "price_m2", "weight", F.col("c_price").alias("price"), F.col("c_m2_construidos").alias("m2"), F.col("c_comuna").alias("comuna"), F.col("c_dormitorios").alias("dormitorios"), F.col("c_banos").alias("banos"))
     reached = lambda p: F.min(F.when(F.col("run") >= F.col("total") * p, F.col("price_m2")))
     out = r.groupBy("t_id").agg(
         F.first("t_m2_construidos").alias("m2"), F.first("n_valid").alias("n_valid"), F.first("n_filtered").alias("n_filtered"), F.count("*").cast("int").alias("comparable_count"),
@@ -237,13 +253,48 @@ def priced(rows: DataFrame, cfg: Config = DEFAULT, score_after: bool = True) ->
     return out.withColumns({"estimated_price": value("price_m2"), "min_price": value("p25"), "max_price": value("p75")}).drop("mean", "spread", "p25", "p75")
 
 
-def level(pairs: DataFrame, cfg: Config, low_data: bool, least: int) -> DataFrame:
-    """Scored pairs at the strict score, or at the relaxed one where that leaves under ``least`` and gives more."""
+def enough(cfg: Config, low_data: bool, least: int, fit: Column | None = None) -> Column:
+    """Whether a row's score will do: the strict score, or the relaxed one where the strict leaves under ``least`` of a target."""
+    fit = F.lit(True) if fit is None else fit
     if low_data:
-        return pairs.where(F.col("score") >= cfg.low_data_score)
+        return fit & (F.col("score") >= cfg.low_data_score)
+    strict = F.count_if(fit & (F.col("score") >= cfg.min_score)).over(Window.partitionBy("t_id"))
+    return fit & ((F.col("score") >= cfg.min_score) | ((strict < least) & (F.col("score") >= cfg.relaxed_score)))
+
+
+def level(pairs: DataFrame, cfg: Config, low_data: bool, least: int) -> DataFrame:
+    """Scored pairs that enough() lets pass."""
+    return pairs.withColumn("__enough", enough(cfg, low_data, least)).where("__enough").drop("__enough")
+
+
+def _segmented(targets: DataFrame, listings: DataFrame, cfg: Config, least: int) -> DataFrame:
+    """Each target's candidates with their flags, and adjacent: whether the next segment was let in; usable ones of that choice."""
     own = Window.partitionBy("t_id")
-    strict = F.count_if(F.col("score") >= cfg.min_score).over(own)
-    return pairs.withColumn("__strict", strict).where((F.col("score") >= cfg.min_score) | ((F.col("__strict") < least) & (F.col("score") >= cfg.relaxed_score))).drop("__strict")
+    pairs = capped(candidates(targets, listings, cfg), cfg)
+    pairs = pairs.withColumn("__n1", F.count_if("strict").over(own)).withColumn("__n2", F.count_if("wide").over(own))
+    pairs = pairs.withColumn("adjacent", F.col("__n1") < least)
+    return pairs.where(F.when(F.col("adjacent") & (F.col("__n2") > F.col("__n1")), F.col("wide")).otherwise(F.col("strict"))).drop("__n1", "__n2")
+
+
+def _by_bedrooms(pairs: DataFrame, cfg: Config) -> DataFrame:
+    """Adds before (a target's candidates), mode (0 equal bedrooms, 1 within one, 2 any) and fits (whether the row is of that mode)."""
+    own = Window.partitionBy("t_id")
+    m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
+    apart = F.abs(F.col("c_dormitorios") - F.col("t_dormitorios"))
+    near = (F.abs(o - m) / m <= cfg.m2_range) & F.coalesce(F.abs(F.col("c_banos") - F.col("t_banos")) <= 1, F.lit(True))
+    known = lambda c: F.coalesce(c, F.lit(False))
+    pairs = pairs.withColumns({"__equal": known(near & (apart == 0)), "__close": known(near & (apart <= 1))})
+    pairs = pairs.withColumns({"__e": F.count_if("__equal").over(own), "__c": F.count_if("__close").over(own), "before": F.count("*").over(own)})
+    mode = F.when(F.col("__e") >= cfg.segment_comparables, 0).when(F.col("__c") >= cfg.segment_comparables, 1).when(F.col("before") >= cfg.radar_min_comparables, 2).otherwise(0)
+    pairs = pairs.withColumn("mode", mode)
+    return pairs.withColumn("fits", F.when(F.col("mode") == 0, F.col("__equal")).when(F.col("mode") == 1, F.col("__close")).otherwise(True))
+
+
+def funnel_counts(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, low_data: bool = False) -> DataFrame:
+    """t_id, before, segmented, relaxed and adjacent: how many candidates each target keeps on the way, and which fallbacks it took."""
+    least = cfg.low_data_radar_comparables if low_data else cfg.radar_min_comparables
+    pairs = _by_bedrooms(_segmented(targets, listings, cfg, least), cfg)
+    return pairs.groupBy("t_id").agg(F.count("*").alias("before"), F.count_if("fits").alias("segmented"), (F.first("__e") < cfg.segment_comparables).alias("relaxed"), F.first("adjacent").alias("adjacent"))
 
 
 def market_values(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, low_data: bool = False) -> DataFrame:
@@ -253,38 +304,30 @@ def market_values(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT
     """
     least = cfg.low_data_radar_comparables if low_data else cfg.radar_min_comparables
     own = Window.partitionBy("t_id")
-    pairs = capped(candidates(targets, listings, cfg), cfg)
-    pairs = pairs.withColumn("__n1", F.count_if("strict").over(own)).withColumn("__n2", F.count_if("wide").over(own))
-    pairs = pairs.where(F.when((F.col("__n1") < least) & (F.col("__n2") > F.col("__n1")), F.col("wide")).otherwise(F.col("strict")))
-    m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
-    apart = F.abs(F.col("c_dormitorios") - F.col("t_dormitorios"))
-    fits = (F.abs(o - m) / m <= cfg.m2_range) & F.coalesce(F.abs(F.col("c_banos") - F.col("t_banos")) <= 1, F.lit(True))
-    equal, close = F.coalesce(fits & (apart == 0), F.lit(False)), F.coalesce(fits & (apart <= 1), F.lit(False))
-    pairs = pairs.withColumn("__equal", equal).withColumn("__close", close)
-    pairs = pairs.withColumn("__e", F.count_if("__equal").over(own)).withColumn("__c", F.count_if("__close").over(own)).withColumn("__a", F.count("*").over(own))
-    mode = F.when(F.col("__e") >= cfg.segment_comparables, 0).when(F.col("__c") >= cfg.segment_comparables, 1).when(F.col("__a") >= cfg.radar_min_comparables, 2).otherwise(0)
-    pairs = pairs.withColumn("__mode", mode).where(F.when(F.col("__mode") == 0, F.col("__equal")).when(F.col("__mode") == 1, F.col("__close")).otherwise(True))
+    pairs = _by_bedrooms(_segmented(targets, listings, cfg, least), cfg).where("fits")
     pairs = pairs.withColumn("__n", F.count("*").over(own)).where(F.col("__n") >= cfg.radar_min_comparables)
     valid = clustered(level(scored(pairs, cfg), cfg, low_data, least), cfg)
-    off = (F.col("__mode") > 0) & F.col("t_dormitorios").isNotNull() & ~F.coalesce(F.col("c_dormitorios") == F.col("t_dormitorios"), F.lit(False))
+    off = (F.col("mode") > 0) & F.col("t_dormitorios").isNotNull() & ~F.coalesce(F.col("c_dormitorios") == F.col("t_dormitorios"), F.lit(False))
     valid = valid.withColumn("score", F.when(off, F.col("score") * cfg.dorm_fallback).otherwise(F.col("score"))).where(F.col("n_valid") >= least)
     kept = priced(top_rows(valid, cfg), cfg).where((F.col("n_filtered") >= least) & (F.col("confidence_score") >= cfg.min_market_confidence))
     return kept.withColumnRenamed("t_id", "id")
 
 
 def valuations(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, low_data: bool = False) -> DataFrame:
-    """A row for every target: its value with range and confidence, or the reason why there is none."""
+    """A row for every target: its value with range and confidence, or the reason why there is none.
+
+    The pairs are made once: a target's counts travel with its best ten (one row at least), which are checkpointed.
+    """
     least = cfg.low_data_valuation_comparables if low_data else cfg.valuation_comparables
-    own = Window.partitionBy("t_id")
-    pairs = capped(candidates(targets, listings, cfg), cfg)
-    pairs = pairs.withColumn("__n1", F.count_if("strict").over(own)).withColumn("__n2", F.count_if("wide").over(own))
-    pairs = pairs.where(F.when((F.col("__n1") < least) & (F.col("__n2") > F.col("__n1")), F.col("wide")).otherwise(F.col("strict")))
-    pairs = pairs.withColumn("candidates", F.count("*").over(own))
-    valid = clustered(level(scored(pairs.where(F.col("candidates") >= least), cfg), cfg, low_data, least), cfg)
-    done = priced(top_rows(valid.where(F.col("n_valid") >= least), cfg), cfg, score_after=False).withColumnRenamed("t_id", "id")
-    counts = pairs.groupBy(F.col("t_id").alias("id")).agg(F.count("*").alias("candidates"))
-    reached = valid.groupBy(F.col("t_id").alias("id")).agg(F.count("*").alias("n_found"))
-    base = targets.select("id", F.col("m2_construidos").alias("target_m2")).join(counts, "id", "left").join(reached, "id", "left").join(done.drop("m2"), "id", "left")
+    pairs = _segmented(targets, listings, cfg, least).withColumn("candidates", F.count("*").over(Window.partitionBy("t_id")))
+    pairs = with_scores(pairs, cfg)
+    pairs = pairs.withColumn("valid", (F.col("candidates") >= least) & enough(cfg, low_data, least, F.col("fit")))
+    pairs = clustered(pairs, cfg, valid=F.col("valid"))
+    rank = F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("valid"), F.desc("score"), "c_id"))
+    rows = checkpointed(pairs.withColumn("__rank", rank).where(F.col("__rank") <= cfg.top_k).withColumn("base", base_weight()).select(*TOP, "valid", "candidates"))
+    done = priced(rows.where(F.col("valid") & (F.col("n_valid") >= least)), cfg, score_after=False).withColumnRenamed("t_id", "id")
+    counts = rows.groupBy(F.col("t_id").alias("id")).agg(F.first("candidates").alias("candidates"), F.first("n_valid").alias("n_found"))
+    base = targets.select("id", F.col("m2_construidos").alias("target_m2")).join(counts, "id", "left").join(done.drop("m2", "n_valid"), "id", "left")
     n, found = F.coalesce("candidates", F.lit(0)), F.coalesce("n_found", F.lit(0))
     reason = (
         F.when(~sane_m2(F.col("target_m2"), cfg), "subject surface area is missing or outside valid range")

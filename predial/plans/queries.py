@@ -9,6 +9,7 @@ from ..functions.text import clean_text, fingerprint, last_number_or_slug, local
 from ..operators import audit, cleaning, dedup, evaluate, history, ingest, portfolio, quality, radar, risk, valuation
 from ..sources import pages as page_source
 from ..sources.views import AS_OF, listings, price_history, runs, table
+from . import forms, jobs, judgements
 
 
 def _round(df: DataFrame, digits: int = 6, **kinds: int) -> DataFrame:
@@ -83,7 +84,8 @@ def c37_size_classes(spark, sf_dir):
 
 
 def c26_geocoded(spark, sf_dir):
-    done = ingest.geocode(listings(spark, sf_dir).withColumn("comuna", F.when(F.col("id") % 2 == 0, "Ñuñoa").otherwise(F.col("comuna"))), {"plaza egana": (-33.4530, -70.5710), "metro": (-33.4400, -70.6000)})
+    """Half of the listings are put into a commune with a known centroid."""
+    done = ingest.geocode(listings(spark, sf_dir).withColumn("comuna", F.when(F.col("id") % 2 == 0, "Ñuñoa").otherwise(F.col("comuna"))))
     return _round(done.select("id", "lat", "lon", "resolution"))
 
 
@@ -111,7 +113,7 @@ def j4_structural_matches(spark, sf_dir):
 
 def p3_pair_scores(spark, sf_dir):
     base = listings(spark, sf_dir)
-    pairs = valuation.scored(valuation.candidates(base.where("id % 20 = 0"), base).where("same_segment and c_usable"))
+    pairs = valuation.scored(valuation.candidates(base, base).where("same_segment and c_usable"))
     return _round(pairs.select(F.col("t_id").alias("id"), "c_id", "score", "price_m2"), 4)
 
 
@@ -174,13 +176,20 @@ def a21_iteration_summary(spark, sf_dir):
 
 
 def a31_findings(spark, sf_dir):
-    return audit.health(audit.findings(quality.coverage(listings(spark, sf_dir))))
+    base = _linked(spark, sf_dir)
+    sections = {"database": audit.database_section(base), "quality": audit.quality_section(quality.coverage(base))}
+    return audit.health(audit.findings(sections), sections)
 
 
 def w1_changed_prices(spark, sf_dir):
-    base = listings(spark, sf_dir).where("precio_clp is not null")
-    incoming = base.select(F.col("id").alias("listing_id"), F.col("precio_clp").alias("precio_clp_nuevo"), F.lit(None).cast("double").alias("precio_uf_nuevo"), "fecha_captura")
-    return history.append_changes(price_history(spark, sf_dir), incoming).select("listing_id", "precio_clp_nuevo", "precio_clp_anterior")
+    """New prices for the listings: some unchanged, some changed, some what the log's latest row says already, some created."""
+    base, log = listings(spark, sf_dir), price_history(spark, sf_dir)
+    last = log.groupBy("listing_id").agg(F.max_by(F.struct(F.col("precio_clp_nuevo").alias("clp"), F.col("fecha_captura").alias("day")), F.struct(*history.log_order(log))).alias("last"))
+    base = base.join(last, base.id == last.listing_id, "left")
+    known = F.col("id") % 4 == 2
+    new = F.when(F.col("id") % 4 == 0, F.col("precio_clp")).when(known, F.col("last.clp")).otherwise(F.col("precio_clp") + 1)
+    incoming = base.select(F.col("id").alias("listing_id"), F.col("precio_clp").alias("precio_clp_anterior"), F.lit(None).cast("double").alias("precio_uf_anterior"), new.alias("precio_clp_nuevo"), F.lit(None).cast("double").alias("precio_uf_nuevo"), F.when(known, F.col("last.day")).otherwise(F.col("fecha_captura")).alias("fecha_captura"), (F.col("id") % 4 == 3).alias("was_created"))
+    return history.append_changes(log, incoming).select("listing_id", "precio_clp_nuevo", "precio_clp_anterior", "fecha_captura")
 
 
 def w2_price_signals(spark, sf_dir):
@@ -276,3 +285,4 @@ def e14_portfolio(spark, sf_dir):
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "sacjpfwe" and name[1:2].isdigit()}
+QUERIES |= forms.QUERIES | jobs.QUERIES | judgements.QUERIES

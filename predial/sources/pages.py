@@ -6,10 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, last_number_or_slug, locale_number, normal_url, price_in_text, price_text
+from ..functions.extract import any_of, card_rooms, comuna_in_text, labelled_area, price_amounts, price_in_text
+from ..functions.text import clean_text, collapse, last_number_or_slug, locale_number, match_key, normal_url
+from ..operators.validation import card_title
 
 #: Texts of pages without results.
-EMPTY_PAGES = ("no se encontraron", "sin resultados", "no hay resultados", "error 404", "pagina no encontrada", "página no encontrada", "internal server error")
+EMPTY_PAGES = ("sin resultados", "no se encontraron resultados", "no encontramos resultados", "error", "err_internet_disconnected", "site cannot be reached", "no internet")
 CARDS = "page_id long, url string, link string, title string, price_text string, raw_text string"
 VOID = frozenset(("br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr"))
 #: Fields of a search result's attributes, in order of preference.
@@ -79,11 +81,9 @@ class _Tree(HTMLParser):
 
 
 def usable_page(html: Column) -> Column:
-    """At least 500 characters and none of the phrases of an empty page."""
-    low, out = F.lower(html), F.length(html) >= 500
-    for phrase in EMPTY_PAGES:
-        out &= ~F.contains(low, F.lit(phrase))
-    return out
+    """At least 500 characters, and none of the phrases of an empty page in the text outside tags."""
+    text = match_key(F.regexp_replace(html, r"(?s)<[^>]*>", " "))
+    return F.coalesce((F.length(F.trim(html)) >= 500) & ~any_of(text, EMPTY_PAGES), F.lit(False))
 
 
 def cards(pages: DataFrame, pattern: str = r"/[^?#]*\d") -> DataFrame:
@@ -110,14 +110,32 @@ def cards(pages: DataFrame, pattern: str = r"/[^?#]*\d") -> DataFrame:
     return found.withColumn("price_text", price_in_text(F.col("raw_text")))
 
 
-def card_rows(found: DataFrame) -> DataFrame:
-    """Cards as listing rows: one per link, prices read, with quality 'standard' or 'low' and its flags."""
-    clp, uf = price_text(F.col("price_text"))
+def card_rows(found: DataFrame, least_clp: int = 10_000_000) -> DataFrame:
+    """Cards as listing rows: the smallest card of each link, with price, area, commune and rooms read from its text.
+
+    Without title or sale price a card gives no row. Without an area it has the flag missing_m2 and quality 'low', and
+    stays only if title, link, price, commune and a number of rooms are there.
+    """
     once = F.row_number().over(Window.partitionBy("link").orderBy(F.length("raw_text"), "page_id"))
     rows = found.withColumn("link", normal_url(F.col("link"))).where("link is not null").withColumn("__n", once).where("__n = 1").drop("__n")
-    rows = rows.select("page_id", "link", clean_text(F.col("title")).alias("titulo"), clp.alias("precio_clp"), uf.alias("precio_uf"), "raw_text", last_number_or_slug(F.col("link")).alias("source_listing_id"))
-    flags = F.array_compact(F.array(F.when(F.col("titulo").isNull(), "no_title"), F.when(F.col("precio_clp").isNull() & F.col("precio_uf").isNull(), "no_price")))
-    return rows.withColumn("quality_flags", flags).withColumn("quality", F.when(F.size("quality_flags") > 0, "low").otherwise("standard"))
+    clp, uf = price_amounts(F.col("price_text"))
+    text = F.concat_ws(" ", "titulo", "raw_text")
+    rows = rows.select("page_id", "link", clean_text(F.col("title")).alias("titulo"), "price_text", clp.alias("precio_clp"), uf.alias("precio_uf"), collapse(F.col("raw_text")).alias("raw_text"), last_number_or_slug(F.col("link")).alias("source_listing_id"))
+    rows = rows.where("titulo is not null").where(F.coalesce(F.col("precio_uf") > 0, F.col("precio_clp") >= least_clp, F.lit(False)))
+    rows = rows.withColumns({"m2_construidos": labelled_area(text), "comuna": comuna_in_text(text)}).withColumn("__rooms", card_rooms(text))
+    rows = rows.select("*", "__rooms.*").drop("__rooms")
+    rows = rows.withColumn("quality_flags", F.array_compact(F.array(F.when(F.col("m2_construidos").isNull(), "missing_m2"))))
+    strong = card_title(F.col("titulo")) & F.col("comuna").isNotNull() & F.coalesce("dormitorios", "banos").isNotNull()
+    return rows.withColumn("quality", F.when(F.size("quality_flags") > 0, "low").otherwise("standard")).where((F.col("quality") == "standard") | strong)
+
+
+def fallback_rows(found: DataFrame, comuna: Column) -> DataFrame:
+    """Rows of a search page whose cards say too little: the first card of each link with any title and price; the commune is that of the request."""
+    once = F.row_number().over(Window.partitionBy("link").orderBy("page_id", F.length("raw_text")))
+    clp, uf = price_amounts(F.col("price_text"))
+    rows = found.withColumn("link", normal_url(F.col("link"))).where("link is not null").withColumn("__n", once).where("__n = 1")
+    rows = rows.select("page_id", "link", F.coalesce(clean_text(F.col("title")), F.substring(clean_text(F.col("raw_text")), 1, 80)).alias("titulo"), clp.alias("precio_clp"), uf.alias("precio_uf"), comuna.alias("comuna"), last_number_or_slug(F.col("link")).alias("source_listing_id"), "raw_text")
+    return rows.where("titulo is not null and (precio_clp is not null or precio_uf is not null)")
 
 
 def search_rows(results: DataFrame, column: str = "json") -> DataFrame:

@@ -34,6 +34,12 @@ def conform(df: DataFrame, schema: dict[str, str], exprs: dict[str, Column] | No
     return df.select(columns)
 
 
+def with_property(listings: DataFrame, properties: DataFrame) -> DataFrame:
+    """Every listing with its property as a struct, null where it has none."""
+    side = properties.select(F.col("id").alias("__pid"), F.struct("*").alias("property"))
+    return listings.join(side, F.col("property_id") == F.col("__pid"), "left").drop("__pid")
+
+
 def sample(df: DataFrame, defaults: dict[str, object], n: int = 10) -> DataFrame:
     """The first ``n`` active rows by id with the asked columns, absent ones replaced by their defaults."""
     active = df.where("status = 'active'") if "status" in df.columns else df

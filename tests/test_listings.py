@@ -31,13 +31,13 @@ def test_text_functions(spark):
 
 
 @pytest.mark.parametrize("raw, expected", [("depto 3d/2b/1e", (3, 2, 1)), ("2 dormitorios, 1 bano", (2, 1, None)), ("dormitorios: 4 banos: 2", (4, 2, None)), ("opcional 2 estacionamientos", (None, None, 2)), ("", (None, None, None)), (None, (None, None, None))])
-def test_rooms(raw, expected):
-    assert extract.rooms_of(raw)[:3] == expected
+def test_rooms(spark, raw, expected):
+    assert tuple(spark.range(1).select(extract.rooms(F.lit(raw).cast("string")).alias("r")).first().r)[:3] == expected
 
 
 @pytest.mark.parametrize("raw, expected", [("depto 75 m2", (75, "high")), ("superficie: 80 total", (80, "medium")), ("lindo 95 vista", (95, "low")), ("precio 95 uf", (None, "low")), ("ano 2001", (None, "low")), (None, (None, "low"))])
-def test_area(raw, expected):
-    assert extract.area_of(raw, raw) == expected
+def test_area(spark, raw, expected):
+    assert tuple(spark.range(1).select(extract.area(F.lit(raw).cast("string")).alias("a")).first().a) == expected
 
 
 def test_prices_and_quality(spark):
@@ -107,7 +107,8 @@ def test_valuation_of_equal_comparables(spark):
 def test_pages(spark):
     html = "<html><body><div><a href='/depto/123456'>Depto uno lindo con vista</a><p>UF 4.500 dos dormitorios amplios</p></div><div><a href='/depto/777777'>Otro</a><span>$ 98.000.000 en Macul cerca del metro</span></div></body></html>"
     rows = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")
-    got = {r.source_listing_id: r for r in pages.card_rows(pages.cards(rows)).collect()}
+    got = {r.source_listing_id: r for r in pages.fallback_rows(pages.cards(rows), F.lit("Macul")).collect()}
+    assert pages.card_rows(pages.cards(rows)).count() == 0  # neither has an area, a commune and rooms
     assert got["123456"].precio_uf == 4500.0 and got["777777"].precio_clp == 98_000_000 and set(got) == {"123456", "777777"}
     js = '{"results": [{"id": "MLC1", "title": "t", "price": 4000, "currency_id": "CLF", "permalink": "https://x.cl/a?b", "address": {"city_name": "Macul"}, "location": {"latitude": -33.1, "longitude": -70.2}, "attributes": [{"id": "BEDROOMS", "value_name": "3"}, {"id": "TOTAL_AREA", "value_struct": {"number": 81}}]}]}'
     item = pages.search_rows(spark.createDataFrame([(js,)], "json string")).first()
