@@ -76,4 +76,21 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {}
+#: Links of vectors, and the smallest id that each reaches.
+_VECTORS = """WITH RECURSIVE g AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+lk AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+rc(a, z) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT lk.a, rc.z FROM rc JOIN lk ON lk.b = rc.a),
+cm AS (SELECT a, min(z) AS z FROM rc GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM lk WHERE lk.a = vec_id) AS n_links, z AS component_id, vec_id = z AS kept FROM embeddings JOIN cm ON cm.a = vec_id"""
+#: Links of documents by their 4-word shingles, and the smallest id that each reaches.
+_DOCUMENTS = """WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+st AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM st),
+lk AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+rc(a, z) AS (SELECT doc_id, doc_id FROM documents UNION SELECT lk.a, rc.z FROM rc JOIN lk ON lk.b = rc.a),
+cm AS (SELECT a, min(z) AS z FROM rc GROUP BY a)
+SELECT doc_id, coalesce(len(s), 0) AS n_shingles, z AS component_id FROM st JOIN cm ON cm.a = doc_id"""
+ORACLES: dict[str, str] = {"op1_vector_near_duplicates": _VECTORS, "op7_jaccard_join": _DOCUMENTS}

@@ -4,16 +4,19 @@ Vectors of one label that are equal are one node. Nodes are put in the inverted
 what is left after the centroid is coded subspace by subspace. A node probes every list that can hold a vector within
 the radius (by its distance to the plane between the two centroids), compares itself there with codes by table lookup
 - widened by each coded vector's own coding error, so that no link is lost - and what remains is reranked by exact
-cosine. Centroids and codebooks are fitted on a bounded sample; every node is indexed.
+cosine. Centroids and codebooks are fitted on a bounded sample; every node is indexed. The number of lists grows with
+the square root of the nodes.
 
-Lists are cut into blocks, and a task compares one block of probing nodes with one block of listed ones. It gives
-counts and a spanning set of links, never the pairs.
+Lists that lie near each other form groups of about BLOCK nodes of a label. A node travels once to each group in which
+it probes a list, and a task compares a block of probing nodes with a block of a group, list by list. It gives counts
+and a spanning set of links, never the pairs.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected, spanning
 from .shared import write_table
@@ -21,9 +24,11 @@ from .shared import write_table
 SAMPLE = 20_000
 SUBSPACES = 8
 CODES = 64
-LISTED = 2_000
+#: Sampled vectors that a list is fitted on at least.
+PER_LIST = 8
 BLOCK = 1_500
 ROUNDS = 8
+CHUNK = 2_048
 
 
 def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -31,7 +36,7 @@ def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[np.sort(rng.choice(len(x), min(k, len(x)), replace=False))].copy()
     for _ in range(ROUNDS):
-        near = _squares(x, centres).argmin(axis=1)
+        near = _nearest(x, centres)
         count = np.bincount(near, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
@@ -44,20 +49,35 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(_squares(x[a : a + CHUNK], centres).argmin(axis=1) for a in range(0, len(x), CHUNK))])
+
+
+def _in_line(centres: np.ndarray) -> np.ndarray:
+    """Each centroid's place in an order that keeps near ones together: by centroids of the centroids."""
+    few = _means(centres, max(1, int(len(centres) ** 0.5)), 99)
+    of = _nearest(centres, few)
+    order = np.lexsort((_squares(centres, few)[np.arange(len(centres)), of], of))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place
+
+
 class Quantiser:
     """Coarse centroids and, for each subspace of the residuals, a codebook."""
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = _means(sample, lists, 1)
+        self.centres = self.centres[np.argsort(_in_line(self.centres))]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        rest = sample - self.centres[_squares(sample, self.centres).argmin(axis=1)]
+        rest = sample - self.centres[_nearest(sample, self.centres)]
         self.books = [_means(rest[:, cut], CODES, 2 + i) for i, cut in enumerate(self.cuts)]
         apart = np.sqrt(_squares(self.centres, self.centres))
         self.apart = np.where(apart > 0, apart, np.inf)
 
     def index(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and coding error of each vector."""
-        near = _squares(x, self.centres).argmin(axis=1)
+        near = _nearest(x, self.centres)
         rest = x - self.centres[near]
         codes = np.stack([_squares(rest[:, c], b).argmin(axis=1) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
         return near, codes, np.sqrt(((rest - self.decode(codes)) ** 2).sum(axis=1))
@@ -101,7 +121,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     repeated id is a row of its own; a null id has component null and is not kept.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "array<double>").alias("v"), F.col(label_col).alias("label"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda c: c != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -123,57 +143,79 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def count_lists(nodes: int, sampled: int) -> int:
+    return max(1, min(sampled // PER_LIST, int(2 * nodes**0.5)))
+
+
+def matches(quantiser: Quantiser, radius: float, threshold: float, x: np.ndarray, y: np.ndarray, which: np.ndarray, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j, compared): the pairs x[i], y[j] at the threshold, y being listed and coded, and how many pairs the codes were asked for."""
+    wide = quantiser.probes(x, radius)
+    reach = (radius + error + 1e-6) ** 2
+    found, compared = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for number in np.unique(which):
+        rows, columns = np.flatnonzero(wide[:, number]), np.flatnonzero(which == number)
+        compared += len(rows) * len(columns)
+        i, j = np.nonzero(quantiser.distances(x[rows], number, codes[columns]) <= reach[columns])
+        i, j = rows[i], columns[j]
+        exact = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+        found.append((i[exact], j[exact]))
+    i, j = (np.concatenate(part) for part in zip(*found))
+    return i, j, compared
+
+
 def _links(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
     """For nodes of one length: (a, null, links) with how many vectors node a links to, and (a, b, 0) spanning links."""
     spark = nodes.sparkSession
     sample = nodes.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow()
-    quantiser = Quantiser(_unit(_matrix(sample.column("v"))), max(1, min(len(sample) // 40, n // LISTED)))
+    quantiser = Quantiser(_unit(_matrix(sample.column("v"))), count_lists(n, len(sample)))
+    lists = len(quantiser.centres)
     shared = spark.sparkContext.broadcast(quantiser)
     radius = float(np.sqrt(2 - 2 * threshold))
+    label, vector = (nodes.schema[c].dataType.simpleString() for c in ("label", "v"))
 
     def listed(records):
         for record in records:
             which, codes, error = shared.value.index(_unit(_matrix(record.column("v"))))
             yield pa.RecordBatch.from_arrays([*record.columns, pa.array(which.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], [*record.schema.names, "list", "codes", "error"])
 
-    kind = nodes.schema["label"].dataType.simpleString()
-    index = nodes.select("label", "v", "copies", "node_key").mapInArrow(listed, f"label {kind}, v array<double>, copies long, node_key long, list int, codes binary, error double")
+    index = nodes.select("label", "v", "copies", "node_key").mapInArrow(listed, f"label {label}, v {vector}, copies long, node_key long, list int, codes binary, error double")
     index, _ = write_table(index, "index")
+    # A label's lists in as many stretches as its nodes fill blocks.
+    sizes, _ = write_table(index.groupBy("label").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(lists)).cast("int").alias("groups")), "groups")
+    placed = index.join(sizes, "label").withColumn("group", F.floor(F.col("list") * F.col("groups") / F.lit(lists)).cast("int"))
 
     def probing(records):
         for record in records:
             wide = shared.value.probes(_unit(_matrix(record.column("v"))), radius)
             row, which = np.nonzero(wide)
-            taken = record.select(["label", "v", "node_key"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(which.astype(np.int32))], [*taken.schema.names, "list"])
-
-    queries, _ = write_table(index.select("label", "v", "node_key").mapInArrow(probing, f"label {kind}, v array<double>, node_key long, list int"), "probes")
-    key = ["label", "list"]
-    blocks = index.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_listed"))
+            group = which * record.column("groups").to_numpy()[row].astype(np.int64) // lists
+            both = np.unique(row * np.int64(1 << 32) + group)
+            taken = record.select(["label", "v", "node_key"]).take(pa.array(both >> 32))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array((both & 0xFFFFFFFF).astype(np.int32))], [*taken.schema.names, "group"])
+
+    queries, _ = write_table(placed.select("label", "v", "node_key", "groups").mapInArrow(probing, f"label {label}, v {vector}, node_key long, group int"), "probes")
+    key = ["label", "group"]
+    blocks = placed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_listed"))
     blocks = blocks.join(queries.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_probing")), key)
     blocks, _ = write_table(blocks, "blocks")
     own = lambda n: F.pmod(F.xxhash64("node_key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    there = index.join(blocks, key).select("label", "list", "v", "node_key", "copies", "codes", "error", own("n_listed").alias("i"), every("n_probing").alias("j"))
-    asking = queries.join(blocks, key).select("label", "list", "v", "node_key", own("n_probing").alias("j"), every("n_listed").alias("i"))
+    there = placed.join(blocks, key).select(*key, "list", "v", "node_key", "copies", "codes", "error", own("n_listed").alias("i"), every("n_probing").alias("j"))
+    asking = queries.join(blocks, key).select(*key, "v", "node_key", own("n_probing").alias("j"), every("n_listed").alias("i"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            x, y = _unit(_matrix(left.column("v"))), _unit(_matrix(right.column("v")))
             a, b = left.column("node_key").to_numpy(), right.column("node_key").to_numpy()
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(b), -1)
-            reach = (radius + right.column("error").to_numpy() + 1e-6) ** 2
-            near = shared.value.distances(x, left.column("list")[0].as_py(), codes) <= reach
-            near &= a[:, None] != b
-            i, j = np.nonzero(near)
-            exact = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65536]], y[j[s : s + 65536]]) >= threshold for s in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-            i, j = i[exact], j[exact]
+            i, j, _ = matches(shared.value, radius, threshold, _unit(_matrix(left.column("v"))), _unit(_matrix(right.column("v"))), right.column("list").to_numpy(), codes, right.column("error").to_numpy())
+            other = a[i] != b[j]
+            i, j = i[other], j[other]
             links = np.bincount(i, right.column("copies").to_numpy()[j], len(a)).astype(np.int64)
             out = [(int(a[k]), None, int(links[k])) for k in np.flatnonzero(links).tolist()]
             out += [(p, q, 0) for p, q in spanning(a, b, i, j)]
         columns = list(zip(*out)) or [(), (), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b", "links"])
 
-    group = ["label", "list", "i", "j"]
-    return asking.groupBy(*group).cogroup(there.groupBy(*group)).applyInArrow(compare, "a long, b long, links long")
+    cell = [*key, "i", "j"]
+    return asking.groupBy(*cell).cogroup(there.groupBy(*cell)).applyInArrow(compare, "a long, b long, links long")

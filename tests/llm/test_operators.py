@@ -323,10 +323,22 @@ def test_quality_samples_by_weight(spark):
     assert scores.join(other, "doc_id").where(scores.gumbel_key == other.gumbel_key).count() == 0
 
 
-@pytest.mark.parametrize("block, listed", [(1500, 2000), (7, 10)])
+def test_vector_lists_prune_and_lose_nothing():
+    """Clustered vectors: all pairs at the threshold are found while the codes are asked for few of all pairs."""
+    rng = np.random.default_rng(5)
+    x = vectors._unit(rng.normal(size=(60, 32))[rng.integers(60, size=1500)] + rng.normal(size=(1500, 32)) * 0.06)
+    quantiser = vectors.Quantiser(x, vectors.count_lists(len(x), len(x)))
+    which, codes, error = quantiser.index(x)
+    i, j, compared = vectors.matches(quantiser, math.sqrt(2 - 2 * 0.98), 0.98, x, x, which, codes, error)
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(x @ x.T >= 0.98))))
+    assert len(quantiser.centres) > 50 and compared < 0.1 * len(x) ** 2
+    assert vectors.count_lists(500, 500) > 1 and vectors.count_lists(10**9, vectors.SAMPLE) > 2000
+
+
+@pytest.mark.parametrize("block, listed", [(1500, 8), (7, 2)])
 def test_vectors(monkeypatch, spark, block, listed):
     monkeypatch.setattr(vectors, "BLOCK", block)
-    monkeypatch.setattr(vectors, "LISTED", listed)
+    monkeypatch.setattr(vectors, "PER_LIST", listed)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(20, 8))
     rows = []
