@@ -33,7 +33,7 @@ def a8_percentiles(spark, sf_dir):
 def t1_best_comparables(spark, sf_dir):
     base = listings(spark, sf_dir)
     pairs = valuation.scored(valuation.candidates(base.where("status = 'active'"), base).where("same_segment and c_usable"))
-    return _round(valuation.top_rows(valuation.clustered(pairs)).select(F.col("t_id").alias("id"), "c_id", "score"))
+    return _round(valuation.top_rows(valuation.clustered(pairs)).select(F.col("t_id").alias("id"), "c_id", "score"), 6)
 
 
 def p7_distance_penalties(spark, sf_dir):
@@ -426,7 +426,7 @@ fd AS ({_DBF} UNION ALL SELECT 'benchmark', 'critical', 'benchmark_no_results',
 _PLAIN_TITLE = "upper(comuna[1]) || lower(comuna[2:])"
 ORACLES = {
     "a8_percentiles": _sql(f"SELECT comuna, " + ", ".join(f"round(quantile_cont(({ASK}) / m2_construidos, {p}), 2) AS p{int(100 * p)}" for p in (0.25, 0.5, 0.9)) + " FROM listings WHERE m2_construidos IS NOT NULL GROUP BY comuna"),
-    "t1_best_comparables": _sql("SELECT t_id AS id, c_id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY t_id ORDER BY score DESC, c_id) <= 10", f"{oracles.BASE}, {oracles.PAIRS.format(targets=chr(39).join(['status = ', 'active', '']))}, p1 AS (SELECT * FROM pairs WHERE same_segment AND usable), {oracles.SCORED.format(source='p1')}"),
+    "t1_best_comparables": _sql("SELECT t_id AS id, c_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY t_id ORDER BY score DESC, c_id) <= 10", f"{oracles.BASE}, {oracles.PAIRS.format(targets=chr(39).join(['status = ', 'active', '']))}, p1 AS (SELECT * FROM pairs WHERE same_segment AND usable), {oracles.SCORED.format(source='p1')}"),
     "p7_distance_penalties": _sql("SELECT id, round(CASE WHEN km IS NULL THEN 1 ELSE exp(-km / 2) * CASE WHEN km > 5 THEN 0.5 ELSE 1 END END, 6) AS penalty FROM (SELECT id, abs(lat + 33.45) * 111 AS km FROM listings)"),
     "p8_confidence_labels": "SELECT id, CASE WHEN s >= 0.75 AND n >= 8 THEN 'high' WHEN s >= 0.5 AND n >= 5 THEN 'medium' ELSE 'low' END AS label, CASE WHEN s >= 0.75 AND n >= 8 THEN 'medium' ELSE 'low' END AS lower, CASE WHEN n < 3 OR s * 100 >= 40 THEN 'low' WHEN n <= 5 THEN 'medium' WHEN s * 100 <= 20 THEN 'high' ELSE 'medium' END AS by_count, CASE WHEN s >= 0.85 THEN 'Alta' WHEN s >= 0.65 THEN 'Media' ELSE 'Baja' END AS band, CASE WHEN s * 100 > 75 THEN 'Alta confianza' WHEN s * 100 >= 50 THEN 'Confianza media' ELSE 'Baja confianza' END AS title, CASE WHEN s > 0.3 THEN 'Posible anomalía' WHEN s >= 0.2 THEN 'Descuento relevante' ELSE 'Descuento moderado' END AS badge FROM (SELECT p_partkey AS id, p_partkey % 101 / 100.0::DOUBLE AS s, p_size % 12 AS n FROM part)",
     "p10_opportunities": _sql("SELECT id, round(listing_price, 4) AS listing_price, round(undervaluation, 4) AS undervaluation, is_outlier, round(missing_fields_pct, 4) AS missing_fields_pct, round(missing_data_penalty, 4) AS missing_data_penalty, confidence_level, round(opportunity_score, 4) AS opportunity_score, investment_score, verdict, CASE WHEN investment_score >= 75 THEN '🟢 Alta oportunidad' WHEN investment_score >= 55 THEN '🟡 Revisar' ELSE '🔴 Riesgoso' END AS label, round(roi::DOUBLE, 4) AS roi, round(ranking, 4) AS ranking, round(price_drop_pct, 4) AS price_drop_pct, time_on_market_days, round(comparables_mean, 4) AS comparables_mean, round(comparables_min, 4) AS comparables_min, round(comparables_max, 4) AS comparables_max FROM opp", OPP),

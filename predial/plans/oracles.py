@@ -112,7 +112,7 @@ ORACLES = {
     "c37_size_classes": _sql(f"SELECT {SEGMENT.format(m='m2_construidos')} AS segment, CASE WHEN m2_construidos IS NULL THEN 'sin_dato' WHEN m2_construidos < 60 THEN 'pequeno' WHEN m2_construidos <= 100 THEN 'mediano' ELSE 'grande' END AS bucket, CASE WHEN m2_construidos IS NULL THEN 'sin_dato' WHEN m2_construidos < 50 THEN '<50' WHEN m2_construidos <= 100 THEN '50-100' ELSE '>100' END AS m2_range, count(*) AS n FROM listings GROUP BY 1, 2, 3"),
     "j1_comparable_candidates": _sql("SELECT t_id AS id, count(*) AS n, min(c_id) AS first_id, CAST(sum(c_id) AS BIGINT) AS sum_id FROM pairs WHERE same_segment AND usable GROUP BY 1", f"{BASE}, {PAIRS.format(targets=chr(39).join(['status = ', 'active', '']))}"),
     "j2_duplicate_pairs": _sql("SELECT a.id AS id, count(*) AS n, CAST(sum(b.id) AS BIGINT) AS sum_id FROM e a JOIN e b ON a.comuna = b.comuna AND a.id < b.id AND abs(a.m2_construidos - b.m2_construidos) <= greatest(a.m2_construidos, b.m2_construidos) * 0.10 AND abs(a.dormitorios - b.dormitorios) <= 1 AND abs(a.banos - b.banos) <= 1 AND coalesce(abs(a.estacionamientos - b.estacionamientos) <= 1, true) GROUP BY a.id", "e AS (SELECT * FROM listings WHERE status = 'active' AND m2_construidos > 0 AND dormitorios IS NOT NULL AND banos IS NOT NULL)"),
-    "p3_pair_scores": _sql("SELECT t_id AS id, c_id, round(score, 4) AS score, round(price_m2, 4) AS price_m2 FROM s", f"{BASE}, {PAIRS.format(targets='true')}, p1 AS (SELECT * FROM pairs WHERE same_segment AND usable), {SCORED.format(source='p1')}"),
+    "p3_pair_scores": _sql("SELECT t_id AS id, c_id, round(score, 6) AS score, round(price_m2, 4) AS price_m2 FROM s", f"{BASE}, {PAIRS.format(targets='true')}, p1 AS (SELECT * FROM pairs WHERE same_segment AND usable), {SCORED.format(source='p1')}"),
     "f3_issue_frequency": _sql("SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM u) GROUP BY issue ORDER BY n DESC, issue LIMIT 10", BASE),
     "f4_usable": _sql("SELECT id, usable, CAST(len(issues) AS INT) AS issues FROM u", BASE),
     "f6_invalid_status": _sql("SELECT CASE WHEN status = 'active' AND (NOT coalesce(m2_construidos BETWEEN 10 AND 1000, false) OR NOT (coalesce(precio_uf / m2_construidos BETWEEN 5 AND 300, false) OR coalesce(precio_clp / 37000.0 / m2_construidos BETWEEN 5 AND 300, false))) THEN 'invalid_data' ELSE status END AS status, count(*) AS n FROM listings GROUP BY 1"),
