@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, language, language_model, licenses, packing, quality, token_files, vectors
+from . import chat, decontamination, divergence, jaccard, language, language_model, licenses, manifest, packing, prefix_counts, quality, token_files, vectors
 from .shared import small_batches, write_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = prefix_counts.add_prefixes(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer()).drop("text")
+    stored, _ = write_table(counted, "prefixes", "uncompressed")
+    # What fits into 512 tokens comes from the stored counts: no text is encoded again.
+    return stored.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "n_chars", prefix_counts.longest_within(512).alias("chars_within_limit"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_vector_near_duplicates": op1_vector_near_duplicates,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -75,6 +90,9 @@ QUERIES = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_token_counts": op11_token_counts,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 #: Links of vectors, and the smallest id that each reaches.
 _VECTORS = """WITH RECURSIVE g AS (
