@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .shared import release, write_table
 
 FANOUT = 8
+#: Levels of a tree that one task builds in one round: groups of 8 ** 4 nodes.
 LEVELS = 4
-SPAN = FANOUT**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 PATH = "array<struct<left: string, right: string>>"
@@ -118,10 +118,10 @@ def parent(children: list[bytes]) -> tuple[Parent, bytes]:
     return Parent(states, children), state.hexdigest().encode()
 
 
-def build(nodes: list[bytes], whole: bool) -> tuple[list[list[Parent]], bytes]:
-    """The levels of parents over at most SPAN nodes, and the top: until one is left if the tree is whole, else LEVELS levels."""
-    levels = []
-    while len(nodes) > 1 if whole else len(levels) < LEVELS:
+def build(nodes: list[bytes], most: int | None) -> tuple[list[list[Parent]], bytes]:
+    """The levels of parents over one group's nodes, and the top: ``most`` levels, or until one node is left where None."""
+    levels: list[list[Parent]] = []
+    while len(nodes) > 1 if most is None else len(levels) < most:
         made = [parent(nodes[i : i + FANOUT]) for i in range(0, len(nodes), FANOUT)]
         levels.append([p for p, _ in made])
         nodes = [d for _, d in made]
@@ -138,54 +138,55 @@ def siblings(levels: list[list[Parent]], at: int) -> list[tuple[bytes, bytes]]:
     return path
 
 
-def _group(table: pa.Table, digest: str) -> tuple[pa.Table, list[list[Parent]], bytes]:
+def _group(table: pa.Table, digest: str, levels: int) -> tuple[pa.Table, list[list[Parent]], bytes]:
     table = table.sort_by("at")
-    return table, *build([d.encode() for d in table.column(digest).to_pylist()], table.column("size")[0].as_py() <= SPAN)
+    whole = table.column("size")[0].as_py() <= FANOUT**levels
+    return table, *build([d.encode() for d in table.column(digest).to_pylist()], None if whole else levels)
 
 
-def _span(at: str) -> Column:
-    return F.floor(F.col(at) / SPAN).alias("span")
+def _span(levels: int) -> Column:
+    return F.floor(F.col("at") / FANOUT**levels).alias("span")
 
 
-def rounds(nodes: DataFrame, most: int) -> list[DataFrame]:
+def rounds(nodes: DataFrame, most: int, levels: int = LEVELS) -> list[DataFrame]:
     """tree, at, digest, size of the nodes at the start of each round, up to the roots (the last); ``most``: the largest tree."""
 
     def top(table: pa.Table) -> pa.Table:
-        table, _, digest = _group(table, "digest")
-        size = table.column("size")[0].as_py()
-        return pa.table({"tree": table.column("tree").slice(0, 1), "at": pa.array([table.column("at")[0].as_py() // SPAN]), "digest": pa.array([digest.decode()]), "size": pa.array([-(-size // SPAN)])})
+        table, _, digest = _group(table, "digest", levels)
+        at, size = table.column("at")[0].as_py(), table.column("size")[0].as_py()
+        return pa.table({"tree": table.column("tree").slice(0, 1), "at": pa.array([at // FANOUT**levels]), "digest": pa.array([digest.decode()]), "size": pa.array([-(-size // FANOUT**levels)])})
 
     found = [nodes]
     while len(found) == 1 or most > 1:
-        groups = found[-1].groupBy("tree", _span("at")).applyInArrow(top, "tree string, at long, digest string, size long")
+        groups = found[-1].groupBy("tree", _span(levels)).applyInArrow(top, "tree string, at long, digest string, size long")
         found.append(write_table(groups, "tree-nodes")[0])
-        most = -(-most // SPAN)
+        most = -(-most // FANOUT**levels)
     return found
 
 
-def paths_down(found: list[DataFrame], top: DataFrame, to_leaves: bool) -> DataFrame:
+def paths_down(found: list[DataFrame], top: DataFrame, to_leaves: bool, levels: int = LEVELS) -> DataFrame:
     """tree, at, path (siblings level by level, up to the very top) of the nodes of the first round after the leaves, or of those.
 
     ``top`` has the paths of the trees' roots.
     """
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, levels, _ = _group(left, "digest")
+        left, parents, _ = _group(left, "digest", levels)
         above = right.column("path")[0].as_py()
-        paths = [[{"left": a.decode(), "right": b.decode()} for a, b in siblings(levels, i)] + above for i in range(left.num_rows)]
+        paths = [[{"left": a.decode(), "right": b.decode()} for a, b in siblings(parents, i)] + above for i in range(left.num_rows)]
         kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
         return pa.table({"tree": left.column("tree"), "at": left.column("at"), "path": pa.array(paths, kind)})
 
     for nodes in found[-2::-1] if to_leaves else found[-2:0:-1]:
-        top = nodes.groupBy("tree", _span("at")).cogroup(top.groupBy("tree", "at")).applyInArrow(one, f"tree string, at long, path {PATH}")
+        top = nodes.groupBy("tree", _span(levels)).cogroup(top.groupBy("tree", "at")).applyInArrow(one, f"tree string, at long, path {PATH}")
     return top
 
 
-def _folded(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The manifest's rows, from the leaves and, for each SPAN of them, path, subroot and root."""
+def _folded(rows: DataFrame, spans: DataFrame, levels: int) -> DataFrame:
+    """The manifest's rows, from the leaves and, for each group of them, path, subroot and root."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, levels, _ = _group(left, "leaf")
+        left, parents, _ = _group(left, "leaf", levels)
         above = [(x["left"].encode(), x["right"].encode()) for x in right.column("path")[0].as_py()]
         upper = [(hashlib.sha256(a), b) for a, b in above]
         rest = b"".join(a + b for a, b in above)
@@ -193,7 +194,7 @@ def _folded(rows: DataFrame, spans: DataFrame) -> DataFrame:
         leaf, proofs, folded = left.column("leaf").to_pylist(), [], []
         for i, digest in enumerate(c or d for c, d in zip(left.column("changed").to_pylist(), leaf)):
             digest, slot = digest.encode(), i
-            for level in levels:
+            for level in parents:
                 digest, slot = level[slot // FANOUT].fold(slot % FANOUT, digest), slot // FANOUT
             for before, after in upper:
                 state = before.copy()
@@ -201,16 +202,16 @@ def _folded(rows: DataFrame, spans: DataFrame) -> DataFrame:
                 state.update(after)
                 digest = state.hexdigest().encode()
             folded.append(digest.decode())
-            proofs.append(hashlib.sha256(b"".join(a + b for a, b in siblings(levels, i)) + rest).hexdigest())
+            proofs.append(hashlib.sha256(b"".join(a + b for a, b in siblings(parents, i)) + rest).hexdigest())
         n = len(leaf)
         data = [left.column("doc_id"), left.column("leaf"), pa.array([right.column("subroot")[0].as_py()] * n), pa.array([root] * n), pa.array(proofs), pa.array(folded), pa.array([f == root for f in folded])]
         return pa.table(data, ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
     schema = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return rows.groupBy("tree", _span("at")).cogroup(spans.groupBy("tree", "at")).applyInArrow(one, schema)
+    return rows.groupBy("tree", _span(levels)).cogroup(spans.groupBy("tree", "at")).applyInArrow(one, schema)
 
 
-def manifest(docs: DataFrame, divisor: int = 3) -> DataFrame:
+def manifest(docs: DataFrame, divisor: int = 3, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot (of its language), root (of all), proof_sha256, folded_root, verified; a row per row.
 
     Nulls are '-' in a leaf; null languages form a tree of their own, null ids come first in it. Rows of one id stand in
@@ -218,14 +219,14 @@ def manifest(docs: DataFrame, divisor: int = 3) -> DataFrame:
     leaf. An empty table gives an empty one. Other columns play no part.
     """
     rows = numbered(leaves(docs, divisor), ["doc_id", "leaf"], "leaves")
-    found = rounds(rows.select("tree", "at", F.col("leaf").alias("digest"), "size"), rows.agg(F.max("size")).first()[0] or 0)
+    found = rounds(rows.select("tree", "at", F.col("leaf").alias("digest"), "size"), rows.agg(F.max("size")).first()[0] or 0, levels)
     # Above the languages stands one tree of their roots.
     langs = numbered(found[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"], "language-roots")
-    above = rounds(langs.select("tree", "at", "digest", "size"), langs.count())
-    up = paths_down(above, above[-1].select("tree", "at", F.array().cast(PATH).alias("path")), True)
+    above = rounds(langs.select("tree", "at", "digest", "size"), langs.count(), levels)
+    up = paths_down(above, above[-1].select("tree", "at", F.array().cast(PATH).alias("path")), True, levels)
     tops = langs.join(up, ["tree", "at"]).select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("at"), "path", F.col("digest").alias("subroot"))
     tops, _ = write_table(tops.crossJoin(F.broadcast(above[-1].select(F.col("digest").alias("root")))), "language-paths")
-    spans = paths_down(found, tops.select("tree", "at", "path"), False).join(tops.select("tree", "subroot", "root"), "tree")
-    result, _ = write_table(_folded(rows, spans), "manifest")
+    spans = paths_down(found, tops.select("tree", "at", "path"), False, levels).join(tops.select("tree", "subroot", "root"), "tree")
+    result, _ = write_table(_folded(rows, spans, levels), "manifest")
     release(rows, langs, tops, *found[1:], *above[1:])
     return result
