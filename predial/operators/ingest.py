@@ -1,6 +1,6 @@
 """Merging a batch of cleaned listings into the snapshot, with the price log; table maintenance."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -11,6 +11,7 @@ from .components import checkpointed
 from .dedup import exact_links, mark_duplicates
 from .history import append_changes, initial_rows
 from .quality import expire, ingest_valid, mark_invalid
+from .resolve import resolve
 from .validation import validated
 from .valuation import area_bucket, area_buckets
 
@@ -19,22 +20,13 @@ KEPT_IF_EMPTY = ("titulo", "url", "link", "source_listing_id")
 
 
 def prepare(batch: DataFrame, source_kind: str = "scraper") -> DataFrame:
-    """Urls normalised, fingerprints added, rows without url, title, price or area dropped."""
-    urls = {c: normal_url(F.col(c)) for c in ("url", "link") if c in batch.columns}
-    ready = batch.withColumns(urls)
-    if "link" not in batch.columns:
-        ready = ready.withColumn("link", F.col("url"))
-    ready = ready.withColumn("link", F.coalesce("link", "url")).withColumn("url", F.coalesce("url", "link"))
-    return ready.where(ingest_valid(source_kind)).where("url is not null and titulo is not null").withColumn("property_fingerprint", fingerprint())
-
-
-def collapse(batch: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """One row per source and link, and per source and id: the last to arrive."""
-    for key in ("link", "source_listing_id"):
-        named = batch.where(F.col(key).isNotNull())
-        rank = F.row_number().over(Window.partitionBy("fuente", key).orderBy(F.desc(arrival)))
-        batch = named.withColumn("__rank", rank).where("__rank = 1").drop("__rank").unionByName(batch.where(F.col(key).isNull()))
-    return batch
+    """Urls normalised, rows without url, title, price or area dropped."""
+    raw = {c: F.col(c) if c in batch.columns else F.lit(None).cast("string") for c in ("url", "link")}
+    # Normalised once, as one column that is checkpointed: a filter on it would otherwise repeat the patterns.
+    urls = F.struct(*[normal_url(c).alias(name) for name, c in raw.items()])
+    ready = checkpointed(batch.where(ingest_valid(source_kind)).where("titulo is not null").withColumn("__urls", urls))
+    link, url = F.col("__urls.link"), F.col("__urls.url")
+    return ready.withColumns({"link": F.coalesce(link, url), "url": F.coalesce(url, link)}).drop("__urls").where("url is not null")
 
 
 def match_identity(batch: DataFrame, listings: DataFrame, others: bool = False) -> DataFrame:
@@ -88,23 +80,24 @@ def _rank_values(df: DataFrame) -> list[Column]:
 def upsert(listings: DataFrame, batch: DataFrame, as_of: str, cfg: Config = DEFAULT, keep_geocodes: bool = False, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, price log rows): matched listings are overwritten, the others inserted with new ids.
 
-    Area, rooms, coordinates and commune are overwritten even by null (keep_geocodes spares coordinates); title, urls
-    and source id only by something. Of several rows for one listing the last to arrive counts. With a history, nothing
-    is logged that its latest row says already.
+    Rows are merged in order of arrival, each finding what earlier ones left (see resolve()); a listing ends as its last
+    row has it. Area, rooms, coordinates and commune are overwritten even by null (keep_geocodes spares coordinates);
+    title, urls and source id only by something. The log has one row a listing, from before the batch to after it. With
+    a history, nothing is logged that its latest row says already.
     """
-    batch = checkpointed(collapse(prepare(batch)))
-    by_identity = match_identity(batch, listings).select("arrival", "id")
-    rest = batch.join(by_identity, "arrival", "left_anti")
-    matched = checkpointed(by_identity.unionByName(match_structure(rest, listings, cfg)))
-    joined = batch.join(matched.withColumnRenamed("id", "__id"), "arrival", "left")
-    updates = joined.where("__id is not null").withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy(F.desc("arrival")))).where("__rank = 1").drop("__rank")
-    fresh = joined.where("__id is null")
-    # New rows of one batch that share a fingerprint are one listing: the last to arrive.
-    fresh = fresh.withColumn("__fp", F.coalesce("property_fingerprint", F.concat(F.lit("row-"), F.col("arrival").cast("string"))))
-    fresh = fresh.withColumn("__rank", F.row_number().over(Window.partitionBy("__fp").orderBy(F.desc("arrival")))).where("__rank = 1").drop("__rank", "__fp")
+    batch = prepare(batch)
+    found = checkpointed(resolve(batch, listings, as_of, cfg, keep_geocodes)).withColumnRenamed("id", "__id")
+    kept = [c for c in (*KEPT_IF_EMPTY, *(("lat", "lon") if keep_geocodes else ())) if c in batch.columns]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(c) for c in kept]
+    last = F.max_by(F.struct(*[c for c in batch.columns if c not in (*kept, "id")]), "arrival").alias("__last")
+    rows = batch.join(found, "arrival").groupBy("__id", "origin").agg(last, *latest)
+    rows = checkpointed(rows.select("__id", "origin", *kept, *[F.col(f"__last.{c}").alias(c) for c in batch.columns if c not in (*kept, "id")]))
+    if "property_fingerprint" in listings.columns:
+        rows = rows.withColumn("property_fingerprint", fingerprint())
+    updates, fresh = rows.where("__id is not null"), rows.where("__id is null")
     top = listings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
     # Ids follow the arrival numbers, which are unique in a batch: no global ordering is needed.
-    fresh = fresh.crossJoin(F.broadcast(top)).withColumn("id", F.col("__top") + 1 + F.col("arrival")).drop("__top", "__id")
+    fresh = fresh.crossJoin(F.broadcast(top)).withColumn("id", F.col("__top") + 1 + F.col("origin")).drop("__top", "__id")
     stamp = {"fecha_captura": F.lit(as_of).cast("date"), "last_seen": F.lit(as_of).cast("timestamp")}
     new = {c: F.col(f"u.{c}") for c in TAKEN if c in batch.columns and not (keep_geocodes and c in ("lat", "lon"))}
     if keep_geocodes:

@@ -263,6 +263,22 @@ def e2_scraped_job(spark, sf_dir):
     return counts.unionByName(log.select(F.lit("logged").alias("status"), F.lit(False).alias("is_duplicate")).groupBy("status", "is_duplicate").agg(F.count("*").alias("n"))).unionByName(rejected.select(F.lit("rejected").alias("status"), F.lit(False).alias("is_duplicate")).groupBy("status", "is_duplicate").agg(F.count("*").alias("n")))
 
 
+def s7_batch_resolution(spark, sf_dir):
+    """Every listing of a known area as four rows of one batch, in a commune of its own: what they become together.
+
+    The second row is within a tenth of the first, the third of neither, the fourth of both and so of the later.
+    """
+    base = listings(spark, sf_dir).where("m2_construidos >= 20")
+    grown = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(g).alias("g")) for k, g in enumerate((1.0, 1.04, 1.2, 1.12))])
+    rows = base.select("*", F.explode(grown).alias("x")).withColumns({
+        "arrival": F.col("id") * 4 + F.col("x.k"), "comuna": F.concat(F.lit("zona "), F.col("id").cast("string")), "m2_construidos": F.col("m2_construidos") * F.col("x.g"), "dormitorios": F.coalesce("dormitorios", F.lit(2)), "banos": F.coalesce("banos", F.lit(1)),
+        "precio_clp": F.lit(90_000_000).cast("long") + F.col("x.k"), "source_listing_id": F.concat("source_listing_id", F.lit("-"), F.col("x.k").cast("string")), "url": F.concat(F.lit("https://x.cl/casa/"), F.col("id").cast("string"), F.lit("-"), F.col("x.k").cast("string"))})
+    none = _linked(spark, sf_dir).limit(0)
+    snapshot, log = ingest.upsert(none, rows.drop("id", "x"), AS_OF)
+    logged = log.select(F.col("listing_id").alias("id"), "precio_clp_anterior", "precio_clp_nuevo")
+    return snapshot.join(logged, "id", "left").select("id", "source_listing_id", F.round("m2_construidos", 6).alias("m2"), "precio_clp_anterior", "precio_clp_nuevo")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "sacjpfwe" and name[1:2].isdigit()}
 
 _PAGE = "pg AS (SELECT id, floor(id / 7) AS n, comuna, precio_clp, precio_uf, min(id) OVER (PARTITION BY comuna, floor(id / 7)) AS page_id FROM listings)"
@@ -272,6 +288,7 @@ _CARD = f"({_TITLE} || ' ' || {_PRICE} || ' ' || CASE WHEN id % 5 = 0 THEN '' EL
 _LINKED = f"ln AS (SELECT *, {LINK} AS link FROM listings)"
 _SCRAPED = f"sc AS (SELECT * EXCLUDE (url, fuente, comuna), CASE WHEN id % 11 > 0 THEN comuna END AS comuna, CASE WHEN id % 6 < 2 THEN 'yapo' WHEN id % 6 < 4 THEN 'portalinmobiliario' ELSE 'otra' END AS fuente, id % 6 AS k FROM listings)"
 ORACLES = {
+    "s7_batch_resolution": _sql("SELECT 1 + id * 4 + k AS id, source_listing_id || '-' || (k + 1) AS source_listing_id, round(m2_construidos * CASE k WHEN 0 THEN 1.04::DOUBLE ELSE 1.12::DOUBLE END, 6) AS m2, CAST(NULL AS BIGINT) AS precio_clp_anterior, CAST(90000001 + k AS BIGINT) AS precio_clp_nuevo FROM listings, (VALUES (0), (2)) t(k) WHERE m2_construidos >= 20"),
     "s1_listings_with_property": _sql("SELECT l.id, l.id % 1000 AS property_id, s_nationkey AS built FROM listings l LEFT JOIN supplier ON s_suppkey = l.id % 1000"),
     "s2b_evaluation_rows": _sql(f"SELECT id, round({ASK}, 4) AS ask_clp FROM listings WHERE status = 'active' AND m2_construidos > 0 AND (precio_clp IS NOT NULL OR precio_uf IS NOT NULL)"),
     "s3_ordered_log": _sql(f"SELECT listing_id, row_number() OVER (PARTITION BY listing_id ORDER BY {TIES}) AS step, fecha_captura, CASE WHEN precio_clp_nuevo > 0 THEN CAST(precio_clp_nuevo AS DOUBLE) END AS price FROM history"),
