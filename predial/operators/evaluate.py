@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.prices import ask_clp, benchmark_range, size_bucket
+from .components import checkpointed
 from .quality import representative
 from .valuation import _prices, best, candidates, clustered, confidence, level, market_values, percentile_of, scored, without_iqr_outliers
 
@@ -54,10 +55,10 @@ def held_out_predictions(rows: DataFrame, cfg: Config = DEFAULT, least: int = 5)
 
     A comparable may share neither url nor source id with the target, nor look like the same property.
     """
-    test, train = rows.where("held_out"), rows.where("not held_out")
-    pairs = candidates(test, train, cfg, by_rooms=False).where(F.col("t_comuna").isNotNull())
-    extra = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), identities(d).alias(f"{p}_urls"), F.col("fuente").alias(f"{p}_source"), F.col("source_listing_id").alias(f"{p}_sid"))
-    pairs = pairs.join(extra(test, "t"), "t_id").join(extra(train, "c"), "c_id")
+    # Identities travel on the two sides of the pair join, before it.
+    known = rows.withColumns({"urls": identities(rows), "source": F.col("fuente"), "sid": F.col("source_listing_id")})
+    test, train = known.where("held_out"), known.where("not held_out")
+    pairs = candidates(test, train, cfg, by_rooms=False, extra=("urls", "source", "sid")).where(F.col("t_comuna").isNotNull())
     no = lambda c: ~F.coalesce(c, F.lit(False))
     m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
     close = lambda c: F.abs(F.col(f"t_{c}") - F.col(f"c_{c}")) <= 1
@@ -100,7 +101,7 @@ def extremes(predictions: DataFrame, n: int = 10) -> DataFrame:
 def holdout(listings: DataFrame, cfg: Config = DEFAULT, fraction: float = 0.25, seed: int = 42) -> DataFrame:
     """Predictions in strict mode, or relaxed (three comparables) where strict evaluates under ten."""
     rows = split(evaluation_rows(listings), fraction, seed)
-    strict = held_out_predictions(rows, cfg, 5)
+    strict = checkpointed(held_out_predictions(rows, cfg, 5))
     if strict.where("skipped is null").limit(10).count() >= 10:
         return strict.withColumn("mode", F.lit("STRICT"))
     return held_out_predictions(rows, cfg, 3).withColumn("mode", F.lit("RELAXED"))

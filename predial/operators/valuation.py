@@ -1,14 +1,18 @@
 """Comparables: candidate pairs, scores, filters, weights and the value they give.
 
-Candidates are found by an equi-join on (commune, logarithmic area bucket): each target asks the few buckets that its
-area range spans, and the exact range is the residual condition. After the best ten per target are kept, every
-step is a window over a target's rows.
+Of a target's candidates only the nearest count. They are searched outward from its area among the candidates of its
+commune, sorted by area, in tasks of one commune and logarithmic area bucket. Where all candidates count, pairs come
+from an equi-join on the same keys, the exact range being the residual condition. After the best ten per target are
+kept, every step is a window over a target's rows.
 """
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions.geo import distance_score, haversine_km
@@ -38,16 +42,21 @@ def near_or_unknown(target: Column, other: Column) -> Column:
     return target.isNull() | other.isNull() | other.between(F.greatest(target - 1, F.lit(0)), target + 1)
 
 
-def candidates(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, ratio: float | None = None, by_comuna: bool = True, by_rooms: bool = True) -> DataFrame:
+def pool(listings: DataFrame, cfg: Config = DEFAULT, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates as c_*: active, representative, priced and of sane area."""
+    rows = listings.where((F.col("status") == "active") & sane_m2(F.col("m2_construidos"), cfg) & (F.col("precio_clp").isNotNull() | F.col("precio_uf").isNotNull())).where(representative(listings))
+    return rows.select(*[F.col(x).alias(f"c_{x}") for x in (*TARGET, *extra)], title_boost(F.col("titulo")).alias("c_boost"), ask_clp(cfg).alias("c_price"), usable(cfg).alias("c_usable"))
+
+
+def candidates(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, ratio: float | None = None, by_comuna: bool = True, by_rooms: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (t_* of the target, c_* of the candidate) in the area range, of the same or the next segment.
 
-    Candidates are active, representative, priced and of sane area. Targets without a commune take any (by_comuna
-    then leaves the commune out of the key).
+    Candidates are those of pool(). Targets without a commune take any (by_comuna then leaves the commune out of the
+    key). Columns named in ``extra`` travel on both sides.
     """
     ratio = cfg.m2_range if ratio is None else ratio
-    t = targets.where(sane_m2(F.col("m2_construidos"), cfg)).select(*[F.col(c).alias(f"t_{c}") for c in TARGET], F.explode(area_buckets(F.col("m2_construidos"), 1 - ratio, 1 + ratio, cfg.m2_range)).alias("bucket"))
-    pool = listings.where((F.col("status") == "active") & sane_m2(F.col("m2_construidos"), cfg) & (F.col("precio_clp").isNotNull() | F.col("precio_uf").isNotNull())).where(representative(listings))
-    c = pool.select(*[F.col(x).alias(f"c_{x}") for x in TARGET], title_boost(F.col("titulo")).alias("c_boost"), ask_clp(cfg).alias("c_price"), usable(cfg).alias("c_usable"), area_bucket(F.col("m2_construidos"), cfg.m2_range).alias("bucket"))
+    t = targets.where(sane_m2(F.col("m2_construidos"), cfg)).select(*[F.col(c).alias(f"t_{c}") for c in (*TARGET, *extra)], F.explode(area_buckets(F.col("m2_construidos"), 1 - ratio, 1 + ratio, cfg.m2_range)).alias("bucket"))
+    c = pool(listings, cfg, extra).withColumn("bucket", area_bucket(F.col("c_m2_construidos"), cfg.m2_range))
     m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
     same = (F.col("t_comuna") == F.col("c_comuna")) if by_comuna else F.lit(True)
     where = (t.bucket == c.bucket) & same & (F.col("t_id") != F.col("c_id")) & o.between(m * (1 - ratio), m * (1 + ratio)) & adjacent(segment(m), segment(o))
@@ -267,13 +276,100 @@ def level(pairs: DataFrame, cfg: Config, low_data: bool, least: int) -> DataFram
     return pairs.withColumn("__enough", enough(cfg, low_data, least)).where("__enough").drop("__enough")
 
 
+#: Targets of one commune and area bucket that one task searches for.
+CHUNK = 2_000
+_WINDOW = 512
+
+
+def _nearest(area: np.ndarray, place: np.ndarray, ids: np.ndarray, fits: np.ndarray, m: float, ratio: float, need: int) -> np.ndarray:
+    """The places of the ``need`` nearest fitting candidates of areas in order, by distance and id: outward from ``m``, in doubling windows."""
+    lo, hi = np.searchsorted(area, m * (1 - ratio), "left"), np.searchsorted(area, m * (1 + ratio), "right")
+    mid, width = np.searchsorted(area, m), _WINDOW
+    while True:
+        a, b = max(lo, mid - width), min(hi, mid + width)
+        # All that is nearer than the first one outside the window is inside.
+        reach = min(m - area[a - 1] if a > lo else np.inf, area[b] - m if b < hi else np.inf)
+        found = np.flatnonzero(fits[a:b]) + a
+        apart = np.abs(area[found] - m)
+        sure = apart < reach
+        if reach == np.inf or sure.sum() >= need:
+            found, apart = found[sure], apart[sure]
+            return place[found[np.lexsort((ids[found], apart))[:need]]]
+        width *= 2
+
+
+def nearest_pairs(t: pa.Table, c: pa.Table, ratio: float, cap: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(target, candidate, adjacent) of the chosen pairs, as row numbers of the two tables.
+
+    The nearest ``cap`` of a target's own segment; where under ``least`` of them are usable, the nearest of that and the
+    next, if more of those are. Targets of one area and like rooms share a search.
+    """
+    number = lambda table, name: table.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    area, ids = number(c, "c_m2_construidos"), c.column("c_id").to_numpy(zero_copy_only=False)
+    usable_, rooms = c.column("c_usable").fill_null(False).to_numpy(zero_copy_only=False).astype(bool), [number(c, f"c_{r}") for r in ROOMS]
+    order = np.lexsort((ids, area))
+    of = lambda m: 0 if m < 50 else 1 if m <= 100 else 2
+    cuts = np.searchsorted(area[order], [50.0, np.nextafter(100.0, 101.0)])
+    segments = [(p, area[p], ids[p], [r[p] for r in rooms]) for p in np.split(order, cuts)]
+    shapes: dict[tuple, list[int]] = {}
+    own = t.column("t_id").to_pylist()
+    for i, shape in enumerate(zip(*(t.column(f"t_{x}").to_pylist() for x in ("m2_construidos", *ROOMS)))):
+        shapes.setdefault(shape, []).append(i)
+    out: list[tuple[int, np.ndarray, bool]] = []
+    for (m, *wanted), members in shapes.items():
+        near = {}
+        for s in range(max(0, of(m) - 1), min(2, of(m) + 1) + 1):
+            place, areas, names, have = segments[s]
+            fits = np.ones(len(place), bool)
+            for want, values in zip(wanted, have):
+                if want is not None:
+                    fits &= np.isnan(values) | ((values >= max(want - 1, 0)) & (values <= want + 1))
+            near[s] = _nearest(areas, place, names, fits, m, ratio, cap + 1)
+        for i in members:
+            mine = near[of(m)]
+            mine = mine[ids[mine] != own[i]][:cap]
+            chosen = strict = mine[usable_[mine]]
+            if len(strict) < least:
+                both = np.concatenate([mine, *(near[s] for s in near if s != of(m))])
+                both = both[np.lexsort((ids[both], np.abs(area[both] - m)))[:cap]]
+                wide = both[usable_[both]]
+                chosen = wide if len(wide) > len(strict) else strict
+            out.append((i, chosen, len(strict) < least))
+    counts = [len(x) for _, x, _ in out]
+    return np.repeat([i for i, _, _ in out], counts), np.concatenate([x for _, x, _ in out]), np.repeat([x for _, _, x in out], counts)
+
+
 def _segmented(targets: DataFrame, listings: DataFrame, cfg: Config, least: int) -> DataFrame:
-    """Each target's candidates with their flags, and adjacent: whether the next segment was let in; usable ones of that choice."""
-    own = Window.partitionBy("t_id")
-    pairs = capped(candidates(targets, listings, cfg), cfg)
-    pairs = pairs.withColumn("__n1", F.count_if("strict").over(own)).withColumn("__n2", F.count_if("wide").over(own))
-    pairs = pairs.withColumn("adjacent", F.col("__n1") < least)
-    return pairs.where(F.when(F.col("adjacent") & (F.col("__n2") > F.col("__n1")), F.col("wide")).otherwise(F.col("strict"))).drop("__n1", "__n2")
+    """Each target's usable candidates: the nearest of its own segment, or with the next where those are too few (adjacent).
+
+    A task has the targets of a commune and area bucket, CHUNK at most, and the candidates that these can reach; of
+    candidates with equal area and rooms only as many as a target may take, so that equal listings cost nothing. Pairs
+    grow with targets times max_candidates, however many listings a commune has.
+    """
+    ratio, width = cfg.m2_range, cfg.m2_range
+    t = targets.where(sane_m2(F.col("m2_construidos"), cfg) & F.col("comuna").isNotNull()).select(*[F.col(c).alias(f"t_{c}") for c in TARGET]).withColumn("bucket", area_bucket(F.col("t_m2_construidos"), width))
+    first = F.row_number().over(Window.partitionBy("c_comuna", "c_m2_construidos", *[f"c_{r}" for r in ROOMS]).orderBy("c_id"))
+    c = pool(listings, cfg).withColumn("__first", first).where(F.col("__first") <= cfg.max_candidates + 1).drop("__first")
+    c = c.withColumn("bucket", F.explode(area_buckets(F.col("c_m2_construidos"), 1 / (1 + ratio), 1 / (1 - ratio), width)))
+    many = t.groupBy(F.col("t_comuna").alias("comuna"), "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    t = t.join(many.withColumnRenamed("comuna", "t_comuna"), ["t_comuna", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("t_id"), F.col("chunks")).cast("int"))
+    copies = many.select(F.col("comuna").alias("c_comuna"), F.col("bucket").alias("c_bucket"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c_chunk"))
+    c = c.withColumnRenamed("bucket", "c_bucket").join(copies, ["c_comuna", "c_bucket"])
+    sides = [[f"t_{x}" for x in TARGET], [*[f"c_{x}" for x in TARGET], "c_boost", "c_price", "c_usable"]]
+    schema = StructType([*[t.schema[x] for x in sides[0]], *[c.schema[x] for x in sides[1]], StructField("same_segment", BooleanType()), StructField("adjacent", BooleanType())])
+    cap = cfg.max_candidates
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.select(sides[0]), right.select(sides[1])
+        if not left.num_rows or not right.num_rows:
+            left, right, adjacent = left.slice(0, 0), right.slice(0, 0), np.zeros(0, bool)
+        else:
+            a, b, adjacent = nearest_pairs(left, right, ratio, cap, least)
+            left, right = left.take(pa.array(a, pa.int64())), right.take(pa.array(b, pa.int64()))
+        segments = [np.digitize(x.to_numpy(zero_copy_only=False), [50.0, np.nextafter(100.0, 101.0)]) for x in (left.column("t_m2_construidos"), right.column("c_m2_construidos"))]
+        return pa.table([*left.columns, *right.columns, pa.array(segments[0] == segments[1]), pa.array(adjacent, pa.bool_())], [*sides[0], *sides[1], "same_segment", "adjacent"])
+
+    return t.groupBy("t_comuna", "bucket", "chunk").cogroup(c.groupBy("c_comuna", "c_bucket", "c_chunk")).applyInArrow(one, schema)
 
 
 def _by_bedrooms(pairs: DataFrame, cfg: Config) -> DataFrame:
