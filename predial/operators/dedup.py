@@ -1,6 +1,9 @@
 """Property-level duplicates and link duplicates."""
 
+from collections import deque
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,14 @@ def shapes(listings: DataFrame) -> DataFrame:
     return eligible(listings).groupBy("comuna_key", *FIELDS).agg(F.min("id").alias("id"))
 
 
+def area_runs(areas: DataFrame, tolerance: float) -> DataFrame:
+    """comuna_key, m2_construidos and node: a hash of the run of areas, each within tolerance of the one before."""
+    ordered = Window.partitionBy("comuna_key").orderBy("m2_construidos")
+    apart = F.coalesce(F.lag("m2_construidos").over(ordered) < F.col("m2_construidos") * (1 - tolerance) * 0.999, F.lit(True))
+    runs = areas.withColumn("apart", apart.cast("int"))
+    return runs.select("comuna_key", "m2_construidos", F.xxhash64(F.lit("run"), "comuna_key", F.sum("apart").over(ordered)).alias("node"))
+
+
 def _with_component(base: DataFrame, cfg: Config) -> DataFrame:
     """Eligible rows with component, the smallest id of the rows that matches connect; found on the shapes."""
     shape = shapes(base)
@@ -60,40 +71,66 @@ def groups_by_components(listings: DataFrame, cfg: Config = DEFAULT) -> DataFram
     return _with_component(listings, cfg).select("id", F.col("component").alias("group"))
 
 
+class OpenGroups:
+    """The groups that the next row of a run, in order of area, can still join.
+
+    For each combination of rooms the members within tolerance of the last area, as a sliding-window minimum: a member
+    stays only while no later one is of an earlier group, so the first is of the earliest group there is.
+    """
+
+    def __init__(self, tolerance: float):
+        self.tolerance = tolerance
+        self.names: list[int] = []
+        self.cells: dict[tuple, dict] = {}
+
+    def place(self, area: float, rooms: int, baths: int, parking: int | None, name: int) -> int:
+        """The group of the next row: the first with a member that matches, else a new one of its own name."""
+        home = None
+        for d in (rooms - 1, rooms, rooms + 1):
+            for b in (baths - 1, baths, baths + 1):
+                for p, members in self.cells.get((d, b), {}).items():
+                    if p is not None and parking is not None and abs(p - parking) > 1:
+                        continue
+                    while members and area - members[0][0] > area * self.tolerance:
+                        members.popleft()
+                    if members and (home is None or members[0][1] < home):
+                        home = members[0][1]
+        if home is None:
+            home = len(self.names)
+            self.names.append(name)
+        mine = self.cells.setdefault((rooms, baths), {}).setdefault(parking, deque())
+        while mine and mine[-1][1] >= home:
+            mine.pop()
+        mine.append((area, home))
+        return self.names[home]
+
+
 def groups_greedy(listings: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(id, group): in order of area and id, a row joins the first group of its commune with a member that matches.
 
-    A group lies within one component, and order decides inside it, so a component's rows (id, area and rooms alone)
-    are one task's; there a group is kept as its distinct shapes, and a shape is looked up anew only after some group has
-    changed. Where a component outgrows a task, groups_by_components() is the way. group is the id of the first row.
+    group is the id of its first row. Order decides, so the rows of a run of areas (up to the next gap beyond tolerance)
+    pass one task one behind the other; it holds the members within tolerance of the last area that can still matter,
+    at most one a group and combination of rooms, and the groups' names, but no rows.
     """
     tolerance = cfg.duplicate_m2
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["m2_construidos", "id"])
-        names, turn = rows["id"].tolist(), 0
-        groups: list[tuple[int, set]] = []
-        known: dict[tuple, tuple[int, int]] = {}
-        out = []
-        for name, shape in zip(names, zip(*(rows[c].astype(float).where(rows[c].notna(), -9.0).tolist() for c in FIELDS))):
-            if known.get(shape, (-1, 0))[0] != turn:
-                home = next((i for i, (_, members) in enumerate(groups) if any(_alike(shape, m, tolerance) for m in members)), len(groups))
-                if home == len(groups):
-                    groups.append((name, set()))
-                if shape not in groups[home][1]:
-                    groups[home][1].add(shape)
-                    turn += 1
-                known[shape] = turn, home
-            out.append(groups[known[shape][1]][0])
-        return pd.DataFrame({"id": names, "group": out})
-
-    return _with_component(listings, cfg).select("id", "component", *FIELDS).groupBy("component").applyInPandas(assign, "id long, group long")
-
-
-def _alike(a: tuple, b: tuple, tolerance: float) -> bool:
-    """same_property() of two shapes in the order of FIELDS; unknown parking is negative."""
-    parking = a[3] < 0 or b[3] < 0 or abs(a[3] - b[3]) <= 1
-    return parking and abs(a[0] - b[0]) <= max(a[0], b[0]) * tolerance and abs(a[1] - b[1]) <= 1 and abs(a[2] - b[2]) <= 1
+    base = eligible(listings).select("comuna_key", "id", *FIELDS)
+    runs = area_runs(base.select("comuna_key", "m2_construidos").distinct(), tolerance)
+    placed = base.join(runs, ["comuna_key", "m2_construidos"])
+
+    def assign(batches):
+        run, open_groups = None, OpenGroups(tolerance)
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for node, area, name, *rooms in zip(*columns):
+                if node != run:
+                    run, open_groups = node, OpenGroups(tolerance)
+                out.append(open_groups.place(area, *rooms, name))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.int64())], ["id", "group"])
+
+    ordered = placed.select("node", F.col("m2_construidos").cast("double"), F.col("id").cast("long"), *FIELDS[1:])
+    ordered = ordered.repartition("node").sortWithinPartitions("node", "m2_construidos", "id")
+    return ordered.mapInArrow(assign, "id long, group long")
 
 
 def representative_rank(df: DataFrame) -> list[Column]:

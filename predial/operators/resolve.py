@@ -10,12 +10,13 @@ from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import comuna_key
 from .components import checkpointed, smallest_linked
+from .dedup import area_runs
 
 KEYS = ("link", "url", "source_listing_id")
 SHAPE = ("comuna_key", "dormitorios", "banos", "estacionamientos")
@@ -150,14 +151,6 @@ def _names(df: DataFrame) -> DataFrame:
     return df.select("kind", "n", F.explode(F.array_compact(F.array(*each))).alias("node"))
 
 
-def area_runs(areas: DataFrame, tolerance: float) -> DataFrame:
-    """comuna_key, m2_construidos and node: a hash of the run of areas, each within tolerance of the one before."""
-    ordered = Window.partitionBy("comuna_key").orderBy("m2_construidos")
-    apart = F.coalesce(F.lag("m2_construidos").over(ordered) < F.col("m2_construidos") * (1 - tolerance) * 0.999, F.lit(True))
-    runs = areas.withColumn("apart", apart.cast("int"))
-    return runs.select("comuna_key", "m2_construidos", F.xxhash64(F.lit("run"), "comuna_key", F.sum("apart").over(ordered)).alias("node"))
-
-
 def resolve(batch: DataFrame, listings: DataFrame, as_of: str, cfg: Config = DEFAULT, keep_geocodes: bool = False) -> DataFrame:
     """(arrival, id, origin) for each row of a prepared batch: the id of its listing, or the arrival of the row that makes a new one.
 
