@@ -236,7 +236,7 @@ def w10_batch_properties(spark, sf_dir):
 
 
 def w11_smallest_cards(spark, sf_dir):
-    found = pages.cards(_search_pages(spark, sf_dir), pattern=r"/bienes-raices/.*/\d{5,}")
+    found = pages.cards(_search_pages(spark, sf_dir), pattern=r"/bienes-raices/.*/\d{5,}", priced=False)
     return found.select((F.regexp_extract("link", r"(\d{5,})", 1).cast("bigint") - 100_000).alias("id"), "title", F.length("raw_text").alias("length"))
 
 
@@ -288,6 +288,7 @@ _CARD = f"({_TITLE} || ' ' || {_PRICE} || ' ' || CASE WHEN id % 5 = 0 THEN '' EL
 _LINKED = f"ln AS (SELECT *, {LINK} AS link FROM listings)"
 _SCRAPED = f"sc AS (SELECT * EXCLUDE (url, fuente, comuna), CASE WHEN id % 11 > 0 THEN comuna END AS comuna, CASE WHEN id % 6 < 2 THEN 'yapo' WHEN id % 6 < 4 THEN 'portalinmobiliario' ELSE 'otra' END AS fuente, id % 6 AS k FROM listings)"
 ORACLES = {
+    "c30_page_cards": "SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')) || '/bienes-raices/venta/' || (page_id * 2 + k + 100000) AS link, 'Departamento amplio y luminoso en Las Condes ' || (page_id * 2 + k) AS titulo, CAST(page_id * 2 + k + 3000 AS DOUBLE) AS precio_uf, 70.0::DOUBLE AS m2_construidos, 'Las Condes' AS comuna, 2 AS dormitorios, 1 AS banos, 'standard' AS quality, CAST(page_id * 2 + k + 100000 AS VARCHAR) AS source_listing_id FROM pages, (VALUES (0), (1)) t(k) WHERE url IS NOT NULL AND html IS NOT NULL",
     "s7_batch_resolution": _sql("SELECT 1 + id * 4 + k AS id, source_listing_id || '-' || (k + 1) AS source_listing_id, round(m2_construidos * CASE k WHEN 0 THEN 1.04::DOUBLE ELSE 1.12::DOUBLE END, 6) AS m2, CAST(NULL AS BIGINT) AS precio_clp_anterior, CAST(90000001 + k AS BIGINT) AS precio_clp_nuevo FROM listings, (VALUES (0), (2)) t(k) WHERE m2_construidos >= 20"),
     "s1_listings_with_property": _sql("SELECT l.id, l.id % 1000 AS property_id, s_nationkey AS built FROM listings l LEFT JOIN supplier ON s_suppkey = l.id % 1000"),
     "s2b_evaluation_rows": _sql(f"SELECT id, round({ASK}, 4) AS ask_clp FROM listings WHERE status = 'active' AND m2_construidos > 0 AND (precio_clp IS NOT NULL OR precio_uf IS NOT NULL)"),

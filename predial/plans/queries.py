@@ -66,7 +66,18 @@ def c21_fingerprints(spark, sf_dir):
 
 
 def c30_page_cards(spark, sf_dir):
-    return page_source.card_rows(page_source.cards(table(spark, sf_dir, "pages"), pattern=r".")).select("page_id", "link", "quality", "source_listing_id")
+    """The crawled pages with two listings each put into their bodies: links relative, prices beside the title's box, titles of over 35 characters."""
+    card = "<section class='adListing-card'><div class='inner'><a href='/bienes-raices/venta/{}/?from=x'><h2>Departamento amplio y luminoso en Las Condes {}</h2></a></div><span>UF {}</span><p>70 m2 2 dormitorios 1 baño</p></section>"
+    two = F.concat(*[F.concat(F.lit("<div class='AdCard'>"), *[F.coalesce((F.col("page_id") * 2 + k + {0: 100_000, 1: 0, 2: 3000}[i]).cast("string"), F.lit("")) if part is None else F.lit(part) for i, part in _interleaved(card)], F.lit("</div>")) for k in (0, 1)])
+    pages = table(spark, sf_dir, "pages").where("url is not null and html is not null").withColumn("html", F.concat(F.regexp_replace("html", "(?i)</body>.*", ""), two, F.lit("</body></html>")))
+    rows = page_source.card_rows(page_source.cards(pages, pattern=r"/bienes-raices/.*/\d{5,}"))
+    return rows.select("link", "titulo", "precio_uf", "m2_construidos", "comuna", "dormitorios", "banos", "quality", "source_listing_id")
+
+
+def _interleaved(text: str) -> list[tuple[int, str | None]]:
+    """The parts of a text between its '{}', with (number, None) for each of those."""
+    parts = text.split("{}")
+    return [x for i, part in enumerate(parts) for x in ([(i, part)] if i == len(parts) - 1 else [(i, part), (i, None)])]
 
 
 def c32_usable_pages(spark, sf_dir):

@@ -1,12 +1,14 @@
 """Listing pages and search results as sources of listing rows."""
 
+import re
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.extract import any_of, card_rooms, comuna_in_text, labelled_area, price_amounts, price_in_text
+from ..functions.extract import PRICES, any_of, card_rooms, comuna_in_text, labelled_area, price_amounts, price_in_text
 from ..functions.text import clean_text, collapse, last_number_or_slug, locale_number, match_key, normal_url
 from ..operators.validation import card_title
 
@@ -14,25 +16,34 @@ from ..operators.validation import card_title
 EMPTY_PAGES = ("sin resultados", "no se encontraron resultados", "no encontramos resultados", "error", "err_internet_disconnected", "site cannot be reached", "no internet")
 CARDS = "page_id long, url string, link string, title string, price_text string, raw_text string"
 VOID = frozenset(("br", "img", "input", "meta", "link", "hr", "area", "base", "col", "embed", "source", "track", "wbr"))
+#: Elements that are cards, and titles inside one, by (tag, attribute, part of its value), the first first.
+CARD_SELECTORS = (
+    ("", "data-testid", "ad"), ("", "data-testid", "listing"), ("", "data-testid", "Listing"), ("", "class", "AdCard"), ("", "class", "ad-card"), ("", "class", "ui-search-result"), ("", "class", "ui-search-layout__item"),
+    ("article", "", ""), ("li", "", ""), ("li", "class", "listing"), ("li", "class", "Listing"), ("div", "class", "listing"), ("div", "class", "Listing"), ("div", "class", "card"), ("div", "class", "Card"),
+)
+TITLE_SELECTORS = (("h1", "", ""), ("h2", "", ""), ("h3", "", ""), ("", "class", "title"), ("", "class", "Title"))
+_PRICED = tuple(re.compile(pattern, re.ASCII) for pattern, _ in PRICES)
 #: Fields of a search result's attributes, in order of preference.
 ATTRIBUTES = {"m2_construidos": ("COVERED_AREA", "TOTAL_AREA"), "dormitorios": ("BEDROOMS", "ROOMS"), "banos": ("FULL_BATHROOMS", "BATHROOMS"), "estacionamientos": ("PARKING_LOTS",)}
 ITEM = "id:string,title:string,price:double,currency_id:string,permalink:string,address:struct<city_name:string>,location:struct<latitude:double,longitude:double>,attributes:array<struct<id:string,value_name:string,value_struct:struct<number:double>>>"
 
 
 class _Tree(HTMLParser):
-    """The elements of a page as (parent, links, text) with their positions in one text."""
+    """The elements of a page (parent, tag, class and test id) with their positions in one text, and its links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parents, self.spans, self.links, self.text, self.size = [-1], [[0, 0]], [], [], 0
+        self.names: list[tuple[str, dict]] = [("#", {})]
         self.open, self.tags, self.muted = [0], ["#"], 0
 
     def handle_starttag(self, tag, attrs):
         self.parents.append(self.open[-1])
         self.spans.append([self.size, self.size])
+        self.names.append((tag, attrs := dict(attrs)))
         node = len(self.parents) - 1
-        if tag == "a" and (href := dict(attrs).get("href")):
-            self.links.append((node, href))
+        if tag == "a" and attrs.get("href"):
+            self.links.append((node, attrs["href"]))
         if tag not in VOID:
             self.open.append(node)
             self.tags.append(tag)
@@ -53,31 +64,72 @@ class _Tree(HTMLParser):
             self.text.append(data)
             self.size += len(data) + 1
 
-    def cards(self, is_listing, least: int = 35, most: int = 2500):
-        """(href, title, text) per listing link: the smallest container of 35 to 2,500 characters with at most two of them."""
+    def matches(self, node: int, selector: tuple[str, str, str]) -> bool:
+        tag, attribute, part = selector
+        own, attrs = self.names[node]
+        return tag in ("", own) and (not attribute or part in (attrs.get(attribute) or ""))
+
+    def cards(self, is_listing, url: str | None, priced: bool):
+        """(link, title, text) per listing link, links absolute.
+
+        The smallest element among those that CARD_SELECTORS choose, of 35 to 2,500 characters with a price and one or
+        two listings, stands for its first listing. Where a page has none, each listing link with a price in its own
+        text or in that of the nearest element around it, of at most 1,500 characters and inside the body.
+        """
         self.close()
         for node in self.open:
             self.spans[node][1] = self.size
         whole = " ".join(self.text) + " "
-        links = [(n, h) for n, h in self.links if is_listing(h)]
-        inside: dict[int, set] = {}
-        for node, href in links:
+        of = lambda node: whole[slice(*self.spans[node])].strip()
+        links = [(n, urljoin(url or "", h)) for n, h in self.links if is_listing(h)]
+        inside: dict[int, list] = {}
+        for node, link in links:
             while node >= 0:
-                inside.setdefault(node, set()).add(href)
+                inside.setdefault(node, []).append(link)
                 node = self.parents[node]
+        anchors = {link: node for node, link in reversed(links)}
         best: dict[str, tuple] = {}
-        for anchor, href in links:
-            node, title = anchor, whole[slice(*self.spans[anchor])].strip()
-            while node >= 0:
-                a, b = self.spans[node]
-                if least <= b - a <= most and len(inside[node]) <= 2:
-                    card = (b - a, title, whole[a:b].strip())
-                    if href not in best or card[0] < best[href][0]:
-                        best[href] = card
+        for node in sorted(inside):
+            a, b = self.spans[node]
+            if not 35 <= b - 1 - a <= 2500 or len({bare(h) for h in inside[node]}) > 2:
+                continue
+            rank = next((i for i, x in enumerate(CARD_SELECTORS) if self.matches(node, x)), None)
+            link = inside[node][0]
+            if rank is not None and (has_price(text := of(node)) or not priced) and (link not in best or (len(text), rank) < best[link][:2]):
+                best[link] = (len(text), rank, self.title(node) or of(anchors[link]), text)
+        if best:
+            return [(link, title, text) for link, (*_, title, text) in best.items()]
+        found = {}
+        for node, link in links:
+            around, text = self.parents[node], of(node)
+            while around > 0 and self.names[around][0] not in ("main", "body", "html"):
+                if of(around) and len(of(around)) <= 1500:
+                    text = f"{text} {of(around)}".strip()
                     break
-                node = self.parents[node]
-            best.setdefault(href, (0, title, title))
-        return [(href, title, text) for href, (_, title, text) in best.items()]
+                around = self.parents[around]
+            if bare(link) not in found and (has_price(text) or not priced):
+                found[bare(link)] = (link, self.title(node) or of(node), text)
+        return list(found.values())
+
+    def title(self, node: int) -> str | None:
+        """The first heading or title inside an element, by TITLE_SELECTORS."""
+        for selector in TITLE_SELECTORS:
+            for other in range(node, len(self.parents)):
+                a, b = self.spans[other]
+                if a >= self.spans[node][1] > self.spans[node][0]:
+                    break
+                if b > a and b <= self.spans[node][1] and self.matches(other, selector) and other != node:
+                    return " ".join(self.text)[a:b].strip()
+        return None
+
+
+def bare(link: str) -> str:
+    """A link without query, fragment and last slashes, to tell links apart."""
+    return re.split(r"[?#]", link)[0].rstrip("/").lower()
+
+
+def has_price(text: str) -> bool:
+    return any(p.search(text) for p in _PRICED)
 
 
 def usable_page(html: Column) -> Column:
@@ -86,13 +138,12 @@ def usable_page(html: Column) -> Column:
     return F.coalesce((F.length(F.trim(html)) >= 500) & ~any_of(text, EMPTY_PAGES), F.lit(False))
 
 
-def cards(pages: DataFrame, pattern: str = r"/[^?#]*\d") -> DataFrame:
-    """A row per listing link of each page: the link, its title, the price text and the card's text.
+def cards(pages: DataFrame, pattern: str = r"/[^?#]*\d", priced: bool = True) -> DataFrame:
+    """A row per listing link of each page, if ``priced`` only of those that show a price: the link, its title, the price text and the card's text.
 
-    ``pattern`` says which links are listings. A null or broken page gives no row.
+    ``pattern`` says which links are listings; relative ones are resolved against the page's url. A null or broken page
+    gives no row.
     """
-    import re
-
     wanted = re.compile(pattern)
 
     def parse(batches):
@@ -101,7 +152,7 @@ def cards(pages: DataFrame, pattern: str = r"/[^?#]*\d") -> DataFrame:
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 tree = _Tree()
                 tree.feed(html or "")
-                out += [(page, url, href, title, None, text) for href, title, text in tree.cards(lambda h: bool(wanted.search(h)))]
+                out += [(page, url, href, title, None, text) for href, title, text in tree.cards(lambda h: bool(wanted.search(h)), url, priced)]
             if out:
                 names = [f.split()[0] for f in CARDS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(zip(*out))], names)

@@ -115,6 +115,21 @@ def test_pages(spark):
     assert (item.precio_uf, item.dormitorios, item.m2_construidos, item.comuna, item.link) == (4000.0, 3, 81.0, "Macul", "https://x.cl/a")
 
 
+def test_cards_hold_a_price_and_links_a_host(spark):
+    """The container with the price counts, not a title's box of 35 characters; relative links get the page's host."""
+    card = "<div class=card><div class='card-title'><a href='/bienes-raices/venta/12345678'><h2>Departamento amplio y luminoso en Las Condes</h2></a></div><span>UF 5.000</span><p>70 m2 2 dormitorios</p></div>"
+    chosen = "<ul><li><article data-testid='ad-1'><a href='/bienes-raices/venta/22222222'>Casa</a> <b>$ 99.000.000</b> con patio y 3 dormitorios, 90 m2 en Macul</article></li></ul>"
+    plain = "<main><section><a href='/bienes-raices/venta/33333333'>Piso</a> <i>UF 3.000</i></section><a href='/bienes-raices/venta/44444444'>Sin precio</a></main>"
+    pages_ = spark.createDataFrame([(1, "https://www.Yapo.cl/busca?x=1", card + chosen), (2, "https://www.yapo.cl/b", plain), (3, None, card)], "page_id long, url string, html string")
+    got = {(r.page_id, r.source_listing_id): r for r in pages.fallback_rows(pages.cards(pages_), F.lit("x")).collect()}
+    assert set(got) == {(1, "12345678"), (1, "22222222"), (2, "33333333"), (3, "12345678")}
+    assert got[1, "12345678"].link == "https://www.yapo.cl/bienes-raices/venta/12345678" and got[1, "12345678"].precio_uf == 5000.0
+    assert got[1, "12345678"].titulo == "Departamento amplio y luminoso en Las Condes" and got[1, "22222222"].precio_clp == 99_000_000
+    assert got[2, "33333333"].raw_text == "Piso Piso UF 3.000" and got[3, "12345678"].link == "/bienes-raices/venta/12345678"
+    row = pages.card_rows(pages.cards(pages_.where("page_id = 1"))).where("source_listing_id = '12345678'").first()
+    assert (row.precio_uf, row.m2_construidos, row.comuna, row.dormitorios) == (5000.0, 70.0, "Las Condes", 2)
+
+
 def test_conform(spark):
     row = conform(spark.createDataFrame([(1, "9")], "id int, precio_clp string"), LISTING).first()
     assert (row.id, row.precio_clp, row.status, row.is_duplicate, row.comuna) == (1, 9, "active", False, None)
