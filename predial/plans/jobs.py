@@ -279,6 +279,40 @@ def s7_batch_resolution(spark, sf_dir):
     return snapshot.join(logged, "id", "left").select("id", "source_listing_id", F.round("m2_construidos", 6).alias("m2"), "precio_clp_anterior", "precio_clp_nuevo")
 
 
+def _batches(spark, sf_dir):
+    """The listings with links of their own, and three scraped batches of them: those of ids with a rest of 1, 2 and 3 or more by 4, and of every batch the later."""
+    base = listings(spark, sf_dir).withColumn("url", F.concat(F.lit("https://x.cl/casa/"), F.col("id").cast("string"))).withColumn("link", F.col("url"))
+    rows = [base.where(F.col("id") % 4 >= k).withColumns({"arrival": F.col("id"), "precio_clp": F.lit(100_000_000 + 1_000_000 * k).cast("bigint") + F.col("id"), "precio_uf": F.lit(None).cast("double")}) for k in (1, 2, 3)]
+    return base, rows
+
+
+def e2_streamed(spark, sf_dir):
+    """Three scraped batches as a stream of files, an epoch each, merged into versions of a store; unseen listings expire at the end."""
+    from ..sources.store import Store
+    from ..streaming.ingest import stream_into
+
+    base, batches = _batches(spark, sf_dir)
+    store = Store.scratch(spark)
+    none = spark.createDataFrame([], "listing_id long, precio_clp_anterior long, precio_uf_anterior double, precio_clp_nuevo long, precio_uf_nuevo double, fecha_captura date")
+    store.write({"listings": base, "log": none})
+    schema = batches[0].drop("id").schema
+    for rows in batches:
+        rows.drop("id").repartition(4, "arrival").write.mode("append").parquet(f"{store.root}/arrived")
+    stream_into(store, f"{store.root}/arrived", schema, AS_OF, 4, f"{store.root}/stream")
+    logged = store.read("log").groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("log_rows"))
+    store.clean(1)
+    return store.read("listings").join(logged, "id", "left").select("id", "status", "precio_clp", F.coalesce("log_rows", F.lit(0)).alias("log_rows"))
+
+
+def s13_rates_in_time(spark, sf_dir):
+    """The rate known at the time of each log row: quotes come now and then, from orders, some of them void."""
+    from ..operators.rates import rates_in_time
+
+    log = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + F.col("l_partkey") % 1440 * 60).alias("seen"))
+    quotes = table(spark, sf_dir, "orders").where("o_orderkey % 16 = 1 and year(o_orderdate) > 1992").select(F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 1440 * 60).alias("ts"), F.when(F.col("o_orderkey") % 3 > 0, 36_000.0 + F.col("o_orderkey") % 1500).alias("valor"))
+    return rates_in_time(log, quotes, "seen").select("order", "line", "rate", "rate_source", F.round("rate_age_hours", 4).alias("rate_age_hours"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and name[0] in "sacjpfwe" and name[1:2].isdigit()}
 
 _PAGE = "pg AS (SELECT id, floor(id / 7) AS n, comuna, precio_clp, precio_uf, min(id) OVER (PARTITION BY comuna, floor(id / 7)) AS page_id FROM listings)"
@@ -288,6 +322,8 @@ _CARD = f"({_TITLE} || ' ' || {_PRICE} || ' ' || CASE WHEN id % 5 = 0 THEN '' EL
 _LINKED = f"ln AS (SELECT *, {LINK} AS link FROM listings)"
 _SCRAPED = f"sc AS (SELECT * EXCLUDE (url, fuente, comuna), CASE WHEN id % 11 > 0 THEN comuna END AS comuna, CASE WHEN id % 6 < 2 THEN 'yapo' WHEN id % 6 < 4 THEN 'portalinmobiliario' ELSE 'otra' END AS fuente, id % 6 AS k FROM listings)"
 ORACLES = {
+    "e2_streamed": _sql("SELECT id, CASE WHEN seen THEN 'active' WHEN status = 'active' AND last_seen < DATE '2001-11-24' THEN 'inactive' ELSE status END AS status, CASE WHEN seen THEN 100000000 + 1000000 * (id % 4) + id ELSE precio_clp END AS precio_clp, CASE WHEN seen THEN id % 4 ELSE 0 END AS log_rows FROM (SELECT *, m2_construidos > 0 AND id % 4 > 0 AS seen FROM (SELECT * REPLACE (coalesce(m2_construidos, 0) AS m2_construidos) FROM listings))"),
+    "s13_rates_in_time": "WITH l AS (SELECT l_orderkey AS \"order\", l_linenumber AS line, CAST(l_shipdate AS TIMESTAMP) + to_minutes(CAST(l_partkey % 1440 AS INT)) AS seen FROM lineitem), q AS (SELECT CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_custkey % 1440 AS INT)) AS ts, max(36000.0::DOUBLE + o_orderkey % 1500) AS valor FROM orders WHERE o_orderkey % 16 = 1 AND year(o_orderdate) > 1992 AND o_orderkey % 3 > 0 GROUP BY 1) SELECT \"order\", line, coalesce(valor, 37000.0::DOUBLE) AS rate, CASE WHEN ts IS NULL THEN 'fixed' WHEN seen - ts <= INTERVAL 12 HOURS THEN 'live' ELSE 'cached' END AS rate_source, round(epoch(seen - ts) / 3600.0::DOUBLE, 4) AS rate_age_hours FROM l ASOF LEFT JOIN q ON l.seen >= q.ts",
     "c30_page_cards": "SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')) || '/bienes-raices/venta/' || (page_id * 2 + k + 100000) AS link, 'Departamento amplio y luminoso en Las Condes ' || (page_id * 2 + k) AS titulo, CAST(page_id * 2 + k + 3000 AS DOUBLE) AS precio_uf, 70.0::DOUBLE AS m2_construidos, 'Las Condes' AS comuna, 2 AS dormitorios, 1 AS banos, 'standard' AS quality, CAST(page_id * 2 + k + 100000 AS VARCHAR) AS source_listing_id FROM pages, (VALUES (0), (1)) t(k) WHERE url IS NOT NULL AND html IS NOT NULL",
     "s7_batch_resolution": _sql("SELECT 1 + id * 4 + k AS id, source_listing_id || '-' || (k + 1) AS source_listing_id, round(m2_construidos * CASE k WHEN 0 THEN 1.04::DOUBLE ELSE 1.12::DOUBLE END, 6) AS m2, CAST(NULL AS BIGINT) AS precio_clp_anterior, CAST(90000001 + k AS BIGINT) AS precio_clp_nuevo FROM listings, (VALUES (0), (2)) t(k) WHERE m2_construidos >= 20"),
     "s1_listings_with_property": _sql("SELECT l.id, l.id % 1000 AS property_id, s_nationkey AS built FROM listings l LEFT JOIN supplier ON s_suppkey = l.id % 1000"),
