@@ -116,6 +116,29 @@ def benchmark(listings: DataFrame, cfg: Config = DEFAULT, n: int = 100, seed: in
     return base.select("id", "comuna", benchmark_range(F.col("m2_construidos")).alias("m2_range"), "actual_price", "estimated_price", "comparable_count", error.alias("absolute_error"), (error / F.col("actual_price")).alias("percentage_error"), F.when(F.col("estimated_price").isNull(), "no_estimate").alias("skipped"))
 
 
+def repeated_benchmark(listings: DataFrame, cfg: Config = DEFAULT, n: int = 100, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+    """The benchmark() of each seed as a run: run, id, actual_price, estimated_price, percentage_error, skipped.
+
+    The samples of all runs are dealt by one ranked limit, their listings valued once, and the values dealt back.
+    """
+    rows = evaluation_rows(listings).where("comuna is not null")
+    order = F.md5(F.concat(F.col("run").cast("string"), F.lit("-"), F.col("id").cast("string")))
+    dealt = rows.select("id", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("run"))
+    rank = F.row_number().over(Window.partitionBy("run").orderBy(order, "id"))
+    dealt = checkpointed(dealt.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank"))
+    targets = rows.join(dealt.select("id").distinct(), "id", "left_semi")
+    values = market_values(targets, listings, cfg).select("id", "estimated_price")
+    base = checkpointed(targets.select("id", ask_clp(cfg).alias("actual_price")).join(values, "id", "left"))
+    error = F.abs(F.col("estimated_price") - F.col("actual_price")) / F.col("actual_price")
+    return dealt.join(base, "id").select("run", "id", "actual_price", "estimated_price", error.alias("percentage_error"), F.when(F.col("estimated_price").isNull(), "no_estimate").alias("skipped"))
+
+
+def run_errors(runs: DataFrame) -> DataFrame:
+    """A row per run that evaluated anything: mape, median_pe, evaluated and skipped."""
+    per = runs.groupBy("run").agg(F.avg("percentage_error").alias("mape"), F.percentile("percentage_error", F.lit(0.5)).alias("median_pe"), F.count_if(F.col("skipped").isNull()).alias("evaluated"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"))
+    return per.where("evaluated > 0")
+
+
 def best_and_worst(metrics: DataFrame) -> DataFrame:
     """Per grouping: the groups of least and greatest median error."""
     key = F.struct("median_pe", "mape", "value")
@@ -123,7 +146,7 @@ def best_and_worst(metrics: DataFrame) -> DataFrame:
 
 
 def run_summary(runs: DataFrame, metric: str = "mape") -> DataFrame:
-    """Over repeated runs: mean, extremes and the sample deviation of a metric."""
+    """Over repeated runs: their number, and mean, extremes and sample deviation of a metric; of equal runs the first."""
     return runs.agg(F.count("*").alias("runs"), F.avg(metric).alias("mean"), F.min_by("run", metric).alias("best_run"), F.max_by("run", metric).alias("worst_run"), F.stddev_samp(metric).alias("deviation"))
 
 

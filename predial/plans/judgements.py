@@ -244,6 +244,18 @@ def a19_repeated_runs(spark, sf_dir):
     return _round(evaluate.run_summary(found.groupBy((F.col("id") % 5).alias("run")).agg(F.avg("percentage_error").alias("mape"))), 6)
 
 
+def e8_repeated_runs(spark, sf_dir):
+    """Five seeded runs of the benchmark, valued in one plan."""
+    return _round(evaluate.run_errors(evaluate.repeated_benchmark(listings(spark, sf_dir))), 5)
+
+
+def a19_benchmark_runs(spark, sf_dir):
+    """Mean, best, worst and deviation of the five runs, by mean and by median error."""
+    runs = checkpointed(evaluate.run_errors(evaluate.repeated_benchmark(listings(spark, sf_dir))))
+    parts = [evaluate.run_summary(runs, metric).withColumn("metric", F.lit(metric)) for metric in ("mape", "median_pe")]
+    return _round(parts[0].unionByName(parts[1]), 5)
+
+
 def t3_extremes(spark, sf_dir):
     return _round(evaluate.extremes(evaluate.holdout(listings(spark, sf_dir))), 6)
 
@@ -366,6 +378,7 @@ _SAMPLE = f"smp AS (SELECT id FROM listings WHERE status = 'active' AND m2_const
 BENCH = f"""{_SAMPLE}, {oracles.BASE}, {oracles.PAIRS.format(targets='id IN (SELECT id FROM smp)')}, {oracles.MARKET},
 bm AS (SELECT l.id, comuna, CASE WHEN m2_construidos < 50 THEN '<50' WHEN m2_construidos <= 100 THEN '50-100' ELSE '>100' END AS m2_range, {ASK} AS actual_price, x6.price_m2 * x6.m2 AS estimated_price, CAST(x6.comparable_count AS INT) AS comparable_count,
   abs(x6.price_m2 * x6.m2 - ({ASK})) AS absolute_error, abs(x6.price_m2 * x6.m2 - ({ASK})) / ({ASK}) AS percentage_error, CASE WHEN x6.t_id IS NULL THEN 'no_estimate' END AS skipped FROM smp JOIN listings l ON l.id = smp.id LEFT JOIN x6 ON x6.t_id = l.id AND x6.before >= 3 AND x6.confidence_score >= 0.25)"""
+REPEATED = BENCH.replace(_SAMPLE, "rn AS (SELECT run, id FROM (SELECT run, id, row_number() OVER (PARTITION BY run ORDER BY md5(run || '-' || id), id) AS r FROM listings, (VALUES (0), (1), (2), (3), (4)) v(run) WHERE status = 'active' AND m2_construidos > 0 AND comuna IS NOT NULL AND (precio_clp IS NOT NULL OR precio_uf IS NOT NULL)) WHERE r <= 100), smp AS (SELECT DISTINCT id FROM rn)") + ", re AS (SELECT run, avg(percentage_error) AS mape, quantile_cont(percentage_error, 0.5) AS median_pe, count(*) FILTER (skipped IS NULL) AS evaluated, count(*) FILTER (skipped IS NOT NULL) AS skipped FROM rn JOIN bm USING (id) GROUP BY run)"
 _ALL = f"{oracles.BASE}, {oracles.PAIRS.format(targets=oracles.RADAR_TARGETS)}, {oracles.MARKET}"
 _GOOD = "x6.before >= 3 AND x6.confidence_score >= 0.25"
 _POS = f"""{OPP}, ps AS (SELECT source_listing_id AS listing_id, id, ({ASK}) * (1 + (id % 11 - 5) / 100) AS saved, CAST(id % 100 AS DOUBLE) AS score_saved, {ASK} AS now FROM listings),
@@ -471,6 +484,8 @@ ORACLES = {
     "a16_outcomes": _sql("SELECT coalesce(skipped, 'evaluated') AS outcome, count(*) AS n FROM pred GROUP BY 1", HELD),
     "a18_best_and_worst": _sql(f"SELECT grouping, arg_min(value, ROW(median_pe, mape, value)) AS best, arg_max(value, ROW(median_pe, mape, value)) AS worst FROM ({_metrics('pred', 'comuna', 'size_bucket')}) WHERE grouping <> 'all' GROUP BY grouping", HELD),
     "a19_repeated_runs": _sql("SELECT count(*) AS runs, round(avg(mape), 6) AS mean, arg_min(run, mape) AS best_run, arg_max(run, mape) AS worst_run, round(stddev_samp(mape), 6) AS deviation FROM (SELECT id % 5 AS run, avg(percentage_error) AS mape FROM pred WHERE skipped IS NULL GROUP BY 1)", HELD),
+    "e8_repeated_runs": _sql("SELECT run, round(mape, 5) AS mape, round(median_pe, 5) AS median_pe, evaluated, skipped FROM re", REPEATED),
+    "a19_benchmark_runs": _sql(" UNION ALL ".join(f"SELECT count(*) AS runs, round(avg({m}), 5) AS mean, arg_min(run, {m}) AS best_run, arg_max(run, {m}) AS worst_run, round(stddev_samp({m}), 5) AS deviation, '{m}' AS metric FROM re" for m in ("mape", "median_pe")), REPEATED),
     "t3_extremes": _sql("SELECT * FROM (SELECT id, comuna, round(percentage_error, 6) AS percentage_error, 'worst' AS kind FROM pred WHERE skipped IS NULL ORDER BY pred.percentage_error DESC, id LIMIT 10) UNION ALL SELECT * FROM (SELECT id, comuna, round(percentage_error, 6), 'best' FROM pred WHERE skipped IS NULL ORDER BY pred.percentage_error, id LIMIT 10)", HELD),
     "e8_errors": _sql("SELECT id, comuna, m2_range, round(actual_price, 3) AS actual_price, round(estimated_price, 3) AS estimated_price, comparable_count, round(absolute_error, 3) AS absolute_error, round(percentage_error, 3) AS percentage_error, skipped FROM bm", BENCH),
     "a17_benchmark": _sql(f"SELECT grouping, value, n, round(mape, 5) AS mape, round(median_pe, 5) AS median_pe FROM ({_metrics('bm', 'comuna', 'm2_range')})", BENCH),
