@@ -131,9 +131,10 @@ def answers(found: DataFrame, kinds: list[Kind], bits: int, name: str) -> DataFr
                 batch_rows = load(raw.as_py())
                 for number, kind in enumerate(kinds):
                     keys, times = kind.keys(batch_rows)
-                    cut = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
-                    some = [b for b in range(1 << bits) if cut[b + 1] > cut[b]]
-                    sent = [_pack(keys[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]], bits, kind.width) for b in some]
+                    # Only the buckets that the batch has keys in: the work goes with its keys, whatever the corpus.
+                    some, cut = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+                    some, cut = some.astype(np.int64).tolist(), [*cut.tolist(), len(keys)]
+                    sent = [_pack(keys[a:b], times[a:b], bits, kind.width) for a, b in zip(cut, cut[1:])]
                     columns = [pa.array([number] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array(sent, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["kind", "bucket", "batch", "sent"])
 
