@@ -17,6 +17,10 @@ from .hashing import ALNUM, mix, seeded, text_bytes, words
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 4, 6, 8))
 BLOCK_BYTES = 4 << 20
 STRETCH = 1 << 20
+#: A seed that an item has more often than this is compared over ranges of shifts; words of a text taken together for it; cells compared at once.
+OFTEN = 4
+CHUNK = 64
+CELLS = 1 << 20
 HITS = "doc_id long, item_id long, n_matched long, n_aligned long, item_words long, first_word long, last_word long"
 
 
@@ -40,21 +44,30 @@ class Index:
             keys.append(seeds[ok])
             where.append(at[ok])
         keys, where = np.concatenate(keys), np.concatenate(where)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.where = keys[order], where[order]
         self.bits = max(16, int(len(keys) * 32 + 1).bit_length())
         self.marked = np.zeros(1 << self.bits, bool)
-        self.marked[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.marked[(keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        # A seed that one item has often is kept once, with its first and last place there.
+        item = np.searchsorted(self.rows, where, "right") - 1
+        order = np.lexsort((where, item, keys))
+        keys, where, item = keys[order], where[order], item[order]
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])])) if len(keys) else np.zeros(0, np.int64)
+        many = np.diff(np.append(new, len(keys)))
+        often = many > OFTEN
+        self.often_keys, self.often_item, self.often_first, self.often_last = keys[new[often]], item[new[often]], where[new[often]], where[(new + many - 1)[often]]
+        once = ~np.repeat(often, many)
+        self.keys, self.where = keys[once], where[once]
 
     def find(self, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, matched, aligned, first word, last word): the best stretch of each row and item that overlap."""
-        row_of, item_of, shift = [], [], []
+        row_of, item_of, shift, runs = [], [], [], []
         for m, mask in enumerate(self.masks):
             seeds = windows(h, mask, m)
             at = np.flatnonzero(self.marked[(seeds >> np.uint64(64 - self.bits)).astype(np.int64)])
             low, high = np.searchsorted(self.keys, seeds[at], "left"), np.searchsorted(self.keys, seeds[at], "right")
             row = np.searchsorted(rows, at, "right") - 1
             ok = (high > low) & (at + mask[-1] < rows[row + 1])
+            runs.append(self._runs(seeds, at, row, rows, mask))
             at, low, many, row = at[ok], low[ok], (high - low)[ok], row[ok]
             each = np.repeat(np.arange(len(at)), many)
             place = self.where[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)]
@@ -62,7 +75,7 @@ class Index:
             item_of.append(np.searchsorted(self.rows, place, "right") - 1)
             shift.append(at[each] - place)
         found = np.unique(np.stack([np.concatenate(x) for x in (row_of, item_of, shift)]), axis=1)
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}  # most matches, then first, then shortest
         for row, item, by in found.T.tolist():
             a, b = int(self.rows[item]), int(self.rows[item + 1])
             low, high = max(a, int(rows[row]) - by), min(b, int(rows[row + 1]) - by)
@@ -71,10 +84,75 @@ class Index:
             if last - first + 1 < least:
                 matched, first, last = longest(same)
             aligned = last - first + 1
-            if aligned >= least and (matched, -first) > best.get((row, item), (0, 0))[:2]:
-                base = low + by - int(rows[row])
-                best[row, item] = (matched, -(base + first), aligned, base + last)
-        return [(row, item, m, n, -first, last) for (row, item), (m, first, n, last) in best.items()]
+            base = low + by - int(rows[row])
+            if aligned >= least and (matched, -(base + first), -aligned) > best.get((row, item), (0, 0, 0))[:3]:
+                best[row, item] = (matched, -(base + first), -aligned, base + last)
+        for row, item, low, high in merged(np.concatenate(runs, axis=1)):
+            self._slide(h, int(rows[row]), int(rows[row + 1]), item, low, high, row, best)
+        return [(row, item, m, -n, -first, last) for (row, item), (m, first, n, last) in best.items()]
+
+    def _runs(self, seeds: np.ndarray, at: np.ndarray, row: np.ndarray, rows: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+        """(row, item, first shift, last shift) around the words whose seeds an item has often, CHUNK words at a time."""
+        at, row = (x[(at + mask[-1] < rows[row + 1]) & np.isin(seeds[at], self.often_keys)] for x in (at, row))
+        if not len(at):
+            return np.zeros((4, 0), np.int64)
+        order = np.lexsort((at, seeds[at], at // CHUNK, row))
+        at, row = at[order], row[order]
+        key = seeds[at]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (at[1:] // CHUNK != at[:-1] // CHUNK)]))
+        last = np.append(new[1:], len(at)) - 1
+        low, high = np.searchsorted(self.often_keys, key[new], "left"), np.searchsorted(self.often_keys, key[new], "right")
+        each = np.repeat(np.arange(len(new)), high - low)
+        one = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        return np.stack([row[new][each], self.often_item[one], at[new][each] - self.often_last[one], at[last][each] - self.often_first[one]])
+
+    def _slide(self, h: np.ndarray, begin: int, end: int, item: int, low: int, high: int, row: int, best: dict) -> None:
+        """Compare one item with all shifts from ``low`` to ``high`` of one row, many shifts at once."""
+        a, b = int(self.rows[item]), int(self.rows[item + 1])
+        n, own, least = b - a, self.h[a:b], min(self.min_words, b - a)
+        low, high = max(low, begin - b + 1), min(high, end - a - 1)
+        step = max(1, CELLS // n)
+        for first in range(low, high + 1, step):
+            shifts = np.arange(first, min(first + step, high + 1))
+            at = shifts[:, None] + np.arange(a, b)[None, :]
+            # Places outside the row count as words that differ, which no best stretch has at its ends.
+            same = (h[np.clip(at, begin, end - 1)] == own[None, :]) & (at >= begin) & (at < end)
+            hits = np.cumsum(same, axis=1)
+            near = np.flatnonzero(hits[:, -1] * 4 >= least * 3)
+            if not len(near):
+                continue
+            same, hits = same[near], np.concatenate([np.zeros((len(near), 1), np.int64), hits[near]], axis=1)
+            score = np.concatenate([np.zeros((len(near), 1), np.int64), np.cumsum(np.where(same, 1, -3), axis=1)], axis=1)
+            lowest = np.minimum.accumulate(score, axis=1)
+            fresh = np.concatenate([np.ones((len(near), 1), bool), lowest[:, 1:] < lowest[:, :-1]], axis=1)
+            start = np.maximum.accumulate(np.where(fresh, np.arange(n + 1)[None, :], 0), axis=1)
+            stop = np.argmax(score - lowest, axis=1)
+            each = np.arange(len(near))
+            start = start[each, stop]
+            matched = hits[each, stop] - hits[each, start]
+            for i in np.flatnonzero(stop - start < least).tolist():
+                if int(hits[i, -1]) >= best.get((row, item), (0, 0))[0]:  # the longest stretch may still beat the best so far
+                    inside = slice(max(0, begin - int(shifts[near[i]]) - a), min(n, end - int(shifts[near[i]]) - a))
+                    matched[i], start[i], last = longest(same[i, inside])
+                    start[i], stop[i] = start[i] + inside.start, last + 1 + inside.start
+            good = np.flatnonzero(stop - start >= least)
+            if len(good):
+                base = shifts[near] + a - begin
+                i = good[np.lexsort(((stop - start)[good], (base + start)[good], -matched[good]))[0]]
+                found = (int(matched[i]), -int(base[i] + start[i]), -int(stop[i] - start[i]))
+                if found > best.get((row, item), (0, 0, 0))[:3]:
+                    best[row, item] = (*found, int(base[i] + stop[i] - 1))
+
+
+def merged(runs: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Ranges of shifts by row and item, those that touch as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for row, item, low, high in runs[:, np.lexsort((runs[2], runs[1], runs[0]))].T.tolist():
+        if out and out[-1][:2] == (row, item) and low <= out[-1][3] + 1:
+            out[-1] = (row, item, out[-1][2], max(high, out[-1][3]))
+        else:
+            out.append((row, item, low, high))
+    return out
 
 
 SHORTEST = 3
