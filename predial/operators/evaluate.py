@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.prices import ask_clp, benchmark_range, size_bucket
 from .components import checkpointed
+from .percentiles import percentiles
 from .quality import representative
 from .valuation import _prices, best, candidates, clustered, confidence, level, market_values, percentile_of, scored, without_iqr_outliers
 
@@ -83,8 +84,14 @@ def error_metrics(predictions: DataFrame, by: tuple[str, str] = ("comuna", "size
     """Error metrics overall and by each grouping (grouping, value)."""
     rows = predictions.where("skipped is null")
     each = F.explode(F.array(F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("value")), *[F.struct(F.lit(g).alias("grouping"), F.col(g).alias("value")) for g in by]))
-    flat = rows.select("*", each.alias("g")).select("*", "g.grouping", "g.value")
-    return flat.groupBy("grouping", "value").agg(F.count("*").alias("n"), F.avg("absolute_error").alias("mae"), F.avg("percentage_error").alias("mape"), F.percentile("absolute_error", F.lit(0.5)).alias("median_ae"), F.percentile("percentage_error", F.lit(0.5)).alias("median_pe"), F.avg("comparable_count").alias("mean_comparables"), F.percentile("comparable_count", F.lit(0.5)).alias("median_comparables"))
+    measures = {"median_ae": "absolute_error", "median_pe": "percentage_error", "median_comparables": "comparable_count"}
+    flat = checkpointed(rows.select(each.alias("g"), *measures.values()).select("g.grouping", "g.value", *measures.values()))
+    means = flat.groupBy("grouping", "value").agg(F.count("*").alias("n"), F.avg("absolute_error").alias("mae"), F.avg("percentage_error").alias("mape"), F.avg("comparable_count").alias("mean_comparables"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(c).cast("double").alias("x")) for name, c in measures.items()]))
+    long = flat.select("grouping", "value", pairs.alias("p")).select("grouping", "value", "p.*")
+    medians = percentiles(long, ["grouping", "value", "measure"], "x", {"median": 0.5}).groupBy("grouping", "value").agg(*[F.max(F.when(F.col("measure") == name, F.col("median"))).alias(name) for name in measures])
+    found = means.withColumn("__g", F.struct("grouping", "value")).join(medians.select(F.struct("grouping", "value").alias("__g"), *measures), "__g")
+    return found.select("grouping", "value", "n", "mae", "mape", "median_ae", "median_pe", "mean_comparables", "median_comparables")
 
 
 def skip_counts(predictions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.prices import quality_clp
+from .percentiles import percentiles, with_percentiles
 
 #: Issue codes; the critical ones make a listing unusable.
 CRITICAL = ("missing_price", "missing_m2", "invalid_m2_range", "invalid_precio_m2")
@@ -68,11 +69,12 @@ def expire(df: DataFrame, as_of: str, cfg: Config = DEFAULT) -> DataFrame:
 def comuna_outliers(df: DataFrame, value: str = "uf_m2", least: int = 4) -> DataFrame:
     """Adds keep: within 1.5 IQR of the commune's quartiles; by the median's half where the IQR is 0; all in small groups.
 
-    Rows without a commune are a group of their own. Quartiles are aggregates joined back, not windows over a commune.
+    Rows without a commune are a group of their own. Quartiles are counted in rounds and joined back, not windows over a commune.
     """
-    group = F.coalesce("comuna", F.lit("sin_comuna"))
-    stats = df.groupBy(group.alias("__group")).agg(F.count(value).alias("__n"), F.percentile(value, F.lit(0.25)).alias("__q1"), F.percentile(value, F.lit(0.5)).alias("__q2"), F.percentile(value, F.lit(0.75)).alias("__q3"))
-    joined = df.withColumn("__group", group).join(stats, "__group")
+    joined = df.withColumn("__group", F.coalesce("comuna", F.lit("sin_comuna")))
+    counts = joined.groupBy("__group").agg(F.count(value).alias("__n"))
+    stats = percentiles(joined, ["__group"], value, {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75})
+    joined = joined.join(counts.join(stats, "__group"), "__group")
     iqr = F.col("__q3") - F.col("__q1")
     inside = F.when(iqr > 0, F.col(value).between(F.col("__q1") - 1.5 * iqr, F.col("__q3") + 1.5 * iqr)).otherwise(F.col(value).between(F.col("__q2") * 0.5, F.col("__q2") * 1.5))
     return joined.withColumn("keep", F.when(F.col("__n") < least, True).otherwise(F.coalesce(inside, F.lit(False)))).drop("__group", "__n", "__q1", "__q2", "__q3")
@@ -107,8 +109,10 @@ def comuna_coverage(df: DataFrame, cfg: Config = DEFAULT, least: int = 3) -> Dat
     """Per commune: counts, price per m2 spread and coverage ratios; small_group sets thin ones apart."""
     ppm2 = price_m2(cfg)
     share = lambda c: F.avg(F.col(c).isNotNull().cast("double")).alias(f"{c}_coverage")
-    out = df.groupBy(F.coalesce("comuna", F.lit("sin_comuna")).alias("comuna")).agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"), F.percentile(ppm2, F.lit(0.5)).alias("median_price_m2"), F.min(ppm2).alias("min_price_m2"), F.max(ppm2).alias("max_price_m2"), share("dormitorios"), share("banos"), share("estacionamientos"), share("lat"))
+    df = df.withColumns({"comuna": F.coalesce("comuna", F.lit("sin_comuna")), "__ppm2": ppm2})
+    out = df.groupBy("comuna").agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"), F.min(ppm2).alias("min_price_m2"), F.max(ppm2).alias("max_price_m2"), share("dormitorios"), share("banos"), share("estacionamientos"), share("lat"))
+    out = with_percentiles(out, df, ["comuna"], "__ppm2", {"median_price_m2": 0.5})
     return out.withColumn("small_group", F.col("total") < least)
 
 

@@ -7,6 +7,7 @@ from ..functions.prices import ask_clp
 from ..functions.text import normal_url
 from ..operators import audit, evaluate, history, portfolio, quality, radar, report, risk, valuation
 from ..operators.components import checkpointed
+from ..operators.percentiles import percentiles
 from ..sources.views import AS_OF, listings, price_history, runs, table
 from . import forms, jobs, oracles
 from .jobs import ASK, TIES, _sql
@@ -25,9 +26,9 @@ def _text(column, name):
 
 
 def a8_percentiles(spark, sf_dir):
-    """Each commune's percentiles of prices per m2, from sorted arrays."""
-    base = listings(spark, sf_dir).where("m2_construidos is not null").groupBy("comuna").agg(F.array_sort(F.collect_list(ask_clp() / F.col("m2_construidos"))).alias("x"))
-    return _round(base.select("comuna", *[valuation.percentile_of(F.col("x"), p).alias(f"p{int(100 * p)}") for p in (0.25, 0.5, 0.9)]), 2)
+    """Each commune's percentiles of prices per m2, by counting rounds."""
+    base = listings(spark, sf_dir).where("m2_construidos is not null").select("comuna", (ask_clp() / F.col("m2_construidos")).alias("x"))
+    return _round(percentiles(base, ["comuna"], "x", {"p25": 0.25, "p50": 0.5, "p90": 0.9}), 2)
 
 
 def t1_best_comparables(spark, sf_dir):
