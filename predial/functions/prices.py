@@ -76,6 +76,11 @@ def short_price(value: Column) -> Column:
     return F.when(value.isNull(), "N/D").when(value >= 1_000_000, F.concat(F.bround(value / 1e6).cast("bigint").cast("string"), F.lit("M"))).otherwise(F.translate(F.format_number(F.bround(value), 0), ",", "."))
 
 
+def full_price(value: Column) -> Column:
+    """'Sin precio', or whole pesos with dots as '$95.000.000'."""
+    return F.when(value.isNull(), "Sin precio").otherwise(F.concat(F.lit("$"), F.translate(F.format_number(F.bround(value), 0), ",", ".")))
+
+
 def heuristic_price(base: Column, m2: Column, land: Column, extras: Column, age: Column) -> Column:
     """Location base plus built area, land and extras, less age."""
     return base + F.coalesce(m2, F.lit(0)) * 650_000 + F.coalesce(land, F.lit(0)) * 120_000 + F.coalesce(extras, F.lit(0)) - F.coalesce(age, F.lit(0)) * 500_000

@@ -286,6 +286,34 @@ def top_actions(state: DataFrame, n: int = 5) -> DataFrame:
     return state.select(F.posexplode(F.slice(called, 1, n)).alias("place", "action"))
 
 
+def summary(sections: dict[str, DataFrame], found: DataFrame, listed: DataFrame, health_row: DataFrame) -> DataFrame:
+    """(place, line): an audit's summary, from its sections database, quality, benchmark, radar and legal, the
+    opportunities, findings and health row.
+
+    The first critical finding and the first warning are those first in order of section and code; lines of what an
+    audit does not have are left out. Checks are the listings of database and quality, the opportunities of legal and
+    consistency, and one for each other section.
+    """
+    levels = F.col("legal_profile.legal_risk_level")
+    legal = found.agg(*[F.count_if(levels == name).alias(f"legal_{name}") for name in ("Alto", "Medio", "Bajo")])
+    first = lambda kind: F.min(F.when(F.col("severity") == kind, F.struct("section", "code")))["code"]
+    worst = listed.agg(first("critical").alias("first_critical"), first("warning").alias("first_warning"), F.coalesce(F.sum(F.when((F.col("section") == "legal") & (F.col("severity") != "info"), F.col("n"))), F.lit(0)).alias("legal_findings"))
+    one = reduce(DataFrame.crossJoin, [sections["database"].select("total", "active", "without_price", "without_m2"), sections["quality"].select(F.col("total").alias("rated"), "usable_ratio"), sections["benchmark"], sections["radar"], sections["legal"].select("checked"), legal, worst, health_row.select("general_status")])
+    checks = F.col("total") + F.col("rated") + 2 * F.col("checked") + (len(sections) - 3)
+    share = lambda c: F.when(c.isNull(), "Sin datos").otherwise(F.format_string("%.1f%%", c))
+    levels_text = F.concat_ws(", ", *[F.when(F.col(f"legal_{name}") > 0, F.concat(F.lit(f"{name}: "), F.col(f"legal_{name}"))) for name in ("Alto", "Medio", "Bajo")])
+    # The texts of the lines.
+    lines = F.array_compact(F.array(
+        F.concat(F.lit("- Estado general: **"), "general_status", F.lit("**.")),
+        F.concat(F.lit("- Checks: "), checks, F.lit(".")),
+        F.concat(F.lit("- Salud de datos: "), "active", F.lit(" activos, "), share(F.col("usable_ratio") * 100), F.lit(" usables, "), "without_price", F.lit(" sin precio, "), "without_m2", F.lit(" sin m2.")),
+        F.concat(F.lit("- Benchmark: "), "evaluated", F.lit(" evaluados, error mediano "), share(F.col("median_error_pct")), F.lit(".")),
+        F.concat(F.lit("- Radar: "), "ready", F.lit(" listings listos, "), "opportunities", F.lit(" oportunidades generadas.")),
+        F.concat(F.lit("- Legal risk: "), F.when(levels_text == "", "Sin datos").otherwise(levels_text), F.lit("; "), "legal_findings", F.lit(" inconsistencias legales.")),
+        F.concat(F.lit("- Principal crítico: `"), "first_critical", F.lit("`")), F.concat(F.lit("- Principal warning: `"), "first_warning", F.lit("`"))))
+    return one.select(F.posexplode(lines).alias("place", "line"))
+
+
 def system_audit(sections: dict[str, DataFrame], found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings, health row) of the sections database, quality, benchmark, radar, legal and funnel, and the opportunities."""
     listed = findings(sections, found)

@@ -131,5 +131,36 @@ def scaled_points(comps: DataFrame, by: str, value: str) -> DataFrame:
     return comps.join(ends, by).withColumn("position", at).drop("__low", "__high")
 
 
+def property_summary() -> Column:
+    """Commune, area, bedrooms and bathrooms of a row as one line; what is missing or zero is left out."""
+    shown = lambda c, unit: F.when(F.col(c) != 0, F.concat(F.col(c).cast("string"), F.lit(unit)))
+    comuna = F.when(F.col("comuna") != "", F.col("comuna")).otherwise("Sin comuna")
+    return F.concat_ws(" | ", comuna, shown("m2_construidos", " m2"), shown("dormitorios", "D"), shown("banos", "B"))
+
+
+def chart_points(found: DataFrame) -> DataFrame:
+    """A row per opportunity and chart (chart, id, x, y, size): return against confidence, discount against comparables.
+
+    Confidence and discount are percentages; a point's size is half of the score, 8 at least; missing numbers are 0.
+    """
+    known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    point = lambda chart, x, y: F.struct(F.lit(chart).alias("chart"), x.alias("x"), y.alias("y"))
+    points = F.array(point("risk_return", known("roi"), known("confidence_score") * 100), point("discount_comparables", known("undervaluation") * 100, known("comparable_count")))
+    size = F.greatest(known("investment_score") / 2, F.lit(8.0))
+    return found.select("id", size.alias("size"), F.explode(points).alias("p")).select("p.chart", "id", "p.x", "p.y", "size")
+
+
+#: Names of the points that stand for a missing price log.
+REFERENCE_POINTS = {"Min comparables": "comparables_min", "Promedio": "comparables_mean", "Max comparables": "comparables_max", "Listado": "listing_price"}
+
+
+def reference_series(found: DataFrame, series: DataFrame) -> DataFrame:
+    """(id, place, label, value) of the opportunities without a row in the price ``series``: extremes and mean of the
+    comparables and the listed price, in this order; those with under two known values have no row."""
+    points = F.array(*[F.struct(F.lit(label).alias("label"), F.col(c).cast("double").alias("value")) for label, c in REFERENCE_POINTS.items()])
+    known = found.join(series.select(F.col("listing_id").alias("id")).distinct(), "id", "left_anti").select("id", F.filter(points, lambda p: p["value"].isNotNull()).alias("points"))
+    return known.where(F.size("points") >= 2).select("id", F.posexplode("points").alias("place", "p")).select("id", "place", "p.label", "p.value")
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 20) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))

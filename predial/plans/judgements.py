@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_penalty
-from ..functions.prices import ask_clp
+from ..functions.prices import ask_clp, full_price
 from ..functions.text import normal_url
 from ..operators import audit, evaluate, history, portfolio, quality, radar, report, risk, valuation
 from ..operators.components import checkpointed
@@ -149,6 +149,32 @@ def p39_histogram(spark, sf_dir):
     return risk.histogram(base, "x", 0.0, 12.0, 24)
 
 
+def p39_points(spark, sf_dir):
+    return _round(risk.chart_points(_found(spark, sf_dir)))
+
+
+def p39_reference_series(spark, sf_dir):
+    """Points of the opportunities whose log shows no change: one price or none."""
+    series = history.chart_series(price_history(spark, sf_dir))
+    series = series.groupBy("listing_id").agg(F.min("price").alias("least"), F.max("price").alias("most")).where("least < most")
+    return _round(risk.reference_series(_found(spark, sf_dir), series), 2)
+
+
+def c39_texts(spark, sf_dir):
+    """Every listing's price in pesos and its summary."""
+    return listings(spark, sf_dir).select("id", full_price(ask_clp()).alias("price"), risk.property_summary().alias("summary"))
+
+
+def p40_summary(spark, sf_dir):
+    base = listings(spark, sf_dir).withColumn("link", normal_url(F.col("url")))
+    found = checkpointed(_found(spark, sf_dir))
+    sections = {
+        "database": audit.database_section(base), "quality": audit.quality_section(quality.coverage(base)), "benchmark": audit.benchmark_section(evaluate.benchmark(base)), "radar": audit.radar_section(radar.radar_candidates(base), found), "legal": audit.legal_section(found)}
+    sections = {k: checkpointed(v) for k, v in sections.items()}
+    listed, health = audit.system_audit(sections, found)
+    return audit.summary(sections, found, listed, health)
+
+
 def a14_market_context(spark, sf_dir):
     return _round(_found(spark, sf_dir).select("id", "comparables_mean", "comparables_min", "comparables_max"), 2)
 
@@ -464,6 +490,8 @@ ORACLES = {
     "p38_radar_table": _sql("SELECT id, comuna, round(m2_construidos, 4) AS m2, round(listing_price, 4) AS listing_price, round(estimated_price, 4) AS estimated_value, investment_score, round(confidence_score * 100, 4) AS confidence_pct, comparable_count, legal_risk_level AS legal_level FROM opp", OPP),
     "p39_scaled_prices": _sql(f"SELECT id, round(CASE WHEN hi > lo THEN (p - lo) / (hi - lo) ELSE 0.5 END, 6) AS position FROM (SELECT id, {ASK} AS p, min({ASK}) OVER (PARTITION BY comuna) AS lo, max({ASK}) OVER (PARTITION BY comuna) AS hi FROM listings)"),
     "p39_histogram": _sql(f"SELECT CAST(least(floor(x * 2) + 1, 25) AS BIGINT) AS bin, count(*) AS n FROM (SELECT ({ASK}) / m2_construidos / 1e6 AS x FROM listings WHERE m2_construidos IS NOT NULL) WHERE x IS NOT NULL GROUP BY 1"),
+    "p39_points": _sql("SELECT 'risk_return' AS chart, id, round(coalesce(roi, 0), 4) AS x, round(coalesce(confidence_score, 0) * 100, 4) AS y, greatest(coalesce(investment_score, 0) / 2, 8.0) AS size FROM opp UNION ALL SELECT 'discount_comparables', id, round(coalesce(undervaluation, 0) * 100, 4), CAST(comparable_count AS DOUBLE), greatest(coalesce(investment_score, 0) / 2, 8.0) FROM opp", OPP),
+    "c39_texts": _sql(f"SELECT id, coalesce('$' || replace(format('{{:,}}', CAST(round_even({ASK}, 0) AS BIGINT)), ',', '.'), 'Sin precio') AS price, concat_ws(' | ', coalesce(nullif(comuna, ''), 'Sin comuna'), CAST(nullif(m2_construidos, 0) AS VARCHAR) || ' m2', CAST(nullif(dormitorios, 0) AS VARCHAR) || 'D', CAST(nullif(banos, 0) AS VARCHAR) || 'B') AS summary FROM listings"),
     "a14_market_context": _sql("SELECT id, round(comparables_mean, 2) AS comparables_mean, round(comparables_min, 2) AS comparables_min, round(comparables_max, 2) AS comparables_max FROM opp", OPP),
     "a22_legal_audit": _sql("SELECT count(*) AS checked, CAST(0 AS BIGINT) AS missing_profile, CAST(0 AS BIGINT) AS invalid_scores, min(legal_risk_score) AS least, max(legal_risk_score) AS most, round(avg(legal_risk_score), 4) AS mean, round(quantile_cont(legal_risk_score::DOUBLE, 0.5), 4) AS median, count(*) FILTER (legal_risk_score >= 70) AS high_risk FROM opp", OPP),
     "a22_legal_levels": _sql("SELECT 'level ' || legal_risk_level AS what, count(*) AS n FROM opp GROUP BY 1 UNION ALL SELECT 'flag ' || x, count(*) FROM (SELECT unnest(flags) AS x FROM opp) GROUP BY 1 UNION ALL SELECT w, n FROM (SELECT 'legal_low_with_low_confidence' AS w, count(*) AS n FROM opp WHERE legal_risk_level = 'Bajo' AND confidence_score * 100 < 60 UNION ALL SELECT 'legal_low_with_few_comparables', count(*) FROM opp WHERE legal_risk_level = 'Bajo' AND comparable_count < 3 UNION ALL SELECT 'legal_high_despite_strong_data', count(*) FROM opp WHERE legal_risk_level = 'Alto' AND comparable_count >= 8 AND confidence_score * 100 >= 80) WHERE n > 0", OPP),

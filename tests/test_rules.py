@@ -166,3 +166,39 @@ def test_radar_marks_duplicates_first(spark):
     found = {r.id for r in radar.radar(rows, log, "2001-12-01", gate=False).collect()}
     assert marked and not found & marked
     assert views.AS_OF == "2001-12-01"
+
+
+def test_displayed_texts_and_points(spark):
+    from predial.functions.prices import full_price
+    from predial.operators import risk
+
+    rows = spark.createDataFrame([(1, 95_000_000.5, "La Reina", 75.0, 3, 2), (2, None, "", 0.0, None, 0), (3, 950.0, None, None, 1, None)], "id int, p double, comuna string, m2_construidos double, dormitorios int, banos int")
+    assert [tuple(r) for r in rows.orderBy("id").select(full_price(F.col("p")), risk.property_summary()).collect()] == [("$95.000.000", "La Reina | 75.0 m2 | 3D | 2B"), ("Sin precio", "Sin comuna"), ("$950", "Sin comuna | 1D")]
+    found = spark.createDataFrame([(1, 10.0, 20.0, 30.0, 15.0), (2, None, None, None, 5.0), (3, 1.0, 2.0, 3.0, 4.0)], "id int, comparables_min double, comparables_mean double, comparables_max double, listing_price double")
+    series = spark.createDataFrame([(3, 7.0)], "listing_id int, price double")
+    assert [(r.id, r.place, r.label, r.value) for r in risk.reference_series(found, series).orderBy("id", "place").collect()] == [(1, 0, "Min comparables", 10.0), (1, 1, "Promedio", 20.0), (1, 2, "Max comparables", 30.0), (1, 3, "Listado", 15.0)]
+    point = spark.createDataFrame([(1, None, 0.5, 0.2, 4, 10.0)], "id int, roi double, confidence_score double, undervaluation double, comparable_count int, investment_score double")
+    assert sorted((r.chart, r.x, r.y, r.size) for r in risk.chart_points(point).collect()) == [("discount_comparables", 20.0, 4.0, 8.0), ("risk_return", 0.0, 50.0, 8.0)]
+
+
+def test_actions_by_urgency(spark):
+    from predial.operators import audit
+
+    schema = "critical_findings int, warnings int, median_error_pct double, opportunities int, high_risk int, thin_comunas int"
+    calls = lambda *row: [r.action[:9] for r in audit.top_actions(spark.createDataFrame([row], schema)).orderBy("place").collect()]
+    assert calls(0, 0, None, 0, 0, 0) == ["Mantener "]
+    assert calls(1, 1, 20.0, 1, 1, 1) == ["Resolver ", "Agrupar w", "Revisar l", "Revisar m", "Priorizar"]
+    assert calls(0, 0, None, 0, 0, 2) == ["Aumentar "]
+
+
+def test_summary_lines_of_an_audit_without_results(spark):
+    from predial.operators import audit
+
+    row = lambda schema, *values: spark.createDataFrame([values], schema)
+    sections = {
+        "database": row("total long, active long, without_price long, without_m2 long, without_coordinates long, duplicate_links long", 0, 0, 0, 0, 0, 0), "quality": row("total long, usable_ratio double, outliers long", 0, 0.0, 0),
+        "benchmark": row("evaluated long, median_error_pct double, average_error_pct double", 0, None, None), "radar": row("ready long, opportunities long", 0, 0), "legal": row("checked long", 0)}
+    found = spark.createDataFrame([], "legal_profile struct<legal_risk_level: string>")
+    listed = spark.createDataFrame([], "section string, severity string, code string, n long")
+    lines = [r.line for r in audit.summary(sections, found, listed, row("general_status string", "OK")).orderBy("place").collect()]
+    assert lines == ["- Estado general: **OK**.", "- Checks: 2.", "- Salud de datos: 0 activos, 0.0% usables, 0 sin precio, 0 sin m2.", "- Benchmark: 0 evaluados, error mediano Sin datos.", "- Radar: 0 listings listos, 0 oportunidades generadas.", "- Legal risk: Sin datos; 0 inconsistencias legales."]
