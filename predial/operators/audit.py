@@ -298,7 +298,8 @@ def summary(sections: dict[str, DataFrame], found: DataFrame, listed: DataFrame,
     legal = found.agg(*[F.count_if(levels == name).alias(f"legal_{name}") for name in ("Alto", "Medio", "Bajo")])
     first = lambda kind: F.min(F.when(F.col("severity") == kind, F.struct("section", "code")))["code"]
     worst = listed.agg(first("critical").alias("first_critical"), first("warning").alias("first_warning"), F.coalesce(F.sum(F.when((F.col("section") == "legal") & (F.col("severity") != "info"), F.col("n"))), F.lit(0)).alias("legal_findings"))
-    one = reduce(DataFrame.crossJoin, [sections["database"].select("total", "active", "without_price", "without_m2"), sections["quality"].select(F.col("total").alias("rated"), "usable_ratio"), sections["benchmark"], sections["radar"], sections["legal"].select("checked"), legal, worst, health_row.select("general_status")])
+    # Each is one row, so one partition: the product's partitions would multiply otherwise.
+    one = reduce(DataFrame.crossJoin, [row.coalesce(1) for row in (sections["database"].select("total", "active", "without_price", "without_m2"), sections["quality"].select(F.col("total").alias("rated"), "usable_ratio"), sections["benchmark"], sections["radar"], sections["legal"].select("checked"), legal, worst, health_row.select("general_status"))])
     checks = F.col("total") + F.col("rated") + 2 * F.col("checked") + (len(sections) - 3)
     share = lambda c: F.when(c.isNull(), "Sin datos").otherwise(F.format_string("%.1f%%", c))
     levels_text = F.concat_ws(", ", *[F.when(F.col(f"legal_{name}") > 0, F.concat(F.lit(f"{name}: "), F.col(f"legal_{name}"))) for name in ("Alto", "Medio", "Bajo")])
