@@ -439,14 +439,63 @@ def valuations(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, l
     return base.select("id", F.when(ok, "market_comparable").otherwise("insufficient_data").alias("valuation_status"), *map(kept, ("estimated_price", "price_m2", "min_price", "max_price")), F.when(ok, F.col("confidence_score")).otherwise(0.0).alias("confidence_score"), label.alias("confidence"), F.when(ok, F.col("comparable_count")).otherwise(0).alias("comparable_count"), n.alias("candidates"), reason.alias("reason"), kept("comps"))
 
 
+def nearest_by_area(areas: DataFrame, rows: DataFrame, keys: list[str], cap: int, ratio: float) -> DataFrame:
+    """(keys, m, near): for every area m of a group (keys) the nearest ``cap`` + 1 of its rows (c_id, o their area, p), by distance and id.
+
+    Rows take places in order of area: a count inside cells of 0.01 m2, added to what the cells before hold. An area
+    looks at the places next to its own alone, met by an equi-join on runs of places; no group or range of areas is one
+    key. Of rows of one area only as many stay as a list may take.
+    """
+    n = cap + 1
+    first = F.row_number().over(Window.partitionBy(*keys, "o").orderBy("c_id"))
+    c = rows.select(*keys, "o", "c_id", "p").withColumn("__first", first).where(F.col("__first") <= n).drop("__first")
+    none = [F.lit(None).cast(c.schema[x].dataType).alias(x) for x in ("c_id", "p")]
+    both = areas.select(*keys, F.col("m").cast("double").alias("o"), *none).unionByName(c.withColumn("o", F.col("o").cast("double"))).withColumn("cell", F.floor(F.col("o") * 100))
+    inside = Window.partitionBy(*keys, "cell").orderBy("o", F.col("c_id").isNotNull(), "c_id").rowsBetween(Window.unboundedPreceding, 0)
+    # Areas are sane ones, so that a group has 99,001 cells at most.
+    earlier = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = both.groupBy(*keys, "cell").agg(F.count("c_id").alias("n")).select(*keys, "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = both.withColumn("place", F.count("c_id").over(inside)).join(cells, [*keys, "cell"]).withColumn("place", F.col("place") + F.col("before"))
+    run = lambda x: F.floor(x / F.lit(4 * n))
+    at = F.col("at")
+    # To the left a run of equal areas may be met at its far end, so twice as many are looked at there.
+    wanted = placed.where("c_id is null").select(*keys, F.col("o").alias("m"), F.col("place").alias("at")).withColumn("run", F.explode(F.sequence(run(at - 2 * n), run(at + n))))
+    held = placed.where("c_id is not null").select(*keys, "o", "c_id", "p", "place", run(F.col("place")).alias("run"))
+    m, o = F.col("m"), F.col("o")
+    pairs = wanted.join(held, [*keys, "run"]).where(F.col("place").between(at - 2 * n, at + n) & o.between(m * (1 - ratio), m * (1 + ratio)) & adjacent(segment(m), segment(o)))
+    rank = F.row_number().over(Window.partitionBy(*keys, "m").orderBy(F.abs(o - m), "c_id"))
+    near = pairs.withColumn("rank", rank).where(F.col("rank") <= n)
+    return near.groupBy(*keys, "m").agg(F.array_sort(F.collect_list(F.struct("rank", "c_id", "p"))).alias("near"))
+
+
+#: A group of equal targets that holds more than one part in so many of all is dealt to several tasks.
+_SHARES = 1_000
+
+
 def relaxed_estimates(targets: DataFrame, listings: DataFrame, cfg: Config = DEFAULT, cap: int = 50) -> DataFrame:
-    """Plain mean price per m2 of the nearest ``cap`` within half to one and a half of the area; any commune if none."""
-    out = None
-    for by_comuna in (True, False):
-        todo = targets if out is None else targets.join(out, "id", "left_anti")
-        pairs = candidates(todo, listings, cfg, ratio=0.5, by_comuna=by_comuna, by_rooms=False).where("c_usable and c_price is not null")
-        rank = F.row_number().over(Window.partitionBy("t_id").orderBy(F.abs(F.col("c_m2_construidos") - F.col("t_m2_construidos")), "c_id"))
-        near = pairs.withColumn("__rank", rank).where(F.col("__rank") <= cap)
-        mean = near.groupBy(F.col("t_id").alias("id")).agg((F.avg(F.col("c_price") / F.col("c_m2_construidos")) * F.first("t_m2_construidos")).alias("estimate"), F.count("*").alias("comparables"), F.lit(by_comuna).alias("same_comuna"))
-        out = mean if out is None else out.unionByName(mean)
-    return out
+    """Plain mean price per m2 of the nearest ``cap`` within half to one and a half of the area; any commune if none.
+
+    Targets of one area share their nearest, once within the commune and once in all communes; each leaves itself out.
+    Targets of no sane area or without any other listing in range give no row; those without a commune take any.
+    """
+    t = targets.where(sane_m2(F.col("m2_construidos"), cfg)).select("id", "comuna", F.col("m2_construidos").cast("double").alias("m"))
+    c = pool(listings, cfg).where("c_usable and c_price is not null").select(F.col("c_comuna").alias("comuna"), F.col("c_m2_construidos").alias("o"), "c_id", (F.col("c_price") / F.col("c_m2_construidos")).alias("p"))
+    total = t.count()
+
+    def joined(t: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Adds a target's own nearest; keys held by many targets are dealt to parts, of which there are 2 * _SHARES at most."""
+        sizes = t.dropna(subset=keys).groupBy(*keys, "m").agg(F.count("*").alias("n"))
+        lists = nearest_by_area(sizes.select(*keys, "m"), c.dropna(subset=keys), keys, cap, 0.5)
+        hot = sizes.where(F.col("n") * _SHARES > total).select(*keys, "m", F.ceil(F.col("n") * _SHARES / F.lit(max(total, 1))).cast("int").alias("parts"))
+        parts = F.coalesce("parts", F.lit(1))
+        # At most _SHARES rows are hot, whatever the table.
+        left = t.join(F.broadcast(hot), [*keys, "m"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+        right = lists.join(F.broadcast(hot), [*keys, "m"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        others = F.slice(F.filter("near", lambda x: x["c_id"] != F.col("id")), 1, cap)
+        return left.join(right, [*keys, "m", "part"], "left").withColumn(name, F.transform(others, lambda x: x["p"])).drop("near", "part")
+
+    rows = joined(joined(t, ["comuna"], "own"), [], "all")
+    same = F.coalesce(F.size("own") > 0, F.lit(False))
+    rows = rows.select("id", "m", F.when(same, F.col("own")).otherwise(F.col("all")).alias("prices"), same.alias("same_comuna")).where(F.size("prices") > 0)
+    mean = F.aggregate("prices", F.lit(0.0), lambda a, p: a + p) / F.size("prices")
+    return rows.select("id", (mean * F.col("m")).alias("estimate"), F.size("prices").cast("long").alias("comparables"), "same_comuna")

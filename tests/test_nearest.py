@@ -57,3 +57,39 @@ def test_windows_grow_until_all_nearer_ones_are_inside(monkeypatch):
 def test_no_targets_and_no_candidates(spark):
     base = frame(spark, rows(5, 20))
     assert valuation._segmented(base.limit(0), base, DEFAULT, 5).count() == valuation._segmented(base, base.limit(0), DEFAULT, 5).count() == 0
+
+
+def relaxed_by_loop(base, cap):
+    """Each target against all others, in plain Python."""
+    of = lambda m: 0 if m < 50 else 1 if m <= 100 else 2
+    rows = valuation.pool(base).where("c_usable and c_price is not null").collect()
+    out = {}
+    for t in base.select("id", "comuna", "m2_construidos").collect():
+        m = t.m2_construidos
+        if m is None or not 10 <= m <= 1000:
+            continue
+        near = [(abs(c.c_m2_construidos - m), c.c_id, c.c_price / c.c_m2_construidos, c.c_comuna) for c in rows if c.c_id != t.id and m * 0.5 <= c.c_m2_construidos <= m * 1.5 and abs(of(m) - of(c.c_m2_construidos)) <= 1]
+        own = [x for x in near if x[3] is not None and x[3] == t.comuna]
+        kept = sorted(own or near)[:cap]
+        if kept:
+            out[t.id] = (round(sum(x[2] for x in kept) / len(kept) * m, 3), len(kept), bool(own))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "cap", "shares"), [(1, 50, 1000), (2, 3, 5), (3, 1, 1000)])
+def test_relaxed_estimates_are_those_of_a_plain_loop(spark, monkeypatch, seed, cap, shares):
+    monkeypatch.setattr(valuation, "_SHARES", shares)
+    some = rows(seed, 160)
+    # Half of all rows have one area, and one commune has a single listing.
+    hot = [listing(1_000 + i, m2_construidos=61.0, comuna="Macul" if i % 3 else "Lampa", precio_clp=130_000_000 + i) for i in range(150)]
+    alone = [listing(2_000, m2_construidos=75.0, comuna="Alhue", precio_clp=120_000_000), listing(2_001, m2_construidos=None), listing(2_002, m2_construidos=5.0)]
+    base = frame(spark, some + hot + alone)
+    got = {r.id: (round(r.estimate, 3), r.comparables, r.same_comuna) for r in valuation.relaxed_estimates(base, base, cap=cap).collect()}
+    want = relaxed_by_loop(base, cap)
+    assert got.keys() == want.keys() and 2_000 in got and not got[2_000][2]
+    assert all(got[i][1:] == want[i][1:] and abs(got[i][0] - want[i][0]) < 1 for i in got)
+
+
+def test_relaxed_estimates_of_nothing(spark):
+    base = frame(spark, rows(5, 20))
+    assert valuation.relaxed_estimates(base.limit(0), base).count() == valuation.relaxed_estimates(base, base.limit(0)).count() == 0
