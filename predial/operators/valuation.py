@@ -455,7 +455,7 @@ def nearest_by_area(areas: DataFrame, rows: DataFrame, keys: list[str], cap: int
     # Areas are sane ones, so that a group has 99,001 cells at most.
     earlier = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = both.groupBy(*keys, "cell").agg(F.count("c_id").alias("n")).select(*keys, "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = both.withColumn("place", F.count("c_id").over(inside)).join(cells, [*keys, "cell"]).withColumn("place", F.col("place") + F.col("before"))
+    placed = checkpointed(both.withColumn("place", F.count("c_id").over(inside)).join(cells, [*keys, "cell"]).withColumn("place", F.col("place") + F.col("before")))
     run = lambda x: F.floor(x / F.lit(4 * n))
     at = F.col("at")
     # To the left a run of equal areas may be met at its far end, so twice as many are looked at there.
@@ -478,13 +478,14 @@ def relaxed_estimates(targets: DataFrame, listings: DataFrame, cfg: Config = DEF
     Targets of one area share their nearest, once within the commune and once in all communes; each leaves itself out.
     Targets of no sane area or without any other listing in range give no row; those without a commune take any.
     """
-    t = targets.where(sane_m2(F.col("m2_construidos"), cfg)).select("id", "comuna", F.col("m2_construidos").cast("double").alias("m"))
+    t = checkpointed(targets.where(sane_m2(F.col("m2_construidos"), cfg)).select("id", "comuna", F.col("m2_construidos").cast("double").alias("m")))
     c = pool(listings, cfg).where("c_usable and c_price is not null").select(F.col("c_comuna").alias("comuna"), F.col("c_m2_construidos").alias("o"), "c_id", (F.col("c_price") / F.col("c_m2_construidos")).alias("p"))
-    total = t.count()
+    # Four narrow columns, read several times.
+    c, total = checkpointed(c), t.count()
 
     def joined(t: DataFrame, keys: list[str], name: str) -> DataFrame:
         """Adds a target's own nearest; keys held by many targets are dealt to parts, of which there are 2 * _SHARES at most."""
-        sizes = t.dropna(subset=keys).groupBy(*keys, "m").agg(F.count("*").alias("n"))
+        sizes = checkpointed(t.dropna(subset=keys).groupBy(*keys, "m").agg(F.count("*").alias("n")))
         lists = nearest_by_area(sizes.select(*keys, "m"), c.dropna(subset=keys), keys, cap, 0.5)
         hot = sizes.where(F.col("n") * _SHARES > total).select(*keys, "m", F.ceil(F.col("n") * _SHARES / F.lit(max(total, 1))).cast("int").alias("parts"))
         parts = F.coalesce("parts", F.lit(1))
