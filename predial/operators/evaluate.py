@@ -8,7 +8,7 @@ from ..functions.prices import ask_clp, benchmark_range, size_bucket
 from .components import checkpointed
 from .percentiles import percentiles
 from .quality import representative
-from .valuation import _prices, best, candidates, clustered, confidence, level, market_values, percentile_of, scored, without_iqr_outliers
+from .valuation import best_scored, level, market_values
 
 
 def evaluation_rows(listings: DataFrame, limit: int | None = None) -> DataFrame:
@@ -56,24 +56,30 @@ def held_out_predictions(rows: DataFrame, cfg: Config = DEFAULT, least: int = 5)
 
     A comparable may share neither url nor source id with the target, nor look like the same property.
     """
-    # Identities travel on the two sides of the pair join, before it.
-    known = rows.withColumns({"urls": identities(rows), "source": F.col("fuente"), "sid": F.col("source_listing_id")})
+    own = F.when(F.col("source_listing_id").isNotNull() & F.col("fuente").isNotNull(), F.concat(F.lit("id "), F.length("fuente").cast("string"), F.lit(" "), "fuente", "source_listing_id"))
+    known = rows.withColumn("names", F.concat(F.transform(identities(rows), lambda x: F.concat(F.lit("url "), x)), F.array_compact(F.array(own))))
     test, train = known.where("held_out"), known.where("not held_out")
-    pairs = candidates(test, train, cfg, by_rooms=False, extra=("urls", "source", "sid")).where(F.col("t_comuna").isNotNull())
-    no = lambda c: ~F.coalesce(c, F.lit(False))
-    m, o = F.col("t_m2_construidos"), F.col("c_m2_construidos")
-    close = lambda c: F.abs(F.col(f"t_{c}") - F.col(f"c_{c}")) <= 1
-    twin = (F.abs(m - o) <= F.greatest(m, o) * cfg.duplicate_m2) & close("dormitorios") & close("banos") & F.coalesce(close("estacionamientos"), F.lit(True))
-    pairs = pairs.where(no(F.arrays_overlap("t_urls", "c_urls")) & no((F.col("t_source") == F.col("c_source")) & (F.col("t_sid") == F.col("c_sid"))) & no(twin))
-    valid = clustered(level(scored(pairs, cfg), cfg, False, least), cfg).where(F.col("n_valid") >= least)
-    kept = without_iqr_outliers(best(valid, cfg)).where(F.size("comps") >= least)
-    by_price = F.array_sort(F.transform("comps", lambda c: F.struct(c["price_m2"].alias("price_m2"), c["id"].alias("id"), c["score"].alias("weight"))))
-    kept = kept.withColumn("__sorted", by_price).withColumn("__total", F.aggregate("__sorted", F.lit(0.0), lambda a, c: a + c["weight"]))
-    half = F.aggregate(
-        "__sorted", F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("at")),
-        lambda a, c: F.struct((a["run"] + c["weight"]).alias("run"), F.coalesce(a["at"], F.when(a["run"] + c["weight"] >= F.col("__total") / 2, c["price_m2"])).alias("at")))["at"]
-    price = F.when(F.col("__total") > 0, half).otherwise(percentile_of(_prices(F.col("comps")), 0.5))
-    done = kept.select(F.col("t_id").alias("id"), (price * F.col("m2")).alias("estimated_price"), F.size("comps").alias("comparable_count"), confidence().alias("confidence_score"))
+    # A target counts up to ``least`` and keeps top_k of its rows, so its best ones are all that matter; terciles play no part.
+    pairs = best_scored(test, train, cfg, max(cfg.top_k, least), by_rooms=False, names="names")
+    rank = F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("score"), "c_id"))
+    pairs = pairs.withColumn("__rank", rank).where(F.col("__rank") <= max(cfg.top_k, least))
+    # Rows, not arrays: an array's steps would be repeated in every expression that reads its result.
+    own, size = Window.partitionBy("t_id"), F.count("*").over(Window.partitionBy("t_id"))
+    r = level(pairs, cfg, False, least).withColumn("n", size).where(F.col("n") >= least).where(F.col("__rank") <= cfg.top_k)
+    r = r.withColumns({"n": size, "q1": F.percentile("price_m2", F.lit(0.25)).over(own), "q3": F.percentile("price_m2", F.lit(0.75)).over(own)})
+    iqr = F.col("q3") - F.col("q1")
+    r = r.withColumn("inside", F.col("price_m2").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)).withColumn("k", F.count_if("inside").over(own))
+    r = r.where((F.col("n") < 3) | (iqr <= 0) | (F.col("k") < 3) | F.col("inside")).withColumn("n", size).where(F.col("n") >= least)
+    ascending = Window.partitionBy("t_id").orderBy("price_m2", "c_id").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("run", F.sum("score").over(ascending)).withColumn("total", F.max("run").over(own))
+    found = r.groupBy("t_id").agg(
+        F.first("t_m2_construidos").alias("m2"), F.first("n").cast("int").alias("comparable_count"), F.first("total").alias("total"), F.avg("score").alias("score"), F.avg("price_m2").alias("mean"), F.stddev_pop("price_m2").alias("spread"),
+        F.min(F.when(F.col("run") >= F.col("total") / 2, F.col("price_m2"))).alias("half"), F.percentile("price_m2", F.lit(0.5)).alias("middle"))
+    n = F.col("comparable_count")
+    even = F.when(F.col("mean") <= 0, 0.0).otherwise(F.greatest(1 - F.least(F.col("spread") / F.col("mean") / 0.35, F.lit(1.0)), F.lit(0.0)))
+    sure = F.col("score") * 0.5 + F.least(n / F.lit(10.0), F.lit(1.0)) * 0.25 + even * 0.25
+    price = F.when(F.col("total") > 0, F.col("half")).otherwise(F.col("middle"))
+    done = found.select(F.col("t_id").alias("id"), (price * F.col("m2")).alias("estimated_price"), n, F.when(n < 3, 0.0).otherwise(F.greatest(F.least(sure, F.lit(1.0)), F.lit(0.0))).alias("confidence_score"))
     base = test.select("id", "comuna", "m2_construidos", ask_clp(cfg).alias("actual_price")).join(done, "id", "left")
     error = F.abs(F.col("estimated_price") - F.col("actual_price"))
     reason = F.when(F.coalesce(F.col("actual_price"), F.lit(0)) <= 0, "invalid").when(F.col("estimated_price").isNull(), "low_data")
