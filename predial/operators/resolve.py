@@ -151,18 +151,30 @@ def _names(df: DataFrame) -> DataFrame:
     return df.select("kind", "n", F.explode(F.array_compact(F.array(*each))).alias("node"))
 
 
-def resolve(batch: DataFrame, listings: DataFrame, as_of: str, cfg: Config = DEFAULT, keep_geocodes: bool = False) -> DataFrame:
-    """(arrival, id, origin) for each row of a prepared batch: the id of its listing, or the arrival of the row that makes a new one.
+def _placed(links: DataFrame) -> DataFrame:
+    """kind, n and component of the entities of (kind, n, node), linked by the nodes that they share."""
+    entity = links.groupBy("kind", "n").agg(F.min("node").alias("first"), F.collect_set("node").alias("nodes"))
+    pairs = entity.select("first", F.explode("nodes").alias("node")).where("first <> node").distinct()
+    found = smallest_linked(pairs, "first", "node")
+    return entity.select("kind", "n", "first").join(found, F.col("first") == F.col("id"), "left").select("kind", "n", F.coalesce("component", "first").alias("component"))
 
-    Rows are taken in order of arrival, each after all earlier ones have been merged: a listing found by link, url or
-    source id, the smallest id of several, else the best of those of its commune with areas within a tenth and rooms
-    within one. Arrivals differ. A component of rows that can meet is one task's, keys alone, and a row costs a search
-    among shapes; in a commune whose areas leave no gap that is the batch's rows of the commune with its listings.
+
+def meeting(rows: DataFrame, known: DataFrame, tolerance: float) -> DataFrame:
+    """(kind, n, component) of the rows and listings that can meet; a row that is not there meets nothing.
+
+    A row whose link a listing has finds that by its link, and the listing's link stays what it is. So where all rows of
+    a component are such, none of them looks for its like, and names alone connect them: no run of areas is one task's.
     """
-    tolerance = cfg.duplicate_m2
-    rows = checkpointed(_entities(batch, 1, "arrival", F.lit(0.0)))
-    known = _entities(listings, 0, "id", F.coalesce(F.unix_timestamp(F.col("last_seen").cast("timestamp")), F.lit(0)))
     shaped = lambda df: df.where("comuna_key <> '' and m2_construidos > 0 and dormitorios is not null and banos is not null")
+    names = _names(rows)
+    others = _names(known).join(names.select("node").distinct(), "node", "left_semi")
+    named = names.unionByName(others).distinct()
+    # A name that only one row has connects nothing.
+    shared = named.groupBy("node").agg(F.count("*").alias("many")).where("many > 1").select("node")
+    named = checkpointed(named.join(shared, "node", "left_semi"))
+    searching = checkpointed(rows.join(known.select("fuente", "link").distinct(), ["fuente", "link"], "left_anti").select("kind", "n"))
+    if searching.isEmpty():
+        return _placed(named)
     place = ["comuna_key", "m2_construidos"]
     areas = shaped(rows).select(*place, F.lit(True).alias("new")).unionByName(shaped(known).select(*place, F.lit(False).alias("new"))).groupBy(*place).agg(F.max("new").alias("new"))
     areas = checkpointed(areas)
@@ -170,16 +182,26 @@ def resolve(batch: DataFrame, listings: DataFrame, as_of: str, cfg: Config = DEF
     met = areas.where("new").join(runs, place).select("node").distinct()
     runs = checkpointed(runs.join(met, "node", "left_semi"))
     in_runs = lambda df: shaped(df).join(runs, place).select("kind", "n", "node")
-    names = _names(rows)
-    others = _names(known).join(names.select("node").distinct(), "node", "left_semi")
-    named = names.unionByName(others).distinct()
-    # A name that only one row has connects nothing.
-    shared = named.groupBy("node").agg(F.count("*").alias("many")).where("many > 1").select("node")
-    links = checkpointed(named.join(shared, "node", "left_semi").unionByName(in_runs(rows)).unionByName(in_runs(known)))
-    entity = links.groupBy("kind", "n").agg(F.min("node").alias("first"), F.collect_set("node").alias("nodes"))
-    pairs = entity.select("first", F.explode("nodes").alias("node")).where("first <> node").distinct()
-    found = smallest_linked(pairs, "first", "node")
-    placed = entity.select("kind", "n", "first").join(found, F.col("first") == F.col("id"), "left").select("kind", "n", F.coalesce("component", "first").alias("component"))
+    placed = checkpointed(_placed(checkpointed(named.unionByName(in_runs(rows)).unionByName(in_runs(known)))))
+    # Searching rows that meet nothing are not placed.
+    restless = placed.join(searching, ["kind", "n"]).select("component").distinct()
+    calm = placed.join(restless, "component", "left_anti").select("kind", "n")
+    return placed.join(restless, "component", "left_semi").select("kind", "n", "component").unionByName(_placed(checkpointed(named.join(calm, ["kind", "n"], "left_semi"))))
+
+
+def resolve(batch: DataFrame, listings: DataFrame, as_of: str, cfg: Config = DEFAULT, keep_geocodes: bool = False) -> DataFrame:
+    """(arrival, id, origin) for each row of a prepared batch: the id of its listing, or the arrival of the row that makes a new one.
+
+    Rows are taken in order of arrival, each after all earlier ones have been merged: a listing found by link, url or
+    source id, the smallest id of several, else the best of those of its commune with areas within a tenth and rooms
+    within one. Arrivals differ. A component of rows that can meet is one task's, keys alone, and a row costs a search
+    among shapes; in a commune whose areas leave no gap, and where some row's link is new, that is the batch's rows of the
+    commune with its listings.
+    """
+    tolerance = cfg.duplicate_m2
+    rows = checkpointed(_entities(batch, 1, "arrival", F.lit(0.0)))
+    known = _entities(listings, 0, "id", F.coalesce(F.unix_timestamp(F.col("last_seen").cast("timestamp")), F.lit(0)))
+    placed = meeting(rows, known, tolerance)
     own = F.coalesce("component", F.xxhash64(F.lit("alone"), "n"))
     whole = rows.join(placed, ["kind", "n"], "left").withColumn("component", own).unionByName(known.join(placed, ["kind", "n"]))
     now = F.to_timestamp(F.lit(as_of))

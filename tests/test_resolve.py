@@ -99,3 +99,34 @@ def test_a_large_commune_is_replayed_by_shapes():
     began = time.time()
     assert len(resolve.replay(rows, 0.1, 10.0, False)) == 20_000
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize(("seed", "fresh"), [(1, 0), (2, 3), (3, 40)])
+def test_rows_of_known_links_meet_by_names_alone(spark, seed, fresh):
+    """Two communes without gaps in area; of the first's rows some have new links, of the second's none."""
+    rng = random.Random(seed)
+
+    def entity(kind, n, comuna, link):
+        return (kind, n, "yapo", link, None, rng.choice([None, f"s{rng.randrange(60)}"]), comuna, 100, None, float(rng.randrange(40, 80)), 2, rng.choice([1, 2]), rng.choice([None, 1]), True, False, float(rng.randrange(9)) if kind == 0 else 0.0)
+
+    fields = "kind int, n long, fuente string, link string, url string, source_listing_id string, comuna_key string, precio_clp long, precio_uf double, m2_construidos double, dormitorios int, banos int, estacionamientos int, has_lat boolean, has_lon boolean, seen double"
+    known = [entity(0, i, "ab"[i % 2], f"l{i}") for i in range(1, 121)]
+    new = [entity(1, i, "ab"[i % 2], f"new{i}" if i % 2 == 0 and i // 2 <= fresh else f"l{rng.randrange(1, 61) * 2 - 1 + (i + 1) % 2}") for i in range(1, 101)]
+    # Source ids of one commune stay in it.
+    known, new = ([(*r[:5], r[5] and r[6] + r[5], *r[6:]) for r in side] for side in (known, new))
+    rows, listings = spark.createDataFrame(new, fields), spark.createDataFrame(known, fields)
+    placed = {(r.kind, r.n): r.component for r in resolve.meeting(rows, listings, 0.1).collect()}
+    names = [x.split()[0] for x in fields.split(", ")]
+    every = [dict(zip(names, r)) for r in known + new]
+    want = sorted(resolve.replay(every, 0.1, 99.0, False))
+    groups = {}
+    for r in every:
+        if r["kind"] == 1 or (0, r["n"]) in placed:
+            groups.setdefault(placed.get((r["kind"], r["n"]), ("alone", r["n"])), []).append(r)
+    got = [x for g in groups.values() for x in resolve.replay(g, 0.1, 99.0, False)]
+    assert sorted(got) == want
+    # Without a new link nobody's area counts: only names connect.
+    assert all(len({r["comuna_key"] for r in group}) == 1 for group in groups.values())
+    taken = {(c, r[c]) for r in every for c in ("link", "source_listing_id") if r["kind"] == 1 and r[c]}
+    bare = [r["n"] for r in every if r["kind"] == 0 and r["comuna_key"] == "b" and not any((c, r[c]) in taken for c in ("link", "source_listing_id"))]
+    assert bare and not any((0, n) in placed for n in bare)
