@@ -173,8 +173,9 @@ def card_rows(found: DataFrame, least_clp: int = 10_000_000) -> DataFrame:
     text = F.concat_ws(" ", "titulo", "raw_text")
     rows = rows.select("page_id", "link", clean_text(F.col("title")).alias("titulo"), "price_text", clp.alias("precio_clp"), uf.alias("precio_uf"), collapse(F.col("raw_text")).alias("raw_text"), last_number_or_slug(F.col("link")).alias("source_listing_id"))
     rows = rows.where("titulo is not null").where(F.coalesce(F.col("precio_uf") > 0, F.col("precio_clp") >= least_clp, F.lit(False)))
-    rows = rows.withColumns({"m2_construidos": labelled_area(text), "comuna": comuna_in_text(text)}).withColumn("__rooms", card_rooms(text))
-    rows = rows.select("*", "__rooms.*").drop("__rooms")
+    # A generator's columns are worked out once; the condition below would be pushed under a projection's and work them out again.
+    read = F.struct(labelled_area(text).alias("m2_construidos"), comuna_in_text(text).alias("comuna"), card_rooms(text).alias("__rooms"))
+    rows = rows.select("*", F.inline(F.array(read))).select("*", "__rooms.*").drop("__rooms")
     rows = rows.withColumn("quality_flags", F.array_compact(F.array(F.when(F.col("m2_construidos").isNull(), "missing_m2"))))
     strong = card_title(F.col("titulo")) & F.col("comuna").isNotNull() & F.coalesce("dormitorios", "banos").isNotNull()
     return rows.withColumn("quality", F.when(F.size("quality_flags") > 0, "low").otherwise("standard")).where((F.col("quality") == "standard") | strong)
